@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, token_counts
+from tessera.llm import bpe, langid, licenses, secrets, token_counts
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op2_token_counts": token_counts.query,
+    "op4_secrets": secrets.query,
     "op6_bpe": bpe.query,
+    "op8_licenses": licenses.query,
 }
 
 ORACLES: dict[str, str] = {}
