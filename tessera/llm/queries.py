@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, langid, licenses, secrets, token_counts
+from tessera.llm import bpe, decontaminate, langid, licenses, secrets, token_counts, topk
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_token_counts": token_counts.query,
     "op4_secrets": secrets.query,
     "op6_bpe": bpe.query,
+    "op7_topk": topk.query,
     "op8_licenses": licenses.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_topk": topk.SQL,
+}
