@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, langid, licenses, secrets, token_counts, topk
+from tessera.llm import bpe, decontaminate, html_text, langid, licenses, secrets, token_counts, topk
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_topk": topk.query,
     "op8_licenses": licenses.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_html_text": html_text.query,
 }
 
 ORACLES: dict[str, str] = {
