@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, html_text, langid, licenses, neardup, secrets, token_counts, topk
+from tessera.llm import bpe, decontaminate, html_text, langid, licenses, neardup, secrets, substrings, token_counts, topk
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_token_counts": token_counts.query,
+    "op3_substrings": substrings.query,
     "op4_secrets": secrets.query,
     "op5_neardup": neardup.query,
     "op6_bpe": bpe.query,
