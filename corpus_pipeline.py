@@ -1,11 +1,71 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage reads all that its predecessor kept, and its decisions take effect: documents without a
+language go, of near copies one document stays, documents that hold benchmark windows go, secrets are
+masked in the texts, and what is left is encoded and decoded. All stages but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontaminate, langid, neardup, secrets
+from tessera.llm.common import materialise, table
+
+#: A predicted language of a lower pooled probability counts as none. Four languages alike give 0.25 each.
+MIN_SCORE = 0.3
+
+
+def _kept(docs: DataFrame, found: DataFrame, keep) -> DataFrame:
+    """The rows of docs whose row in found (one for each, by doc_id) is to stay; rows with a null id stay."""
+    gone = found.where(~keep & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the recurrent network can tell; those it rejects go."""
+    model = langid.train(docs)
+    return langid.predict(docs, model, keep_rows=True).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near copies (five-word shingles, similarity 0.8)."""
+    return _kept(docs, neardup.near_duplicates(docs, width=5), F.col("kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep_rows=True)
+    return found.where(F.size("spans") == 0).select(docs.columns)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts and n_chars counted anew."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text of every document."""
+    return bpe.round_trip(docs, bpe.default_file())
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secret_scan", masked),
+    ("bpe", encoded),
+]
+#: SQL cannot run the recurrent network of the first stage; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply all stages to documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents; each but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

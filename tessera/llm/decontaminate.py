@@ -125,8 +125,8 @@ class WindowIndex:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _pass(df: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
-    """Add the hits of one block: (id, text, n_words, spans, items) gains spans [start, end) and item ids."""
+def _pass(df: DataFrame, index) -> DataFrame:
+    """Add the hits of one block: (text, n_words, spans, items, ...) gains spans [start, end) and item ids."""
     schema = df.schema
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -134,8 +134,8 @@ def _pass(df: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
         found: WindowIndex = index.value
         get = found.vocab.get
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n_words, spans, items = [], batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts = batch.column(0).to_pylist()
+            n_words, spans, items = [], batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for a, b in slices(texts):
                 split = [t.encode("utf-8").translate(_FOLD).split() if t else [] for t in texts[a:b]]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -152,7 +152,7 @@ def _pass(df: DataFrame, index, id_col: str, text_col: str) -> DataFrame:
                     items[a + d] += found.items[w]
             spans = [_union(x) if len(x) > 1 else x for x in spans]
             items = [sorted(set(x)) if x else x for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), *batch.columns[4:]], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -168,8 +168,12 @@ def _union(spans: list[dict]) -> list[dict]:
     return out
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(id, n_words, spans array<struct<start, end>> of hit words, items array<string>): whole documents against all windows."""
+def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS, keep_rows: bool = False) -> DataFrame:
+    """(id, n_words, spans array<struct<start, end>> of hit words, items array<string>): whole documents against all windows.
+
+    ``keep_rows``: all columns of ``docs`` come first (whole rows pass through, no join is needed), but
+    columns of ``docs`` that are named n_words, spans or items give way to the new ones.
+    """
     spark = docs.sparkSession
     index = window_index(bench, window, shingle)
     n = index.count()
@@ -177,13 +181,15 @@ def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle:
     if blocks > 1:
         index = materialise(index, "windows")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    df = docs.select(F.col(id_col), F.col(text_col), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
+    carried = [c for c in docs.columns if c not in ("n_words", "spans", "items")] if keep_rows else [id_col]
+    own = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried)]
+    df = docs.select(F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), *own)
     for b in range(blocks):
         part = index if blocks == 1 else index.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
-        df = _pass(df, spark.sparkContext.broadcast(WindowIndex(part.collect())), id_col, text_col)
+        df = _pass(df, spark.sparkContext.broadcast(WindowIndex(part.collect())))
         if b + 1 < blocks:  # one block in memory at a time
             df = materialise(df, "leaks")
-    return df.select(F.col(id_col), "n_words", "spans", "items")
+    return df.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(carried)), "n_words", "spans", "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

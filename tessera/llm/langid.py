@@ -218,16 +218,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return ByteBiGru(langs).fit(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW), np.array(labels), **fit)
 
 
-def predict(df: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): the language with the highest pooled probability, and that probability."""
+def predict(df: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False) -> DataFrame:
+    """(id, lang_pred, score): the language with the highest pooled probability, and that probability.
+
+    ``keep_rows``: all columns of ``df`` come first (whole rows pass through, no join is needed), but
+    columns of ``df`` that are named lang_pred or score give way to the new ones.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    own = df.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    out = T.StructType([own.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    carried = [c for c in df.columns if c not in ("lang_pred", "score")] if keep_rows else [id_col]
+    own = df.select(*(F.col(f"`{c}`") for c in carried), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    k = len(carried)
+    out = T.StructType([*own.schema[:k], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            texts, letters = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            texts, letters = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             todo = [i for i, x in enumerate(letters) if x] if net is not None else []
             for at in range(0, len(todo), 512):
@@ -235,7 +241,7 @@ def predict(df: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", text
                 p = net.pooled([texts[i].encode("utf-8") for i in part])
                 for i, best, s in zip(part, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                     langs[i], scores[i] = net.langs[best], min(1.0, max(0.0, s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out.names)
 
     return own.mapInArrow(run, out)
 
