@@ -6,7 +6,9 @@ sets become one class first. Classes that share a band of coordinates are candid
 expanded into all its pairs. In each round every member is compared with one hub of its bucket, on
 the full sets; links join classes into components. A bucket whose members are in one component needs
 nothing more. What is left after the rounds is compared in full: each member outside the bucket's
-main component with all members of other components, so no candidate pair is given up.
+main component with all of the main component and with the others outside it, so no candidate pair is
+given up. For that the sets are packed into blocks; a row is one set and one block, and a task gives
+back the links only, never the pairs.
 
 With 32 bands of 5 a pair at the threshold 0.8 shares no band with probability 3e-6.
 
@@ -33,6 +35,8 @@ from tessera.llm.components import connect
 BANDS, ROWS, PERCENT = 32, 5, 80
 #: Rounds of hub comparisons at most before the rest is compared in full.
 ROUNDS = 4
+#: Sets in one packed block, on average.
+BLOCK = 64
 #: Distinct words whose hash a worker remembers.
 CACHE_WORDS = 300_000
 _TILE = 1024
@@ -145,6 +149,47 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, joined.select("a", "b").schema)
 
 
+def _against_blocks(one: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets and blocks of sets: one (a, group) and blocks (group, id), both by ids.
+
+    The sets of a group are split by a hash of their ids into blocks of bounded size.
+    """
+    sized = blocks.join(blocks.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "group")
+    packed = sized.join(sets, "id").groupBy("group", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("id", "s")).alias("block"))
+    packed = materialise(packed, "blocks")
+    left = one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    joined = left.join(packed.select("group", "block"), "group").select("a", "sa", "block")
+    kind = joined.schema["a"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for name, x, block in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                x, parts = np.frombuffer(x.as_buffer(), np.uint64), block.values.field("s").to_pylist()
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
+                flat = np.frombuffer(b"".join(parts), np.uint64)
+                at = np.searchsorted(x, flat)
+                at[at == len(x)] = 0
+                same = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                for i in np.flatnonzero(100 * same >= percent * (len(x) + sizes - same)).tolist():
+                    a.append(name.as_py())
+                    b.append(block.values.field("id")[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, batch.schema.field(0).type)], names=["a", "b"])
+
+    return joined.mapInArrow(run, schema).where("a <> b")
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, comp) after more links (a, b): the components that links join become one."""
+    over = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    between = links.join(over[0], "a", "left").join(over[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = connect(between)
+    roots = merged.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+    moved = labels.join(roots, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+    return materialise(moved.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of ``df``."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -179,24 +224,21 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = PERCENT, id_co
         else:
             # the rest in full: members outside the main component of a bucket against all others
             main = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"))
-            tagged = now.join(main, "key")
-            some = tagged.where("comp <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            full = some.join(tagged, "key").where((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")))
-            pairs = full.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
+            outside = materialise(now.join(main, "key").where("comp <> main").select("key", "id", "main"), "outside")
+            mains = outside.select("main").distinct()
+            everyone = members.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("main"))
+            first = _against_blocks(outside.select(F.col("id").alias("a"), F.col("main").alias("group")).distinct(), everyone.join(mains, "main", "left_semi").select(F.col("main").alias("group"), "id"), sets, percent)
+            crowd = outside.join(outside.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "key").select(F.col("key").alias("group"), "id")
+            second = _against_blocks(crowd.select(F.col("id").alias("a"), "group"), crowd, sets, percent)
+            links = materialise(first.unionByName(second).distinct(), "links")
+            labels = _relabel(labels, links)
+            break
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = _confirm(pairs, sets, percent)
-        if labels is None:
-            labels = connect(links)
-        else:
-            over = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-            between = links.join(over[0], "a", "left").join(over[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            merged = connect(between)
-            roots = merged.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-            moved = labels.join(roots, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
-            labels = materialise(moved.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "labels")
+        labels = connect(links) if labels is None else _relabel(labels, links)
 
     named = classes.join(labels, "id", "left").select("fp", F.coalesce("comp", "id").alias("component_id"))
     out = sketched.select("id", "n", "fp").join(named, "fp", "left")
