@@ -9,7 +9,7 @@ the places, and every sentence that a repeated run covers at another place than
 The aggregate combines before it shuffles, and the join splits large keys, so a passage that a third
 of all documents share does not land in one task. Only places of runs and the texts are shuffled.
 
-Defined results: null text stays null with 0 sentences; empty text stays empty; rows with equal id and
+Defined results: null text stays null; empty text stays empty; rows with equal id and
 text are one document, so they do not remove each other; a null id sorts first; words are compared in
 lower case with white space folded; extra columns are dropped; an empty table gives an empty result.
 """
@@ -40,11 +40,12 @@ _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, folded text) of the sentences; together they cover the text from its first word on."""
-    out, at = [], 0
+    out, at, low = [], 0, text.lower()
+    same = len(low) == len(text)  # else places differ, and each piece is folded alone
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if end <= at:
             continue
-        words = text[at:end].lower().split()
+        words = (low[at:end] if same else text[at:end].lower()).split()
         if not words:
             if out:
                 out[-1] = (out[-1][0], end, out[-1][2])
@@ -53,17 +54,35 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         if len(words) <= LONG_SENTENCE:
             out.append((at, end, " ".join(words)))
         else:
-            first, n, begin = 0, 0, at
-            for k, m in enumerate(_WORD.finditer(text, at, end)):
-                n += 1
-                if n >= LEAST_PIECE and k + 1 < len(words) and (n >= LONG_PIECE or words[k][-1] in ",;:" or crc32(words[k].encode()) % 6 == 0):
-                    out.append((begin, m.end(), " ".join(words[first : k + 1])))
-                    first, n, begin = k + 1, 0, m.end()
-            out.append((begin, end, " ".join(words[first:])))
+            cuts = _cuts(words)
+            if cuts:
+                ends = [m.end() for m in _WORD.finditer(text, at, end)]
+                first, begin = 0, at
+                for k in cuts:
+                    out.append((begin, ends[k - 1], " ".join(words[first:k])))
+                    first, begin = k, ends[k - 1]
+                out.append((begin, end, " ".join(words[first:])))
+            else:
+                out.append((at, end, " ".join(words)))
         at = end
     return out
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Where a long sentence is cut: the counts of words before each cut."""
+    cuts, last, n = [], 0, len(words)
+    k = LEAST_PIECE
+    while k < n:
+        w = words[k - 1]
+        if k - last >= LONG_PIECE or w[-1] in ",;:" or crc32(w.encode()) % 6 == 0:
+            cuts.append(k)
+            last = k
+            k += LEAST_PIECE
+        else:
+            k += 1
+    return cuts
+
+
 def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """First and last sentence (exclusive) of every run of a text, by its folded sentences."""
     n = len(parts)
@@ -103,55 +122,61 @@ def _hashed(parts: list[str], first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return out[0], out[1]
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """(h1, h2, id, th, place): one row for each run."""
-    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["id"], T.StructField("th", T.LongType()), T.StructField("place", T.LongType())])
+def _hashes(docs: DataFrame) -> DataFrame:
+    """(id, th, places, h1, h2): the runs of each text, packed in arrays of equal length."""
+    lists = [T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("h1", T.ArrayType(T.LongType())), T.StructField("h2", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([docs.schema["id"], docs.schema["th"], *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for at in range(0, len(texts), 1000):
-                cols, rows = [[], [], []], []
-                for i, text in enumerate(texts[at : at + 1000]):
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                cols, counts = ([], [], []), []
+                for text in part.column(2).to_pylist():
                     parts = [p for _, _, p in sentences(text)] if text else []
                     first, last = runs(parts)
-                    for col, x in zip(cols, (*_hashed(parts, first, last), _place(first)), strict=True):
+                    h1, h2 = _hashed(parts, first, last)
+                    for col, x in zip(cols, (_place(first), h1, h2), strict=True):
                         col.append(x)
-                    rows.append(np.full(len(first), at + i))
-                take = pa.array(np.concatenate(rows))
-                h1, h2, place = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(0).take(take), batch.column(1).take(take), pa.array(place)], names=schema.names)
+                    counts.append(len(first))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                place, h1, h2 = (np.concatenate(c) for c in cols)
+                values = pa.array(place.astype(np.int32)), pa.array(h1), pa.array((h2 >> 32).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_sentences, n_removed): every text without the sentences of repeated runs but the first."""
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    places = materialise(_places(docs), "places")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "place")).alias("f"), F.max(F.struct("id", "th", "place")).alias("l")).where("f <> l").select("h1", "h2", "f")
-    again = places.join(first, ["h1", "h2"]).where("struct(id, th, place) <> f").select("id", "th", "place")
-    cut = again.groupBy("id", "th").agg(F.collect_set("place").alias("places"))
-    cut = cut.withColumnRenamed("id", "cut_id").withColumnRenamed("th", "cut_th")
+    """(id, text, n_removed): every text without the sentences of repeated runs but the first, and how many went."""
+    docs = df.select(F.col(id_col).alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    packed = materialise(_hashes(docs), "runs")
+    places = packed.select("id", "th", F.explode(F.arrays_zip("place", "h1", "h2")).alias("x")).select("x.h1", "x.h2", "id", "th", "x.place")
+    here = F.struct("id", "th", "place")
+    first = places.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "f")
+    again = places.join(first, ["h1", "h2"]).where(here != F.col("f")).select("id", "th", "place")
+    cut = again.groupBy(F.col("id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("place").alias("places"))
     joined = docs.join(cut, (F.col("th") == F.col("cut_th")) & F.col("id").eqNullSafe(F.col("cut_id")), "left").select("id", "text", "places")
-    schema = T.StructType([docs.schema["id"], docs.schema["text"], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([docs.schema["id"], docs.schema["text"], T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n, gone = [], [], []
+            out, gone = [], []
             for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts = sentences(text) if text else []
+                if not at or not text:
+                    out.append(text)
+                    gone.append(0)
+                    continue
+                parts = sentences(text)
                 covered = np.zeros(len(parts) + 1, np.int64)
-                if at:
-                    first, last = runs([p for _, _, p in parts])
-                    hit = np.isin(_place(first), at)
-                    np.add.at(covered, first[hit], 1)
-                    np.add.at(covered, last[hit], -1)
-                covered = np.cumsum(covered)[:-1] > 0
-                n.append(len(parts))
-                gone.append(int(covered.sum()))
-                out.append("".join(text[s:e] for (s, e, _), c in zip(parts, covered.tolist(), strict=True) if not c) if gone[-1] else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+                first, last = runs([p for _, _, p in parts])
+                hit = np.isin(_place(first), at)
+                np.add.at(covered, first[hit], 1)
+                np.add.at(covered, last[hit], -1)
+                keep = (np.cumsum(covered)[:-1] == 0).tolist()
+                out.append("".join(text[s:e] for (s, e, _), k in zip(parts, keep, strict=True) if k))
+                gone.append(keep.count(False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(gone, pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
