@@ -1,0 +1 @@
+"""Knowledge-graph building, retrieval and evaluation as Spark DataFrame jobs."""
