@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +87,13 @@ def pack_items(lengths: Column, limit: int = 2600) -> Column:
 
 
 def captured(text: Column, pattern: str, base: Column | None = None) -> Column:
-    """(text, start, end) of the first group of the first match, as places in the whole document; null without a match."""
-    part = F.regexp_extract(text, pattern, 1)
-    whole = F.regexp_extract(text, pattern, 0)
-    at = F.instr(text, whole) - 1 + F.instr(whole, part) - 1 + (base if base is not None else F.lit(0))
-    return F.when(F.length(whole) > 0, F.struct(part.alias("text"), at.alias("start"), (at + F.length(part)).alias("end")))
+    """(text, start, end) of the first group of the first match, as places in the whole document; null without a match.
+
+    What stands before the group in the pattern becomes a group of its own, whose length gives the place.
+    """
+    flags, body = re.match(r"((?:\(\?[a-z]+\))*)(.*)", pattern, re.S).groups()
+    at = re.search(r"(?<!\\)\((?!\?)", body).start()
+    marked = f"{flags}({body[:at]}){body[at:]}"
+    whole, before, part = (F.regexp_extract(text, marked, k) for k in (0, 1, 2))
+    start = F.instr(text, whole) - 1 + F.length(before) + (base if base is not None else F.lit(0))
+    return F.when(F.length(whole) > 0, F.struct(part.alias("text"), start.alias("start"), (start + F.length(part)).alias("end")))

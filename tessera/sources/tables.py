@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_text_dir(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """(doc_id, text): one row for each text file, named by its stem."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path)
+    df = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), f"\\Q{suffix}\\E$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
