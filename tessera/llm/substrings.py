@@ -2,11 +2,12 @@
 
 Each text is cut into sentences (a long one further, at commas and at words that a hash picks, so that
 copies with a changed word soon fall into step again). From every sentence the shortest run of at least ``LEAST_SENTENCES`` sentences with at least
-``LEAST_WORDS`` words is hashed, and one more run that ends with the text. Equal hashes meet in one global
-aggregate, which finds the first place of each repeated run by (doc_id, place); a join brings that back to
-the places, and every sentence that a repeated run covers at another place than its first is removed.
+``LEAST_WORDS`` words is hashed, and one more run that ends with the text. A count of each hash
+leaves the places of repeated runs; one global aggregate finds the first place of each by (doc_id, place); a
+join brings that back to the places, and every sentence that a repeated run covers at another place than its
+first is removed.
 
-The aggregate combines before it shuffles, and the join splits large keys, so a passage that a third
+Both aggregates combine before they shuffle, and the joins split large keys, so a passage that a third
 of all documents share does not land in one task. Only places of runs and the texts are shuffled.
 
 Defined results: null text stays null; empty text stays empty; rows with equal id and
@@ -152,6 +153,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     packed = materialise(_hashes(docs), "runs")
     places = packed.select("id", "th", F.explode(F.arrays_zip("place", "h1", "h2")).alias("x")).select("x.h1", "x.h2", "id", "th", "x.place")
+    # most runs occur once: counting one hash finds those that may repeat, and only their places go on
+    often = places.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    places = materialise(places.join(often, "h1", "left_semi"), "places")
     here = F.struct("id", "th", "place")
     first = places.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "f")
     again = places.join(first, ["h1", "h2"]).where(here != F.col("f")).select("id", "th", "place")
