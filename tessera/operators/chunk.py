@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # fixed values: headings of procedure documents, numbered items of exception and notice documents
@@ -57,12 +58,17 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("genre", genre).select("doc_id", "pos", "genre", "text")
 
 
-def with_chunk_ids(chunks: DataFrame, order: list[str], digits: int = 5) -> DataFrame:
+def with_chunk_ids(chunks: DataFrame, order: list[str], digits: int = 5, ranges: int = 200) -> DataFrame:
     """``chunks`` with running ids C00000, C00001, ... in one order over all of them.
 
-    The order is laid out by ranges; only the number of rows in each range is gathered, not the rows.
+    Rows are numbered within ranges of the first ordering column, and moved on by the sizes of the ranges
+    before. Bounds are at most ``ranges`` values of that column, drawn by hash; of the rows only the counts
+    of the ranges are gathered. A range is a function of the row's own value, so every pass agrees on it.
     """
-    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    lead = order[0]
+    drawn = chunks.select(lead).where(F.col(lead).isNotNull()).distinct().orderBy(F.xxhash64(lead), lead).limit(ranges).collect()
+    bounds = F.array(*[F.lit(r[0]).cast(chunks.schema[lead].dataType) for r in drawn]) if drawn else F.array().cast(T.ArrayType(chunks.schema[lead].dataType))
+    ranged = chunks.withColumn("_p", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(lead)))))
     ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
