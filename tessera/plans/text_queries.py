@@ -43,9 +43,8 @@ def segments(sp, d):
 
 
 def line_chunks(sp, d):
-    """Paragraphs of each document that hold a word, with running ids over all."""
-    docs = _docs(sp, d).select("doc_id", "text")
-    chunks = C.chunk_items(docs, r"\n(?=\p{Lu})").where(F.length("text") > 40)
+    """Lines of each document, with running ids over all."""
+    chunks = C.chunk_items(_docs(sp, d).select("doc_id", "text"), r"\n").where("text <> ''")
     return C.with_chunk_ids(chunks, ["doc_id", "pos"]).select("chunk_id", "doc_id", F.length("text").cast("long").alias("n"))
 
 
@@ -152,7 +151,9 @@ QUERIES = {
     "txt9_tokens": (lambda sp, d: _docs(sp, d).select("doc_id", F.size(TX.tokens(F.col("text"))).cast("long").alias("n"), F.get(TX.tokens(F.col("text")), F.lit(0)).alias("first")), r"SELECT doc_id, len(t) AS n, t[1] AS first FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)"),
     "txt10_genre": (lambda sp, d: table(sp, d, "orders").select("o_orderkey", TX.genre(F.col("o_orderpriority")).alias("g")), "SELECT o_orderkey, string_split(o_orderpriority, '-')[1] AS g FROM orders"),
     "txt11_json_salvage": (salvaged, """SELECT event_id, CAST(2 AS BIGINT) AS n, '{"surface":"s","k":1}' AS first FROM events"""),
-    "txt12_list_union": (lambda sp, d: table(sp, d, "lineitem").groupBy("l_orderkey").agg(F.array_union(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"])), F.array(F.lit("A"), F.lit("R"))).alias("u")).select("l_orderkey", F.array_join("u", ",").alias("u")), None),
+    "txt12_list_union": (lambda sp, d: table(sp, d, "lineitem").groupBy("l_orderkey").agg(F.array_union(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"])), F.array(F.lit("A"), F.lit("Z"))).alias("u")).select("l_orderkey", F.array_join("u", ",").alias("u")),
+        """WITH f AS (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2), l AS (SELECT l_orderkey, list(f ORDER BY o, f) AS l FROM f GROUP BY 1)
+SELECT l_orderkey, array_to_string(l || CASE WHEN list_contains(l, 'A') THEN ['Z'] ELSE ['A', 'Z'] END, ',') AS u FROM l"""),
     "txt13_formats": (lambda sp, d: table(sp, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.format_string("%05d号", F.col("o_orderkey")).alias("code")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') || '号' AS code FROM orders"),
     "txt14_window_arithmetic": (lambda sp, d: table(sp, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.when(F.col("l_quantity") > 30, F.col("l_quantity") * 0.25 + 7.5).otherwise(F.col("l_quantity")), 2).alias("corrected"), F.round(F.col("l_quantity") - 30, 2).alias("delta")),
         "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_quantity > 30 THEN l_quantity * 0.25 + 7.5 ELSE l_quantity END, 2) AS corrected, round(l_quantity - 30, 2) AS delta FROM lineitem"),
@@ -163,7 +164,9 @@ QUERIES = {
 SELECT doc_id, count(*) AS n, max(length(t)) AS longest FROM c WHERE t <> '' GROUP BY doc_id"""),
     "chk1_section_chunks": (lambda sp, d: C.chunk_sections(table(sp, d, "nation").select(F.col("n_name").alias("doc_id"), F.concat(F.lit("标准\n一、目的\n"), F.repeat("n_name", 5), F.lit("\n二、范围\n短\n三、步骤\n"), F.repeat("n_name", 6)).alias("text")), longer_than=20).select("doc_id", "pos", F.length("text").cast("long").alias("n")),
         "SELECT n_name AS doc_id, CAST(pos AS INTEGER) AS pos, CAST(n AS BIGINT) AS n FROM (SELECT n_name, 0 AS pos, length('标准' || chr(10) || chr(10) || '一、目的' || chr(10) || repeat(n_name, 5)) AS n FROM nation UNION ALL SELECT n_name, 2, length('三、步骤' || chr(10) || repeat(n_name, 6)) FROM nation) WHERE n > 20"),
-    "chk3_chunk_ids": (line_chunks, None),
+    "chk3_chunk_ids": (line_chunks, r"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), l AS (SELECT doc_id, CASE WHEN len(p) = 1 THEN [trim(p[1])] ELSE list_concat([trim(trim(p[1]) || chr(10) || trim(p[2]), ' ' || chr(10))], list_transform(p[3:], lambda x: trim(x))) END AS l FROM p),
+c AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM l)
+SELECT 'C' || CASE WHEN length(k) < 5 THEN lpad(k, 5, '0') ELSE k END AS chunk_id, doc_id, n FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id, pos) - 1 AS VARCHAR) AS k, doc_id, length(t) AS n FROM c WHERE t <> '')"""),
     "chk4_packing": (segments, None),
     "chk5_capture": (captured_rows, r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(instr(html, '<title>') + 6 AS BIGINT) AS lo, CAST(instr(html, '<title>') + 6 + length(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS BIGINT) AS hi FROM pages"),
     "ext1_gazetteer": (dictionary, None),
