@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 Each text is cut into sentences (a long one further, at commas and at words that a hash picks, so that
-copies with a changed word soon fall into step again). From every sentence the shortest run of at least ``LEAST_SENTENCES`` sentences with at least
-``LEAST_WORDS`` words is hashed, and one more run that ends with the text. A count of each hash
+copies with a changed word soon fall into step again). For every sentence the shortest run of at least ``LEAST_SENTENCES`` sentences with at least
+``LEAST_WORDS`` words that begins at it is hashed, and the shortest that ends at it. Every sentence of any longer
+run lies in one of these inside that run, so the result is that of hashing all runs. A count of each hash
 leaves the places of repeated runs; one global aggregate finds the first place of each by (doc_id, place); a
 join brings that back to the places, and every sentence that a repeated run covers at another place than its
-first is removed.
+first is removed. A run that ends at a sentence starts with a run that begins at its first sentence and repeats only if that one does, so
+it travels with it, as the hash of the rest, and is looked at only where that one repeats.
 
 Both aggregates combine before they shuffle, and the joins split large keys, so a passage that a third
 of all documents share does not land in one task. Only places of runs and the texts are shuffled.
@@ -85,65 +87,69 @@ def _cuts(words: list[str]) -> list[int]:
 
 
 def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """First and last sentence (exclusive) of every run of a text, by its folded sentences."""
+    """First and last sentence (exclusive) of every run of a text, by its folded sentences.
+
+    The shortest run from each sentence comes first, in order, so the i-th begins at i; then the shortest run
+    up to each sentence, if it is another. One of these begins where one of the former does.
+    """
     n = len(parts)
-    words = np.concatenate([[0], np.cumsum([p.count(" ") + 1 for p in parts])])
+    words = np.concatenate([[0], np.cumsum([p.count(" ") + 1 for p in parts])]).astype(np.int64)
     first = np.arange(n)
     last = np.maximum(np.searchsorted(words, words[first] + LEAST_WORDS, side="left"), first + LEAST_SENTENCES)
-    keep = last <= n
-    first, last = first[keep], last[keep]
-    if n and (not len(last) or last[-1] < n):  # one run that ends with the text
-        back = min(n - LEAST_SENTENCES, int(np.searchsorted(words, words[n] - LEAST_WORDS, side="right")) - 1)
-        if back >= 0 and words[n] - words[back] >= LEAST_WORDS:
-            first, last = np.append(first, back), np.append(last, n)
-    return first, last
+    first, last = first[last <= n], last[last <= n]
+    end = np.arange(1, n + 1)
+    back = np.minimum(np.searchsorted(words, words[end] - LEAST_WORDS, side="right") - 1, end - LEAST_SENTENCES)
+    back, end = back[back >= 0], end[back >= 0]
+    other = last[back] != end
+    return np.concatenate([first, back[other]]), np.concatenate([last, end[other]])
 
 
-def _place(first: np.ndarray) -> np.ndarray:
-    """The place of every run: twice its first sentence, one more for a last run that starts no later than the one before."""
-    place = 2 * first.astype(np.int64)
-    if len(first) > 1 and first[-1] <= first[-2]:
-        place[-1] += 1
-    return place
+def _place(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of every run: twice its first sentence, or for those up to a sentence twice that sentence and one.
 
+    Runs of equal text are of one kind and length, so their places are in the order of the text.
+    """
+    return np.where(first == np.arange(len(first)), 2 * first, 2 * last - 1).astype(np.int64)
 
-def _hashed(parts: list[str], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every run, from polynomial sums over the sentences."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(parts))
-    out = []
+
+def _hashed(h: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of every run, from a polynomial sum over the hashes of the sentences."""
     with np.errstate(over="ignore"):
-        for base in (_B1, _B2):
-            acc = np.zeros(len(first), np.uint64)
-            size = last - first
-            for j in range(int(size.max(initial=0))):
-                on = j < size
-                acc[on] = (acc[on] ^ h[first[on] + j]) * np.uint64(base)
-                acc[on] ^= acc[on] >> np.uint64(31)
-            out.append(acc.view(np.int64))
-    return out[0], out[1]
+        acc = np.zeros(len(first), np.uint64)
+        size = last - first
+        for j in range(int(size.max(initial=0))):
+            on = j < size
+            acc[on] = (acc[on] ^ h[first[on] + j]) * np.uint64(base)
+            acc[on] ^= acc[on] >> np.uint64(31)
+    return acc.view(np.int64)
+
+
+def _packed(text: str | None) -> tuple[np.ndarray, ...]:
+    """(h1, h2, n, place, tail): two hashes of each run from a sentence and how many runs begin there; their places, and the hash of what follows the first of them (0 for itself)."""
+    parts = [p for _, _, p in sentences(text)] if text else []
+    h = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(parts))
+    first, last = runs(parts)
+    k = int((first == np.arange(len(first))).sum())
+    tail = np.concatenate([np.zeros(k, np.int64), _hashed(h, last[first[k:]], last[k:], _B1)])
+    order = np.argsort(first, kind="stable")
+    return _hashed(h, first[:k], last[:k], _B1), _hashed(h, first[:k], last[:k], _B2) >> 32, np.bincount(first, minlength=k), _place(first, last)[order], tail[order]
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
-    """(id, th, places, h1, h2): the runs of each text, packed in arrays of equal length."""
-    lists = [T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("h1", T.ArrayType(T.LongType())), T.StructField("h2", T.ArrayType(T.IntegerType()))]
+    """(id, th, h1, h2, places, tails): the runs of each text, packed in arrays of equal length."""
+    lists = [T.StructField("h1", T.ArrayType(T.LongType())), T.StructField("h2", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("tails", T.ArrayType(T.ArrayType(T.LongType())))]
     schema = T.StructType([docs.schema["id"], docs.schema["th"], *lists])
+    offsets = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                cols, counts = ([], [], []), []
-                for text in part.column(2).to_pylist():
-                    parts = [p for _, _, p in sentences(text)] if text else []
-                    first, last = runs(parts)
-                    h1, h2 = _hashed(parts, first, last)
-                    for col, x in zip(cols, (_place(first), h1, h2), strict=True):
-                        col.append(x)
-                    counts.append(len(first))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                place, h1, h2 = (np.concatenate(c) for c in cols)
-                values = pa.array(place.astype(np.int32)), pa.array(h1), pa.array((h2 >> 32).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=schema.names)
+                found = [_packed(text) for text in part.column(2).to_pylist()]
+                h1, h2, n, place, tail = (np.concatenate(c) for c in zip(*found, strict=True))
+                outer, inner = offsets([len(x[0]) for x in found]), offsets(n)
+                values = pa.array(h1), pa.array(h2.astype(np.int32)), pa.ListArray.from_arrays(inner, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(inner, pa.array(tail))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.ListArray.from_arrays(outer, v) for v in values)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -152,13 +158,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, text, n_removed): every text without the sentences of repeated runs but the first, and how many went."""
     docs = df.select(F.col(id_col).alias("id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
     packed = materialise(_hashes(docs), "runs")
-    places = packed.select("id", "th", F.explode(F.arrays_zip("place", "h1", "h2")).alias("x")).select("x.h1", "x.h2", "id", "th", "x.place")
+    places = packed.select("id", "th", F.explode(F.arrays_zip("h1", "h2", "places", "tails")).alias("x")).select("x.h1", "x.h2", "id", "th", "x.places", "x.tails")
     # most runs occur once: counting one hash finds those that may repeat, and only their places go on
     often = places.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     places = materialise(places.join(often, "h1", "left_semi"), "places")
+    places = places.select("h1", "h2", "id", "th", F.explode(F.arrays_zip("places", "tails")).alias("x")).select("h1", "h2", "x.tails", "id", "th", F.col("x.places").alias("place"))
     here = F.struct("id", "th", "place")
-    first = places.groupBy("h1", "h2").agg(F.min(here).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "f")
-    again = places.join(first, ["h1", "h2"]).where(here != F.col("f")).select("id", "th", "place")
+    first = places.groupBy("h1", "h2", "tails").agg(F.min(here).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "tails", "f")
+    again = places.join(first, ["h1", "h2", "tails"]).where(here != F.col("f")).select("id", "th", "place")
     cut = again.groupBy(F.col("id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("place").alias("places"))
     joined = docs.join(cut, (F.col("th") == F.col("cut_th")) & F.col("id").eqNullSafe(F.col("cut_id")), "left").select("id", "text", "places")
     schema = T.StructType([docs.schema["id"], docs.schema["text"], T.StructField("n_removed", T.LongType())])
@@ -174,7 +181,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 parts = sentences(text)
                 covered = np.zeros(len(parts) + 1, np.int64)
                 first, last = runs([p for _, _, p in parts])
-                hit = np.isin(_place(first), at)
+                hit = np.isin(_place(first, last), at)
                 np.add.at(covered, first[hit], 1)
                 np.add.at(covered, last[hit], -1)
                 keep = (np.cumsum(covered)[:-1] == 0).tolist()

@@ -133,6 +133,38 @@ def test_substring_dedup(spark):
     assert substrings.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def brute_repeats(rows):
+    """{id: (text, sentences, removed places)} from every run of enough sentences and words, of any length."""
+    parts, where = {d: (t, substrings.sentences(t)) for d, t in rows}, {}
+    for d, (_, s) in parts.items():
+        for a in range(len(s)):
+            for b in range(a + substrings.LEAST_SENTENCES, len(s) + 1):
+                run = tuple(x for _, _, x in s[a:b])
+                if len(" ".join(run).split()) >= substrings.LEAST_WORDS:
+                    where.setdefault(run, []).append((d, a, b))
+    gone = {d: set() for d in parts}
+    for places in where.values():
+        for d, a, b in sorted(places)[1:]:
+            gone[d].update(range(a, b))
+    return {d: (t, s, gone[d]) for d, (t, s) in parts.items()}
+
+
+def test_substring_dedup_takes_runs_of_every_length(spark):
+    rng = random.Random(9)
+    sent = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n)).capitalize() + ". "
+    short = lambda k: "".join(sent(rng.randint(1, 15)) for _ in range(k))
+    passage = "".join(sent(n) for n in (15, 14, 13, 9, 4, 4))
+    passages = [short(rng.randint(2, 9)) for _ in range(6)]
+    rows = [(i, sent(10) + passage + sent(10)) for i in range(3)]
+    rows += [(10 + i, short(rng.randint(0, 4)) + rng.choice(passages) + short(rng.randint(0, 4)) + rng.choice(passages)) for i in range(40)]
+    rows += [(60, "Of. A b. " * 30), (61, sent(13) + "A. B c. D. " * 6)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    for d, (t, s, gone) in brute_repeats(rows).items():
+        assert got[d].n_removed == len(gone)
+        assert got[d].text == "".join(t[x:y] for i, (x, y, _) in enumerate(s) if i not in gone)
+    assert passage in got[0].text and all(len(got[i].text.split()) == 20 for i in (1, 2))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(120)]
