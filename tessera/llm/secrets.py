@@ -5,15 +5,19 @@ Three base kinds are found by pattern: ``assign`` (a credential name, a separato
 contexts the method takes the value and finds the cheapest way to guess it: a segmentation into
 dictionary words, dates, repeats, keyboard walks and brute-force characters whose summed log10
 guesses are least. Values that stay expensive are added as kind ``guess``; base spans always stay.
+The dictionary is the fixed list of password words and the words of all languages in the documents,
+ranked by how many documents have them outside credential contexts (``common_words``).
 
 Defined results: a null text counts as empty (no spans); repeated rows give repeated results; a
 text of any length is scanned whole; extra columns are dropped; an empty table gives an empty
-result. One narrow map: no shuffle, no hot key.
+result; words that fewer than ``LEAST_DOCS`` rows have are not in the dictionary. One count of words,
+combined before its shuffle, and one narrow map.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from math import log10
@@ -28,6 +32,11 @@ from tessera.llm.common import table
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret, and its least length.
 THRESHOLD, SHORTEST = 10.0, 6
+#: Words of the dictionary are in so many documents at least; the broadcast holds so many words at most, of
+#: at most so many letters (so 200,000 words are 26 MB at the very most, and 2 MB at ten letters a word).
+LEAST_DOCS, MOST_WORDS, WORD_LETTERS = 5, 200_000, 32
+#: Distinct words that a task counts before it hands the counts on.
+_HELD_WORDS = 200_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -49,7 +58,7 @@ WORDS = (
     "with from this have not for are was but all can one out day get has him his how man new now old see two way who boy did its let put say she too use"
 ).split()
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST_WORD = max(map(len, WORDS))
+_PLAIN_WORD = re.compile(rf"\b[^\W\d_]{{3,{WORD_LETTERS}}}\b")
 #: Rows of a keyboard; a walk steps to a neighbour in its row.
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in _ROWS for a, b in zip(row, row[1:], strict=False)}
@@ -62,13 +71,45 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else log10(26) if c.islower() or c.isupper() else log10(33)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def ranked(words: list[str]) -> dict[str, int]:
+    """Ranks of the fixed words and of ``words``, the most frequent first; the better of two."""
+    ranks = {w: i + 1 for i, w in enumerate(words)}
+    return ranks | {w: min(r, ranks.get(w, r)) for w, r in _RANK.items()}
+
+
+def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
+    """The words of three letters or more in at least LEAST_DOCS rows, those in most rows first, ties by the word; MOST_WORDS at most.
+
+    Values in credential contexts do not count, so a secret that copies share is not a word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    counts.update(set(_PLAIN_WORD.findall(_CONTEXT.sub(" ", _ASSIGN.sub(" ", text)).lower())))
+                    if len(counts) > _HELD_WORDS:
+                        yield give()
+                        counts.clear()
+        yield give()
+
+    counted = df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    rows = counted.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    return [r.word for r in rows if len(set(r.word)) > 1]
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """Least log10 guesses for ``value``, and the segmentation (kind, start, end) that attains it.
 
     best[i] is the least cost of the first i characters; each segment adds its own log10 guesses and
-    a small charge for one more piece in the order of pieces. Time is linear in the length, as words
-    and dates are short and of each repeat and walk only the whole run and its ends are tried.
+    a small charge for one more piece in the order of pieces. Every part of three characters or more of a
+    repeat or walk may be a segment. Time is linear in the length: no other segment is longer than ``longest``
+    (the longest word, or a date), so beyond that many characters from where a run begins, a segment that began
+    earlier in the run is as cheap as any longer one from there.
     """
+    longest = max(10, longest or max(map(len, ranks)))
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best, back = [0.0] + [float("inf")] * n, [("", 0)] * (n + 1)
@@ -78,6 +119,10 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if best[i] + cost < best[j]:
             best[j], back[j] = best[i] + cost, (kind, i)
 
+    def offer_parts(kind: str, i: int, begin: int, end: int, cost: float) -> None:
+        for j in range(i + 3, (end if i - begin <= longest else min(end, i + longest)) + 1):
+            offer(kind, i, j, cost + log10(j - i) + step)
+
     # ends of the runs of one character and of keyboard walks that begin at each place
     same, walk = list(range(1, n + 1)), list(range(1, n + 1))
     for i in range(n - 2, -1, -1):
@@ -85,17 +130,20 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             same[i] = same[i + 1]
         if (low[i], low[i + 1]) in _NEXT:
             walk[i] = walk[i + 1]
+    first_same = first_walk = 0
     for i in range(n):
+        if i and same[i] != same[i - 1]:
+            first_same = i
+        if i and walk[i] != walk[i - 1]:
+            first_walk = i
         offer("brute", i, i + 1, _char_cost(value[i]))
-        if (j := same[i]) - i >= 3:
-            offer("repeat", i, j, _char_cost(value[i]) + log10(j - i) + step)
-        if (j := walk[i]) - i >= 3:
-            offer("walk", i, j, log10(40) + log10(j - i) + step)
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            rank = _RANK.get(low[i:j])
+        offer_parts("repeat", i, first_same, same[i], _char_cost(value[i]))
+        offer_parts("walk", i, first_walk, walk[i], log10(40))
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j])
             if rank is not None:
                 offer("word", i, j, log10(rank + 1) + (0 if value[i:j] == low[i:j] else step) + step)
-            elif (rank := _RANK.get(plain[i:j])) is not None:
+            elif (rank := ranks.get(plain[i:j])) is not None:
                 offer("word", i, j, log10(rank + 1) + 3 * step)
         if value[i].isdigit() and (m := _DATE.match(value, i, i + 10)):
             offer("date", i, m.end(), log10(365 * 100 if m.end() - i > 4 else 200) + step)
@@ -110,7 +158,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], pieces[::-1]
 
 
-def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, str, int]]:
+def spans(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int] = _RANK, longest: int | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret in a text, by start and then kind in the order of KINDS."""
     if not text:
         return []
@@ -121,36 +169,42 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, str
         start, end = m.span(1)
         while end > start and text[end - 1] in ".)]}!?:":
             end -= 1
-        if end - start >= SHORTEST and guess_cost(text[start:end])[0] >= threshold:
+        if end - start >= SHORTEST and guess_cost(text[start:end], ranks, longest)[0] >= threshold:
             found.append((start, 3, end))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, spans array<struct<kind, start, end>>): code points, end exclusive."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
+    """(id, spans array<struct<kind, start, end>>): code points, end exclusive. Without ``words`` those of ``df`` are counted."""
+    known = df.sparkSession.sparkContext.broadcast(common_words(df, text_col) if words is None else words)
     own = df.select(F.col(id_col), F.col(text_col))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([own.schema[0], T.StructField("spans", T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranked(known.value)
+        longest = max(map(len, ranks))
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t, threshold)] for t in batch.column(1).to_pylist()]
+            found = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t, threshold, ranks, longest)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=out.names)
 
     return own.mapInArrow(run, out)
 
 
-def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with every secret in its text replaced by ``mark``; overlapping spans become one. Null stays null."""
+def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
+    """``df`` with every secret in its text replaced by ``mark``; overlapping spans become one. Null stays null. ``words`` as in ``scan``."""
+    known = df.sparkSession.sparkContext.broadcast(common_words(df, text_col) if words is None else words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranked(known.value)
+        longest = max(map(len, ranks))
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
             done = []
             for text in batch.column(k).to_pylist():
                 parts, at = [], 0
-                for start, _, end in spans(text, threshold):
+                for start, _, end in spans(text, threshold, ranks, longest):
                     if start >= at:
                         parts += [text[at:start], mark]
                     at = max(at, end)

@@ -191,6 +191,55 @@ def test_guess_cost_is_the_least():
         assert "".join(v[s:e] for _, s, e in pieces) == v
 
 
+def brute_parts_cost(value, ranks):
+    """Guess cost by trying every segment of every kind, with every part of repeats and walks."""
+    from math import log10
+
+    low, plain, step = value.lower(), value.lower().translate(secrets._LEET), log10(2)
+    best = [0.0] + [float("inf")] * len(value)
+    for j in range(1, len(value) + 1):
+        for i in range(j):
+            out = [secrets._char_cost(value[i])] if j - i == 1 else []
+            if j - i >= 3 and len(set(value[i:j])) == 1:
+                out.append(secrets._char_cost(value[i]) + log10(j - i) + step)
+            if j - i >= 3 and all(x in secrets._NEXT for x in zip(low[i:j], low[i + 1 : j])):
+                out.append(log10(40) + log10(j - i) + step)
+            if low[i:j] in ranks:
+                out.append(log10(ranks[low[i:j]] + 1) + (0 if value[i:j] == low[i:j] else step) + step)
+            elif plain[i:j] in ranks:
+                out.append(log10(ranks[plain[i:j]] + 1) + 3 * step)
+            m = secrets._DATE.match(value, i, i + 10) if value[i].isdigit() else None
+            if m and m.end() == j:
+                out.append(log10(365 * 100 if j - i > 4 else 200) + step)
+            best[j] = min([best[j], *(best[i] + x for x in out)])
+    return best[-1]
+
+
+def test_guess_cost_takes_parts_of_runs():
+    rng = random.Random(8)
+    ranks = secrets.ranked(["identifier", "abababababababababab", "aab", "consistency"])
+    bits = ["abcde", "football", "aaaa", "321", "2019-12-31", "ab" * 12, "a" * 40, "qwerty", "identifier", "7", "!", "S3cret", "ba" * 20]
+    assert abs(secrets.guess_cost("abcdefootball")[0] - brute_parts_cost("abcdefootball", secrets._RANK)) < 1e-9
+    assert secrets.guess_cost("abcdefootballabcdefootball")[0] < secrets.THRESHOLD
+    for _ in range(200):
+        v = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))
+        cost, pieces = secrets.guess_cost(v, ranks)
+        assert abs(cost - brute_parts_cost(v, ranks)) < 1e-9
+        assert "".join(v[s:e] for _, s, e in pieces) == v
+
+
+def test_words_of_the_documents_are_cheap(spark):
+    prose = ["la consistency vertraulichkeit %d" % i for i in range(secrets.LEAST_DOCS)]
+    copies = ["password: zyxkwvqjh"] * (2 * secrets.LEAST_DOCS)
+    texts = ["the secret is consistency", "Token: Vertraulichkeit", "the secret is xkqzwvjhpl", *prose, *copies, "rare vocable", None]
+    frame = docs(spark, texts)
+    assert secrets.common_words(frame) == ["consistency", "vertraulichkeit"]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(frame).collect()}
+    assert got[0] == [] and got[1] == ["assign"] and got[2] == ["guess"]
+    masked = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert masked[0] == texts[0] and masked[2] == "the secret is [SECRET]"
+
+
 def test_guess_spans_and_masks(spark):
     texts = ["pwd: Xk9$mQ2!vLz8 here", "pwd: password123 here", "password is required for all", "db://me:s3cr3tXk9mQ2@host", None, "password=abcdefgh12345 and 0123456789abcdef0123456789abcdef"]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(docs(spark, texts)).collect()}
