@@ -41,9 +41,10 @@ _HELD_WORDS = 200_000
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: Wider contexts: more names, arrows and "is", bearer headers, and passwords inside URLs.
+#: Wider contexts: more names, as parts of longer names too (DB_PASSWORD, secretAccessKey), arrows and "is",
+#: bearer headers, and passwords inside URLs, whose user may be empty. A value ends at "@" in a URL only.
 _CONTEXT = re.compile(
-    r"""(?:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|encryption|client)[_-]?(?:key|secret|token))["'`]?\s{0,2}(?::=|=>|->|[:=]|\bis\b)\s{0,2}["'`]?|\bbearer\s+|://[^\s:/@]{1,64}:)([^\s"'`,;<>@]{6,})""",
+    r"""(?:(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth|encryption|client)[_.-]?(?:key|secret|token))(?:[_.-]?(?:access|key|id|value|base|hash|text|string|secret|token|[0-9]+))*+["'`]?\s{0,2}(?::=|=>|->|[:=]|\bis\b)\s{0,2}["'`]?|\bbearer\s+)([^\s"'`,;<>]{6,})|://[^\s:/@]*+:([^\s"'`,;<>@]{6,})""",
     re.I | re.A,
 )
 
@@ -166,7 +167,7 @@ def spans(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int]
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _CONTEXT.finditer(text):
-        start, end = m.span(1)
+        start, end = m.span(m.lastindex)
         while end > start and text[end - 1] in ".)]}!?:":
             end -= 1
         if end - start >= SHORTEST and guess_cost(text[start:end], ranks, longest)[0] >= threshold:

@@ -240,6 +240,17 @@ def test_words_of_the_documents_are_cheap(spark):
     assert masked[0] == texts[0] and masked[2] == "the secret is [SECRET]"
 
 
+def test_contexts_are_parts_of_names(spark):
+    value = "p@ss!9xQ#22zz"
+    names = ["AWS_SECRET_ACCESS_KEY=%s", 'SECRET_KEY = "%s"', "DB_PASSWORD=%s", 'dbPassword: "%s"', "spring.datasource.password=%s", "x-auth-token: %s", "secret_key_base: %s", "clientSecretId => %s", "password2 is %s", "bearer %s"]
+    texts = [x % value for x in names] + ["redis://:s3cr3tXk9mQ2@host", f"db://{'u' * 100}:s3cr3tXk9mQ2@host", f"compass: {value}", f"secretary is {value}", "tokenize: " + value, "secret" + "1" * 5000]
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "guess"] for r in secrets.scan(docs(spark, texts)).collect()}
+    for i in range(len(names)):
+        assert got[i] == [value]
+    assert got[len(names)] == got[len(names) + 1] == ["s3cr3tXk9mQ2"]
+    assert not any(got[i] for i in range(len(names) + 2, len(texts)))
+
+
 def test_guess_spans_and_masks(spark):
     texts = ["pwd: Xk9$mQ2!vLz8 here", "pwd: password123 here", "password is required for all", "db://me:s3cr3tXk9mQ2@host", None, "password=abcdefgh12345 and 0123456789abcdef0123456789abcdef"]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(docs(spark, texts)).collect()}
