@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret, and its least length.
@@ -79,7 +79,7 @@ def ranked(words: list[str]) -> dict[str, int]:
 
 
 def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The words of three letters or more in at least LEAST_DOCS rows, those in most rows first, ties by the word; MOST_WORDS at most.
+    """The words of three letters or more in at least LEAST_DOCS rows, those in most rows first, ties by the word; MOST_WORDS at most (of words tied at the bound a hash picks).
 
     Values in credential contexts do not count, so a secret that copies share is not a word.
     """
@@ -97,8 +97,17 @@ def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
         yield give()
 
     counted = df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    rows = counted.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    return [r.word for r in rows if len(set(r.word)) > 1]
+    counted = materialise(counted, "words")
+    # the driver takes in no more than the bound: first how many words have each count, then those from the count that fits
+    left, least, part = MOST_WORDS, None, (0, 0)
+    for n, words in sorted(counted.groupBy("n").count().collect(), reverse=True):
+        if words > left:
+            part = (n, words)
+            break
+        left, least = left - words, n
+    tied = (F.col("n") == part[0]) & (F.pmod(F.xxhash64("word"), F.lit(max(1, part[1]))) < left)
+    rows = counted.where(tied if least is None else tied | (F.col("n") >= least)).collect()
+    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))[:MOST_WORDS] if len(set(r.word)) > 1]
 
 
 def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None = None) -> tuple[float, list[tuple[str, int, int]]]:

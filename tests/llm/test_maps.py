@@ -251,6 +251,15 @@ def test_contexts_are_parts_of_names(spark):
     assert not any(got[i] for i in range(len(names) + 2, len(texts)))
 
 
+def test_common_words_are_bounded(spark, monkeypatch):
+    texts = [" ".join(w for w, n in (("alpha", 9), ("beta", 8), ("gamma", 8), ("delta", 6), ("omega", 6), ("rho", 4)) if i < n) for i in range(9)]
+    for most, want in ((10, ["alpha", "beta", "gamma", "delta", "omega"]), (3, ["alpha", "beta", "gamma"]), (1, ["alpha"])):
+        monkeypatch.setattr(secrets, "MOST_WORDS", most)
+        assert secrets.common_words(docs(spark, texts)) == want
+    monkeypatch.setattr(secrets, "MOST_WORDS", 4)
+    assert secrets.common_words(docs(spark, texts))[:3] == ["alpha", "beta", "gamma"] and len(secrets.common_words(docs(spark, texts))) <= 4
+
+
 def test_guess_spans_and_masks(spark):
     texts = ["pwd: Xk9$mQ2!vLz8 here", "pwd: password123 here", "password is required for all", "db://me:s3cr3tXk9mQ2@host", None, "password=abcdefgh12345 and 0123456789abcdef0123456789abcdef"]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(docs(spark, texts)).collect()}
