@@ -1,8 +1,9 @@
 """HTML extraction by composite text density.
 
 A page is parsed into a tree, and subtrees that are never article text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) are left out by element and by the words of
-class, id and role. For every node left, the characters per tag, adjusted for links, give its density;
+sidebars, scripts, styles, comments) are left out by element. A form, or a subtree that the words of class, id or
+role call a sidebar, notice, advert and so on, is left out only if it holds no article or main element and, on a page
+that has none of these with text, is not on the path to the densest node of the whole page. For every node left, the characters per tag, adjusted for links, give its density;
 the sum over its children its density sum. The node of the largest sum is the core; the least density
 on its path to the body is the threshold; every subtree that reaches it adds its own node of largest
 sum, and the smallest subtree over all of these is the article.
@@ -44,7 +45,9 @@ _ENDS_P = _BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot
 _P_WALLS = frozenset("article aside blockquote body button caption dd details div dl dt fieldset figcaption figure footer form header html li main nav ol section table td th tr ul".split())
 
 #: Never article text: elements, and words of class, id and role.
-_OUT = frozenset("script style noscript template iframe object embed svg canvas audio video nav footer aside form button select textarea input label fieldset dialog menu search head title noembed noframes".split())
+_OUT = frozenset("script style noscript template iframe object embed svg canvas audio video nav footer aside button select textarea input label dialog menu search head title noembed noframes".split())
+#: Left out unless they hold the article: forms, and what these words name.
+_FORMS = frozenset("form fieldset".split())
 _OUT_WORDS = frozenset(
     "nav navbar navigation menu menubar footer sidebar aside ad ads advert adverts advertisement advertising adsbygoogle banner promo promotion sponsor sponsored "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search share sharing social "
@@ -56,10 +59,11 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "links", "link_tags", "density", "total", "kids")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "links", "link_tags", "density", "total", "kids", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
+        self.doubtful = False  # left out unless it holds the article
         self.parts: list = []  # texts and nodes, in page order
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
@@ -75,12 +79,15 @@ def _left_out(tag: str, attrs: str, parent: Node) -> bool:
             up = up.parent
         if up is None or tag not in _HEADINGS and tag not in ("header", "hgroup", "div"):
             return True
+    return tag not in ("body", "html", "article", "main") and any(m[1].lower() == "hidden" for m in _ATTR.finditer(attrs))
+
+
+def _doubtful(tag: str, attrs: str) -> bool:
+    if tag in _FORMS:
+        return True
     if attrs and tag not in ("body", "html", "article", "main"):
         for m in _ATTR.finditer(attrs):
-            name = m[1].lower()
-            if name == "hidden":
-                return True
-            if name != "aria-label" and any(w.lower() in _OUT_WORDS for w in _WORD.findall(m[2] or m[3] or m[4] or "")):
+            if m[1].lower() in ("class", "id", "role") and any(w.lower() in _OUT_WORDS for w in _WORD.findall(m[2] or m[3] or m[4] or "")):
                 return True
     return False
 
@@ -120,6 +127,7 @@ def parse(html: str) -> Node:
         if tag in ("body", "html") and any(x.tag == tag for x in _path(top)):
             continue
         node = Node(tag, top, _left_out(tag, m[3] or "", top))
+        node.doubtful = not node.out and _doubtful(tag, m[3] or "")
         top.parts.append(node)
         if tag in _RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
@@ -159,6 +167,7 @@ def _weigh(order: list[Node], body: Node) -> None:
     """Composite density of every node, and the sum over its children (a leaf: its own)."""
     share = body.links / max(1, body.chars)
     for node in order:
+        node.density = 0.0
         c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.links), max(1, node.link_tags)
         if c:
             plain = max(1, c - node.links)
@@ -168,6 +177,15 @@ def _weigh(order: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.kids) if node.kids else node.density
 
 
+def _leave_out(order: list[Node], body: Node) -> None:
+    """Mark as left out what is doubtful and does not hold the article."""
+    held = [x for x in order if x.tag in ("article", "main") and x.chars] or [max(order, key=lambda x: x.total)]
+    stay = {id(x) for node in held for x in _upto(node, body)}
+    for node in order:
+        if node.doubtful and id(node) not in stay:
+            node.out = True
+
+
 def select(root: Node) -> Node | None:
     """The smallest subtree over the core and all parts that reach the threshold."""
     body = next((x for x in _walk(root) if x.tag == "body"), root)
@@ -175,6 +193,12 @@ def select(root: Node) -> Node | None:
     if not body.chars:
         return None
     _weigh(order, body)
+    if any(x.doubtful for x in order):
+        _leave_out(order, body)
+        order = _measure(body)
+        if not body.chars:
+            return None
+        _weigh(order, body)
     core = max(order, key=lambda x: x.total)  # the first of equals
     threshold = min(x.density for x in _upto(core, body))
     best: dict[int, Node] = {}

@@ -320,3 +320,15 @@ def test_html_by_density_alone():
     html = f"<body><div id=x>{links}</div><div id=y><h2>Story</h2>{body}</div><div id=z>{links}</div></body>"
     text = html_text.extract(html)
     assert text.startswith("Story\n\nSentence number 0") and "Link number" not in text and text.count("\n\n") == 6
+
+
+def test_html_keeps_articles_in_doubtful_wrappers():
+    story = "".join(f"<p>Sentence number {i} of the story goes on and on for a good while here.</p>" for i in range(6))
+    want = "\n\n".join(f"Sentence number {i} of the story goes on and on for a good while here." for i in range(6))
+    ad = '<div class="ad"><p>Buy this now, it is cheap.</p></div>'
+    note = '<div id="cookie-notice"><form><p>We use cookies on this page.</p></form></div>'
+    for start, end in (('<div class="layout has-sidebar">', "</div>"), ('<div id="content" class="with-comments">', "</div>"), ('<div class="post share-enabled">', "</div>"), ("<form action=x>", "</form>"), ("<form><fieldset>", "</fieldset></form>")):
+        for inner, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")):
+            assert html_text.extract(f"<body>{note}{start}{inner}{story}{ad}{close}{ad}{end}{ad}</body>") == want
+    replies = '<div class="comments">' + "<p>A long reply that is not the article at all, and goes on for long.</p>" * 30 + "</div>"
+    assert html_text.extract(f"<body><article>{story}</article>{replies}</body>") == want
