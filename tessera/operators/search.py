@@ -2,49 +2,105 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as TX
 from tessera.functions import vectors as V
+from tessera.operators import tiled
 
 # -- BM25 -----------------------------------------------------------------------------------------
 
 
+#: Short surfaces that are compared with every text, at most; more of them are joined.
+LOOP_SURFACES = 500
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, although lambdas inside use it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, dl, terms array<struct<tok, tf>>): the tokens of every chunk counted where the chunk lies, without a shuffle.
+
+    Equal tokens of a sorted list are neighbours, so a token's count is the distance between two changes.
+    """
+
+    def counted(s: Column) -> Column:
+        changes = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        terms = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("tok"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("long").alias("tf")))
+        none = F.array().cast("array<struct<tok: string, tf: bigint>>")
+        return F.struct(F.size(s).alias("dl"), F.when(F.size(s) > 0, _bound(changes, terms)).otherwise(none).alias("terms"))
+
+    found = chunks.select(F.col(id_col).alias("id"), _bound(F.array_sort(TX.tokens(F.coalesce(F.col(text_col), F.lit("")))), counted).alias("c"))
+    return found.select("id", "c.dl", "c.terms")
+
+
 def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(tok, id, tf, dl): one row for each token of each chunk, with the chunk's length in tokens."""
-    toks = chunks.select(F.col(id_col).alias("id"), TX.tokens(F.col(text_col)).alias("toks"))
-    return toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).groupBy("tok", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return term_counts(chunks, id_col, text_col).select("id", "dl", F.explode("terms").alias("t")).select("t.tok", "id", "t.tf", "dl")
 
 
-def term_weights(posts: DataFrame, n_chunks: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(tok, idf): ln(N - df + 0.5) - ln(df + 0.5), negative ones raised to epsilon times the mean over all terms.
+def term_weights(df: DataFrame, n_chunks: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(tok, df, idf): ln(N - df + 0.5) - ln(df + 0.5) of terms (tok, df), negative ones raised to epsilon times the mean over all terms.
 
     ``n_chunks`` has one row with column n.
     """
-    df = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n_chunks), how="cross")
-    raw = df.select("tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = df.join(F.broadcast(n_chunks.select("n")), how="cross").select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean), how="cross").select("tok", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.join(F.broadcast(mean), how="cross").select("tok", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def build_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
+    """The BM25 index as tables: postings (tok, id, tf, dl), terms (tok, df, idf) and totals (n, avgdl; one row)."""
+    counted = term_counts(chunks, id_col, text_col)
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = counted.select(F.explode("terms.tok").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    return {"postings": counted.select("id", "dl", F.explode("terms").alias("t")).select("t.tok", "id", "t.tf", "dl"), "terms": term_weights(terms, totals), "totals": totals}
+
+
+def save_index(index: dict[str, DataFrame], path: str, parts: int = 64) -> None:
+    """Write the tables of an index (of any: names, aliases, vectors too) below a folder; postings lie in ranges of tokens, so few files hold a token."""
+    for name, df in index.items():
+        if "tok" in df.columns:
+            df = df.repartitionByRange(parts, "tok").sortWithinPartitions("tok")
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
 
+def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "terms", "totals")) -> dict[str, DataFrame]:
+    """The tables of a saved index."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 3, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+
+def bm25_search(index: dict[str, DataFrame], questions: DataFrame, k: int | None = 3, k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best chunks of every question (qid, query); scores to 6 places, ties by id.
 
-    Only postings of question tokens are scored. Chunks without any question token are not listed.
+    Postings meet the question tokens before anything is shuffled or summed. Chunks without any question token are not
+    listed. Question tokens that more than ``most_frequent`` of the chunks hold are left out, if it is given.
     """
-    posts = postings(chunks, id_col, text_col)
-    totals = chunks.select(F.size(TX.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = questions.select("qid", F.explode(TX.tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = term_weights(posts, totals.select("n")).join(asked.select("tok").distinct(), "tok", "left_semi")
-    hits = posts.join(weights, "tok").join(F.broadcast(totals.select("avgdl")), how="cross")
+    weights, totals = index["terms"], F.broadcast(index["totals"])
+    if most_frequent is not None:
+        weights = weights.join(totals.select("n"), how="cross").where(F.col("df") <= F.col("n") * most_frequent)
+    weights = weights.select("tok", "idf").join(asked.select("tok").distinct(), "tok", "left_semi")
+    hits = index["postings"].join(weights, "tok").join(totals.select("avgdl"), how="cross")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.select("tok", "id", part.alias("part")).join(asked, "tok").groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.col("id")], k)
 
 
+def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 3, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None) -> DataFrame:
+    """``bm25_search`` over the index of ``chunks``, built on the way."""
+    return bm25_search(build_index(chunks, id_col, text_col), questions, k, k1, b, most_frequent)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
     """``df`` with its rank in a total order, the first k of each key (all if k is None)."""
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -63,58 +119,54 @@ def hash_embedding(texts: DataFrame, id_col: str, text_col: str, buckets: int =
     return counts.join(length, "id").select("id", "bucket", (F.col("c") / F.col("len")).alias("weight"))
 
 
-def sparse_neighbors(a: DataFrame, b: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """(a_id, b_id, sim, rank): the k most similar of b for each of a, by shared buckets of unit vectors."""
-    x, y = a.select(F.col("id").alias("a_id"), "bucket", F.col("weight").alias("wa")), b.select(F.col("id").alias("b_id"), "bucket", F.col("weight").alias("wb"))
-    sims = x.join(y, "bucket").groupBy("a_id", "b_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim")).where(F.col("sim") >= least)
-    return top_k(sims, ["a_id"], [F.desc("sim"), F.col("b_id")], k)
+def dense(embedding: DataFrame, buckets: int = 1024, rows: int = 256) -> DataFrame:
+    """(id, v): sparse vectors (id, bucket, weight) written out, ``rows`` of them at a time."""
+    lists = embedding.groupBy("id").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))
+    schema = T.StructType([lists.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                v = np.zeros((part.num_rows, buckets))
+                sizes = np.diff(part.column(1).offsets.to_numpy())
+                v[np.repeat(np.arange(part.num_rows), sizes), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * buckets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], names=schema.names)
 
-def cosine_within(queries: DataFrame, candidates: DataFrame, group: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, id, sim, rank): the k most similar candidates of the same group, the query itself left out."""
-    q = queries.select(F.col(id_col).alias("qid"), F.col(group).alias("g"), V.unit(V.as_double(F.col(vec_col))).alias("qv"))
-    c = candidates.select(F.col(id_col).alias("id"), F.col(group).alias("g"), V.unit(V.as_double(F.col(vec_col))).alias("cv"))
-    sims = q.join(c, "g").where("qid <> id").select("qid", "id", F.round(V.dot(F.col("qv"), F.col("cv")), 6).alias("sim"))
-    return top_k(sims, ["qid"], [F.desc("sim"), F.col("id")], k)
+    return lists.mapInArrow(run, schema)
 
 
-def vector_top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """(qid, id, sim, rank): exact top-k by inner product of unit vectors, the query itself left out.
+def sparse_neighbors(a: DataFrame, b: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """(a_id, b_id, sim, rank): the k most similar of b for each of a, of those that share a bucket of their unit vectors.
 
-    Queries go out in blocks of bounded size; each task multiplies a block with its rows as matrices and
-    keeps its own k best of each query, so only those meet in the final ranking.
+    Common buckets would pair almost everything, so the vectors are written out and multiplied as tiles.
     """
-    import numpy as np
-
-    spark = candidates.sparkSession
-    unit = lambda df: df.select(F.col(id_col).cast("long").alias("id"), V.unit(V.as_double(F.col(vec_col))).alias("v")).where("id is not null and v is not null")
-    asked, cand, parts = unit(queries), unit(candidates), []
-    blocks = max(1, -(-asked.count() // block))
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([r.v for r in rows])))
-
-        def best(frames, shared=shared):
-            import pandas as pd
-
-            ids, q = shared.value
-            for f in frames:
-                order = np.argsort(f["id"].to_numpy(), kind="stable")
-                c_ids, c = f["id"].to_numpy()[order], np.stack(f["v"].to_numpy())[order]
-                for at in range(0, len(ids), 512):
-                    s = np.round(q[at : at + 512] @ c.T, 6)
-                    s[ids[at : at + 512, None] == c_ids[None, :]] = -np.inf
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(s, top, 1)
-                    keep = found > -np.inf
-                    yield pd.DataFrame({"qid": np.repeat(ids[at : at + 512], keep.sum(1)), "id": c_ids[top][keep], "sim": found[keep]})
-
-        parts.append(cand.mapInPandas(best, "qid long, id long, sim double"))
-    if not parts:
-        return spark.createDataFrame([], "qid long, id long, sim double, rank int")
-    return top_k(reduce(DataFrame.unionByName, parts), ["qid"], [F.desc("sim"), F.col("id")], k)
+    one = lambda df: dense(df).select(F.lit(0).alias("g"), "id", "v")
+    found = tiled.top_k(one(b), one(a), k, lambda q, c: (q @ c.T).round(6), itself=True).where((F.col("score") >= least) & (F.col("score") > 0))
+    return found.select(F.col("query_id").alias("a_id"), F.col("vec_id").alias("b_id"), F.col("score").alias("sim"), "rank")
+
+
+def _unit_rows(df: DataFrame, group, id_col: str, vec_col: str) -> DataFrame:
+    """(g, id, v): unit vectors without nulls."""
+    out = df.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), V.unit(V.as_double(F.col(vec_col))).alias("v"))
+    return out.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+
+
+def _nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    asked = queries.groupBy("id").agg(F.min(F.struct("g", "v")).alias("x")).select("x.g", "id", "x.v")
+    found = tiled.top_k(candidates, asked, k, lambda q, c: (q @ c.T).round(6))
+    return found.select(F.col("query_id").alias("qid"), F.col("vec_id").alias("id"), F.col("score").alias("sim"), "rank")
+
+
+def cosine_within(queries: DataFrame, candidates: DataFrame, group: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, sim, rank): the k most similar candidates of the same group, the query itself left out; sims to 6 places, ties by id."""
+    return _nearest(_unit_rows(candidates, F.col(group), id_col, vec_col), _unit_rows(queries, F.col(group), id_col, vec_col), k)
+
+
+def vector_top_k(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, sim, rank): exact top-k by inner product of unit vectors, the query itself left out."""
+    return _nearest(_unit_rows(candidates, F.lit(0), id_col, vec_col), _unit_rows(queries, F.lit(0), id_col, vec_col), k)
 
 
 # -- linking --------------------------------------------------------------------------------------
@@ -125,20 +177,33 @@ _RAW_TOKENS = r"([\p{L}\p{N}]+)"
 def substring_join(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
     """(id, sid, surface): texts (id, text) that contain a surface (sid, surface).
 
-    Each surface is found by its longest inner token (its edge tokens may be cut by the text around),
-    an equi-join, and then verified. Surfaces of fewer than three tokens, which have no inner token,
-    take a loop over the texts.
+    A surface is found by its inner tokens (its edge tokens may be cut by the text around): all of them must be
+    somewhere in the texts, and the one that the fewest texts have is the key of an equi-join, which is then
+    verified. Surfaces of fewer than three tokens have no inner token. A counted few of them are compared with
+    every text; more are found by their first characters, joined with the texts' own runs of so many.
     """
     toks = F.regexp_extract_all(F.col("surface"), F.lit(_RAW_TOKENS), F.lit(1))
-    inner = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
-    seed = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    seeded = surfaces.select("sid", "surface", seed.alias("tok"))
-    long, short = seeded.where("tok is not null"), seeded.where("tok is null").select("sid", "surface")
+    cut = surfaces.where("surface is not null and surface <> ''").select("sid", "surface", F.array_distinct(F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))).alias("inner"))
     posts = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_RAW_TOKENS), F.lit(1)))).alias("tok"))
-    pairs = posts.join(long, "tok").select("id", "sid", "surface")
-    by_seed = pairs.join(texts, "id").where(F.contains("text", "surface")).select("id", "sid", "surface")
-    by_loop = texts.join(short, F.contains(texts["text"], short["surface"])).select("id", "sid", "surface")
-    return by_seed.unionByName(by_loop)
+    parts = cut.select("sid", "surface", F.size("inner").alias("n"), F.explode("inner").alias("tok"))
+    rarity = posts.join(parts.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    found = parts.join(rarity, "tok").groupBy("sid", "surface").agg(F.count(F.lit(1)).alias("here"), F.max("n").alias("n"), F.min(F.struct("df", "tok")).alias("least"))
+    seeded = found.where("here = n").select("sid", "surface", F.col("least.tok").alias("tok"))
+    pairs = posts.join(seeded, "tok").select("id", "sid", "surface")
+    short = cut.where(F.size("inner") == 0).select("sid", "surface")
+    few = short.limit(LOOP_SURFACES + 1).count() <= LOOP_SURFACES
+    if few:
+        looped = texts.join(F.broadcast(short), F.contains(texts["text"], short["surface"])).select("id", "sid", "surface")
+    else:
+        sizes = (1, 2, 3, 4)
+        size = F.least(F.length("surface"), F.lit(max(sizes)))
+        heads = short.select("sid", "surface", F.substring("surface", F.lit(1), size).alias("tok"))
+        wanted = short.select(size.alias("n")).distinct().agg(F.collect_set("n").alias("ns"))  # four sizes at most
+        grams = F.flatten(F.transform("ns", lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))).otherwise(F.array().cast("array<string>"))))
+        runs = texts.join(F.broadcast(wanted), how="cross").select("id", F.explode(F.array_distinct(grams)).alias("tok"))
+        pairs = pairs.unionByName(runs.join(heads, "tok").select("id", "sid", "surface"))
+    by_key = pairs.join(texts, "id").where(F.contains("text", "surface")).select("id", "sid", "surface")
+    return by_key.unionByName(looped) if few else by_key
 
 
 def entities_in_text(texts: DataFrame, aliases: DataFrame, labels: list[str] | None = None) -> DataFrame:

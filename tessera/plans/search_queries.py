@@ -38,12 +38,15 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 GOLD_SQL = "gold AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 
 
+def _channel(sp, d, name):
+    """The ten best documents of every question: by BM25, or by BM25 without the words that over a twentieth of all documents have."""
+    found = S.bm25(_docs(sp, d), _questions(sp, d), k=10, most_frequent=0.05 if name == "bm25_rare" else None)
+    return found.select(F.lit(name).alias("channel"), "qid", "id", F.col("rank").alias("pos"))
+
+
 def evaluated(sp, d):
     """BM25 as it is and with the most frequent words dropped, as two channels, against verbatim passages."""
-    q, gold = _questions(sp, d), _gold(sp, d)
-    full = S.bm25(_docs(sp, d), q, k=10).select(F.lit("bm25").alias("channel"), "qid", "id", F.col("rank").alias("pos"))
-    head = S.bm25(_docs(sp, d), q.withColumn("query", F.substring("query", 1, 40)), k=10).select(F.lit("bm25_head").alias("channel"), "qid", "id", F.col("rank").alias("pos"))
-    return full.unionByName(head), gold
+    return _channel(sp, d, "bm25").unionByName(_channel(sp, d, "bm25_rare")), _gold(sp, d)
 
 
 EV_SQL = "WITH " + BM25_SQL + ", " + GOLD_SQL + """,
@@ -54,22 +57,38 @@ SELECT count(*) AS n, round(avg(CASE WHEN first <= 3 THEN 1.0::DOUBLE ELSE 0 END
 
 
 def ev3(sp, d):
-    ranked, gold = evaluated(sp, d)
-    return E.retrieval_scores(ranked.where("channel = 'bm25'").drop("channel"), gold)
+    return E.retrieval_scores(_channel(sp, d, "bm25").drop("channel"), _gold(sp, d))
+
+
+#: The second channel beside the first: its ranks, and scores of both by channel.
+RARE_SQL = """,
+sc2 AS (SELECT qid, tf.id, round(sum(qtf * (idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
+  FROM qt JOIN tf USING (tok) JOIN idf USING (tok) JOIN dl ON dl.id = tf.id JOIN (SELECT tok, count(*) AS df FROM tf GROUP BY tok) c USING (tok), st WHERE df <= n * 0.05::DOUBLE GROUP BY qid, tf.id),
+ch AS (SELECT 'bm25' AS channel, qid, id, rank FROM rk UNION ALL SELECT 'bm25_rare', qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) FROM sc2),
+gd AS (SELECT DISTINCT qid, id FROM gold)"""
+EV7_SQL = "WITH " + BM25_SQL + ", " + GOLD_SQL + RARE_SQL + """,
+ng AS (SELECT channel, qid, n_gold FROM (SELECT qid, count(*) AS n_gold FROM gd GROUP BY qid), (SELECT DISTINCT channel FROM ch)),
+f AS (SELECT ng.channel, ng.qid, n_gold, min(rank) AS first, count(rank) FILTER (rank <= 10) AS w FROM ng LEFT JOIN (SELECT ch.* FROM ch JOIN gd USING (qid, id) WHERE rank <= 10) x ON x.qid = ng.qid AND x.channel = ng.channel GROUP BY 1, 2, 3),
+e AS (SELECT channel, round(avg(CASE WHEN first <= 3 THEN 1.0::DOUBLE ELSE 0 END), 4) AS h, round(avg(w::DOUBLE / n_gold), 4) AS c FROM f GROUP BY channel)
+SELECT 'single' AS qtype, a.h AS hit_at_3_on, b.h AS hit_at_3_off, a.c AS coverage_at_10_on, b.c AS coverage_at_10_off, round(a.h - b.h, 4) AS hit_at_3_gain, round(a.c - b.c, 4) AS coverage_at_10_gain
+FROM e a, e b WHERE a.channel = 'bm25' AND b.channel = 'bm25_rare'"""
+EV8_SQL = "WITH " + BM25_SQL + ", " + GOLD_SQL + RARE_SQL + """
+SELECT qid, max(CASE WHEN channel = 'bm25' AND rank <= 3 THEN 1 ELSE 0 END) AS bm25_hit, max(CASE WHEN channel = 'bm25_rare' AND rank <= 3 THEN 1 ELSE 0 END) AS bm25_rare_hit
+FROM gd LEFT JOIN ch USING (qid, id) GROUP BY qid"""
 
 
 def ev7(sp, d):
     """The two channels side by side."""
     ranked, gold = evaluated(sp, d)
     scores = E.retrieval_scores(ranked, gold, by=["channel"]).withColumn("qtype", F.lit("single"))
-    return E.ablation(scores, "channel", "bm25", "bm25_head", ["hit_at_3", "coverage_at_10"], ["qtype"])
+    return E.ablation(scores, "channel", "bm25", "bm25_rare", ["hit_at_3", "coverage_at_10"], ["qtype"])
 
 
 def ev8(sp, d):
     ranked, gold = evaluated(sp, d)
     hits = ranked.join(gold, ["qid", "id"]).withColumn("hit", F.col("pos") <= 3)
     frame = gold.select("qid").distinct().withColumn("channel", F.lit("bm25")).withColumn("hit", F.lit(False))
-    return E.per_question(hits.select("qid", "channel", "hit").unionByName(frame.select("qid", "channel", "hit")), ["bm25", "bm25_head"])
+    return E.per_question(hits.select("qid", "channel", "hit").unionByName(frame.select("qid", "channel", "hit")), ["bm25", "bm25_rare"])
 
 
 def embedded(sp, d):
@@ -120,12 +139,27 @@ def in_text(sp, d):
 
 
 def linked(sp, d):
-    """Each document's entities, by alias, or else by similar names of its first words."""
+    """Each document's entities, by alias, or else by names like the whole document."""
     docs = table(sp, d, "documents").select(F.col("doc_id").alias("id"), F.col("text"))
-    names = _aliases(sp, d).groupBy(F.col("entity_id").alias("id"), "label").agg(F.min(F.substring("surface", 1, 60)).alias("name"))
+    names = _aliases(sp, d).groupBy(F.col("entity_id").alias("id"), "label").agg(F.min("surface").alias("name"))
     return S.link_entities(docs, _aliases(sp, d), names, ["even", "odd"], k=2, least=0.45)
 
 
+#: Grams of words between spaces, of lower-cased texts with white space folded; sums over shared buckets.
+LINK_SQL = "WITH " + ALIAS_SQL + r""",
+hit AS (SELECT DISTINCT d.doc_id AS id, entity_id, label FROM documents d JOIN al ON contains(d.text, al.surface)),
+tx AS (SELECT 'd' AS k, doc_id AS id, text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT id FROM hit)
+  UNION ALL SELECT 'n', entity_id, min(surface) FROM al GROUP BY entity_id, label),
+w AS (SELECT k, id, ' ' || w || ' ' AS w FROM (SELECT k, id, unnest(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ')) AS w FROM tx) WHERE w <> ''),
+g AS (SELECT k, id, unnest(list_concat(list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substring(w, i, 2)), list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substring(w, i, 3)))) AS g FROM w),
+c AS (SELECT k, id, CAST(('0x' || substring(md5(g), 1, 8)) AS BIGINT) % 1024 AS bucket, CAST(count(*) AS DOUBLE) AS c FROM g GROUP BY 1, 2, 3),
+u AS (SELECT k, id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY k, id)) AS w FROM c),
+s AS (SELECT a.id, b.id AS entity_id, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b USING (bucket) WHERE a.k = 'd' AND b.k = 'n' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entity_id) AS r FROM s WHERE sim >= 0.45)
+SELECT id, entity_id, label, 'alias' AS method FROM hit UNION ALL
+SELECT r.id, entity_id, label, 'embedding' FROM r JOIN (SELECT DISTINCT entity_id, label FROM al) USING (entity_id) WHERE r <= 2"""
+
+
 def _mentions(sp, d):
     return table(sp, d, "benchmark").select(F.floor(F.col("item_id") / 2).cast("long").alias("id"), (F.col("item_id") % 7).alias("mention_count")).groupBy("id").agg(F.max("mention_count").alias("mention_count"))
 
@@ -195,7 +229,7 @@ QUERIES = {
     "idx6_name_index": (similar_names, EMBED_SQL + """, u AS (SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM c),
 s AS (SELECT a.id AS a_id, b.id AS b_id, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b USING (bucket) GROUP BY 1, 2)
 SELECT a_id, b_id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS r FROM s) WHERE r <= 4"""),
-    "idx7_link_entities": (linked, None),
+    "idx7_link_entities": (linked, LINK_SQL),
     "idx8_static_rank": (static_ranks, "SELECT p_size AS size, p_partkey AS id, CAST(row_number() OVER (PARTITION BY p_size ORDER BY coalesce(n, 1) DESC, p_partkey) AS INTEGER) AS static_rank FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"),
     "idx9_chunk_candidates": (candidates, "WITH " + BM25_SQL + ", " + ALIAS_SQL + """,
 mc AS (SELECT item_id // 2 AS id, max(item_id % 7) AS m FROM benchmark GROUP BY 1),
@@ -217,6 +251,6 @@ SELECT qid, id, sim, round(sim - coalesce(nx, -1), 6) AS margin FROM b WHERE sim
     "ev4_list_correct": (lambda sp, d: _answers(sp, d).select("qid", "ok"), ANSWERS_SQL + " SELECT qid, ok FROM r"),
     "ev5_number_correct": (lambda sp, d: _answers(sp, d).select("qid", "near", "exact"), ANSWERS_SQL + " SELECT qid, near, exact FROM r"),
     "ev6_accuracy": (accuracies, ANSWERS_SQL + ", x AS (SELECT qid, 'list' AS channel, ok AS v FROM r UNION ALL SELECT qid, 'near', near FROM r UNION ALL SELECT qid, 'exact', exact FROM r) SELECT o_orderpriority, channel, count(*) AS n, round(avg(CASE WHEN v THEN 1.0::DOUBLE ELSE 0 END), 4) AS accuracy FROM x JOIN orders ON o_orderkey = qid GROUP BY 1, 2"),
-    "ev7_ablation": (ev7, None),
-    "ev8_per_question": (ev8, None),
+    "ev7_ablation": (ev7, EV7_SQL),
+    "ev8_per_question": (ev8, EV8_SQL),
 }
