@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import wordbpe
-from tessera.llm.common import slices, table
+from tessera.llm.common import portions, table
 
+#: Bytes of text that are encoded together; their distinct words are looked up in one go.
+SLICE_BYTES = 2 << 20
 #: Distinct words that a worker remembers; when full, the memory starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 
 
 class Encoder:
@@ -32,26 +34,25 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of every text, as little-endian unsigned 32-bit integers."""
-        for start, end in slices(texts):
-            split = [self.model.words(t) if t else [] for t in texts[start:end]]
-            if len(self.cache) > self.limit:
-                self.cache = {}
-            new = [w for w in set().union(*split) if w not in self.cache]
-            special = [w for w in new if w[0] == " "]
-            for w in special:
-                self.cache[w] = self.model.special[w[1:]].to_bytes(4, "little")
-            if special:
-                new = [w for w in new if w[0] != " "]
-            ids, counts = self.model.encode_words(new)
-            packed, stops = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
-            at = 0
-            for w, stop in zip(new, stops, strict=True):
-                self.cache[w] = packed[at:stop]
-                at = stop
-            get = self.cache.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+        """The ids of every text, as little-endian unsigned 32-bit integers. ``texts`` are worked on together."""
+        split = [self.model.words(t) if t else [] for t in texts]
+        if len(self.cache) > self.limit:
+            self.cache = {}
+        new = [w for w in set().union(*split) if w not in self.cache]
+        special = [w for w in new if w[0] == " "]
+        for w in special:
+            self.cache[w] = self.model.special[w[1:]].to_bytes(4, "little")
+        if special:
+            new = [w for w in new if w[0] != " "]
+        ids, counts = self.model.encode_words(new)
+        packed, stops = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+        at = 0
+        for w, stop in zip(new, stops, strict=True):
+            self.cache[w] = packed[at:stop]
+            at = stop
+        get = self.cache.__getitem__
+        for words in split:
+            yield b"".join(map(get, words))
 
 
 class Decoder:
@@ -73,10 +74,8 @@ def _mapped(df: DataFrame, id_col: str, in_col: str, schema: list[tuple[str, T.D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
         for batch in batches:
-            texts = batch.column(1)
-            for start, end in slices(texts.to_pylist()):
-                part = texts.slice(start, end - start).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *step(part)], names=out.names)
+            for part in portions(batch, 1, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), *step(part.column(1).to_pylist())], names=out.names)
 
     return own.mapInArrow(run, out)
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once; bounds its memory whatever the batch size.
@@ -17,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set only where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,3 +52,17 @@ def slices(texts: list, limit: int = SLICE_BYTES):
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def portions(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Views of ``batch`` whose texts in ``column`` have about ``limit`` bytes together; a longer text stands alone.
+
+    The cuts come from Arrow's offsets, so no text becomes a Python string before its part is reached.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    stops, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = stops[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(stops, before + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end

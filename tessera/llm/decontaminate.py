@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, slices, table
+from tessera.llm.common import materialise, portions, table
 
 WINDOW, SHINGLE = 10, 5
 #: Windows in one broadcast block at most.
@@ -133,13 +133,11 @@ def _pass(df: DataFrame, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: WindowIndex = index.value
         get = found.vocab.get
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n_words, spans, items = [], batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in slices(texts):
-                split = [t.encode("utf-8").translate(_FOLD).split() if t else [] for t in texts[a:b]]
+        for whole in batches:
+            for batch in portions(whole, 0):
+                spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                split = [t.encode("utf-8").translate(_FOLD).split() if t else [] for t in batch.column(0).to_pylist()]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
-                n_words += sizes.tolist()
                 ids = np.fromiter((i for ws in split for i in map(get, ws, repeat(-1))), np.int32, int(sizes.sum()))
                 stops = np.cumsum(sizes)
                 begins = stops - sizes
@@ -148,11 +146,11 @@ def _pass(df: DataFrame, index) -> DataFrame:
                 order = np.lexsort((start, doc))
                 for d, s, n, w in zip(doc[order].tolist(), start[order].tolist(), size[order].tolist(), window[order].tolist(), strict=True):
                     s -= int(begins[d])
-                    spans[a + d].append({"start": s, "end": s + n})
-                    items[a + d] += found.items[w]
-            spans = [_union(x) if len(x) > 1 else x for x in spans]
-            items = [sorted(set(x)) if x else x for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), *batch.columns[4:]], names=schema.names)
+                    spans[d].append({"start": s, "end": s + n})
+                    items[d] += found.items[w]
+                spans = [_union(x) if len(x) > 1 else x for x in spans]
+                items = [sorted(set(x)) if x else x for x in items]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), *batch.columns[4:]], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -182,14 +180,16 @@ def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shingle:
         index = materialise(index, "windows")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     carried = [c for c in docs.columns if c not in ("n_words", "spans", "items")] if keep_rows else [id_col]
-    own = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried)]
+    # a text that is carried is not sent twice
+    own = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried) if c != text_col]
+    back = [F.col("text" if c == text_col else f"_{k}").alias(c) for k, c in enumerate(carried)]
     df = docs.select(F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), *own)
     for b in range(blocks):
         part = index if blocks == 1 else index.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b)
         df = _pass(df, spark.sparkContext.broadcast(WindowIndex(part.collect())))
         if b + 1 < blocks:  # one block in memory at a time
             df = materialise(df, "leaks")
-    return df.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(carried)), "n_words", "spans", "items")
+    return df.select(*back, "n_words", "spans", "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

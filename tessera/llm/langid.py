@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import portions, table
 
 #: Bounds of the training sample, and the shape of the network.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 8
@@ -226,22 +226,26 @@ def predict(df: DataFrame, model: ByteBiGru | None, id_col: str = "doc_id", text
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in df.columns if c not in ("lang_pred", "score")] if keep_rows else [id_col]
-    own = df.select(*(F.col(f"`{c}`") for c in carried), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     k = len(carried)
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    # a text that is carried is not sent twice
+    text_at = carried.index(text_col) if text_col in carried else k + 1
+    own = df.select(*(F.col(f"`{c}`") for c in carried), letters, *([F.col(text_col).alias("_text")] if text_at > k else []))
     out = T.StructType([*own.schema[:k], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            texts, letters = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            todo = [i for i, x in enumerate(letters) if x] if net is not None else []
-            for at in range(0, len(todo), 512):
-                part = todo[at : at + 512]
-                p = net.pooled([texts[i].encode("utf-8") for i in part])
-                for i, best, s in zip(part, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                    langs[i], scores[i] = net.langs[best], min(1.0, max(0.0, s))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out.names)
+            for part in portions(batch, text_at):
+                n = part.num_rows
+                langs, scores = [UNKNOWN] * n, [0.0] * n
+                todo = [i for i, x in enumerate(part.column(k).to_pylist()) if x] if net is not None else []
+                if todo:
+                    texts = part.column(text_at)
+                    p = net.pooled([texts[i].as_buffer().to_pybytes() for i in todo])
+                    for i, best, s in zip(todo, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+                        langs[i], scores[i] = net.langs[best], min(1.0, max(0.0, s))
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out.names)
 
     return own.mapInArrow(run, out)
 

@@ -16,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import wordbpe
 from tessera.llm.bpe import default_file
-from tessera.llm.common import slices, table
+from tessera.llm.common import portions, table
 
 #: Entries of the broadcast table at most, and rows (on average) of the sample that it is taken from.
 TABLE_WORDS, SAMPLE_ROWS = 40_000, 600
 #: Distinct words that a worker remembers; when full, the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 #: Longest word that the broadcast table holds, so that its size has a bound.
 LONGEST = 40
 
@@ -35,11 +36,11 @@ LONGEST = 40
 def frequent_words(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, sample_rows: int = SAMPLE_ROWS) -> tuple[str, bytes]:
     """The broadcast tier: frequent words of about ``sample_rows`` rows, joined by spaces, and a length byte each.
 
-    Rows are drawn by a hash of the id and counted where they lie; each task returns its counts only.
+    Rows are drawn one by one with a fixed seed, whatever their ids and texts. The few that are drawn go to one
+    task, which counts their words and returns ``table_words`` of them at most.
     """
-    share = sample_rows / max(1, df.count())
-    dice = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    sample = df.where(dice < F.lit(share * (1 << 30))).select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    share = min(1.0, sample_rows / max(1, df.count()))
+    sample = df.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).sample(share, seed=11).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = wordbpe.load(file), Counter()
@@ -49,10 +50,8 @@ def frequent_words(df: DataFrame, file: str, id_col: str = "doc_id", text_col: s
         top = seen.most_common(table_words)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    found = Counter()
-    for r in sample.mapInArrow(run, "word string, n long").collect():
-        found[r.word] += r.n
-    words = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:table_words]]
+    found = [(r.word, r.n) for r in sample.mapInArrow(run, "word string, n long").collect()]
+    words = [w for w, _ in sorted(found, key=lambda x: (-x[1], x[0]))]
     _, counts = wordbpe.load(file).encode_words(words)
     kept = [(w, c) for w, c in zip(words, counts.tolist(), strict=True) if c < 256]
     return " ".join(w for w, _ in kept), bytes(c for _, c in kept)
@@ -71,10 +70,8 @@ def count_tokens(df: DataFrame, file: str, limit: int = 2048, id_col: str = "doc
         frequent = dict(zip(words.split(" "), lengths, strict=False)) if words else {}
         known = dict(frequent)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n_tokens: list[int] = []
-            for start, end in slices(texts):
-                split = [model.words(t) if t else [] for t in texts[start:end]]
+            for part in portions(batch, 1):
+                split = [model.words(t) if t else [] for t in part.column(1).to_pylist()]
                 if len(known) > cache_words + len(frequent):
                     known = dict(frequent)
                 new = [w for w in set().union(*split) if w not in known]
@@ -85,9 +82,9 @@ def count_tokens(df: DataFrame, file: str, limit: int = 2048, id_col: str = "doc
                 _, counts = model.encode_words(new)
                 known.update(zip(new, counts.tolist(), strict=True))
                 get = known.__getitem__
-                n_tokens += [sum(map(get, ws)) for ws in split]
-            sizes = [len(t.encode("utf-8")) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(n_tokens, np.int64))], names=mid.names)
+                n_tokens = np.array([sum(map(get, ws)) for ws in split], np.int64)
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(n_tokens)], names=mid.names)
 
     return own.mapInArrow(run, mid).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 

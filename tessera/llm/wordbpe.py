@@ -70,7 +70,6 @@ class WordBpe:
         self.right = np.full(n, -1, np.int64)
         self.rank = np.full(n, -1, np.int64)
         self.size = np.zeros(n, np.int64)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         self.base = {}
         text = {}
         for token, i in vocab.items():
@@ -81,7 +80,7 @@ class WordBpe:
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
         for r, (a, b, ab) in enumerate(pairs):
             self.left[ab], self.right[ab], self.rank[ab] = a, b, r
-            self.merge[a, b] = (r, ab)
+        self._merge: dict[tuple[int, int], tuple[int, int]] = {}
         keys = np.array([a << 32 | b for a, b, _ in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], order.astype(np.int64)
@@ -128,6 +127,14 @@ class WordBpe:
         pieces = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(self._back[c] for c in piece).decode("utf-8") for piece, _ in pieces]
 
+    @property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, token) of every pair; built when a long word first needs it."""
+        if not self._merge:
+            for k, r, ab in zip(self.keys.tolist(), self.key_rank.tolist(), self.key_token.tolist(), strict=True):
+                self._merge[k >> 32, k & 0xFFFFFFFF] = (r, ab)
+        return self._merge
+
     # -- words to tokens -------------------------------------------------------------------------
 
     def apart(self, a: np.ndarray, b: np.ndarray, own: bool = False) -> np.ndarray:
