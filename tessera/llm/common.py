@@ -41,19 +41,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(texts: list, limit: int = SLICE_BYTES):
-    """Yield (start, end) ranges of ``texts`` with about ``limit`` characters each; a longer text stands alone."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
-        if size and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def portions(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Views of ``batch`` whose texts in ``column`` have about ``limit`` bytes together; a longer text stands alone.
 

@@ -12,8 +12,13 @@ back the links only, never the pairs.
 
 With 32 bands of 5 a pair at the threshold 0.8 shares no band with probability 3e-6.
 
+What is joined back to the members of hot buckets (hubs, open buckets) is written first, so that the join has
+plain shuffles on both sides and its large partitions can be split; blocks of a large component are
+spread over several keys.
+
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and stay;
-rows that repeat a doc_id are one document with several texts; a null id is alone, its component null;
+rows that repeat a doc_id are one document with several texts, so what is near any of them is in one component;
+a null id is alone, its component null;
 extra columns are dropped; an empty table gives an empty result. Whole texts are read.
 """
 
@@ -28,17 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, slices, table
+from tessera.llm.common import materialise, portions, table
 from tessera.llm.components import connect
 
 #: Bands and coordinates in each; links have 100 * intersection >= PERCENT * union.
 BANDS, ROWS, PERCENT = 32, 5, 80
 #: Rounds of hub comparisons at most before the rest is compared in full.
 ROUNDS = 4
-#: Sets in one packed block, on average.
-BLOCK = 64
+#: Bytes of sets in one packed block, on average, and blocks that one key of the join holds.
+BLOCK_BYTES, SPREAD = 128 << 10, 16
 #: Distinct words whose hash a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 _TILE = 1024
 
 
@@ -54,20 +59,19 @@ class _Hashes(dict):
 
 def shingle_sets(texts: list[str | None], width: int, cache: _Hashes) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of the shingles of ``width`` words of every text."""
-    for start, end in slices(texts):
-        split = [t.encode("utf-8").lower().split() if t else [] for t in texts[start:end]]
-        for words in split:
-            h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-            if not len(h):
-                yield h
-                continue
-            n = max(1, len(h) - width + 1)
-            acc = np.full(n, len(h) if len(h) < width else 0, np.uint64)
-            for j in range(min(width, len(h))):
-                acc = (acc ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-                acc ^= acc >> np.uint64(32)
-            acc.sort()
-            yield acc[np.concatenate(([True], acc[1:] != acc[:-1]))] if n > 1 else acc
+    for text in texts:
+        words = text.encode("utf-8").lower().split() if text else []
+        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        if not len(h):
+            yield h
+            continue
+        n = max(1, len(h) - width + 1)
+        acc = np.full(n, len(h) if len(h) < width else 0, np.uint64)
+        for j in range(min(width, len(h))):
+            acc = (acc ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            acc ^= acc >> np.uint64(32)
+        acc.sort()
+        yield acc[np.concatenate(([True], acc[1:] != acc[:-1]))] if n > 1 else acc
 
 
 def signature(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -103,7 +107,7 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             n, fp, keys, counts = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width, cache):
                 n.append(len(s))
@@ -123,7 +127,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width, cache)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=schema.names)
 
@@ -150,15 +154,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _against_blocks(one: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets and blocks of sets: one (a, group) and blocks (group, id), both by ids.
+    """Links (a, b) between sets and blocks of sets: one (a, group) and blocks (group, id, n), both by ids.
 
-    The sets of a group are split by a hash of their ids into blocks of bounded size.
+    The sets of a group (n hashes each) are split by a hash of their ids into blocks of bounded size, and the
+    blocks of a large group over several keys.
     """
-    sized = blocks.join(blocks.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "group")
-    packed = sized.join(sets, "id").groupBy("group", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("id", "s")).alias("block"))
-    packed = materialise(packed, "blocks")
-    left = one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    joined = left.join(packed.select("group", "block"), "group").select("a", "sa", "block")
+    sized = blocks.groupBy("group").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("parts"))
+    sized = materialise(sized, "sized")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    packed = blocks.join(sized, "group").join(sets, "id").groupBy("group", part.alias("part")).agg(F.collect_list(F.struct("id", "s")).alias("block"))
+    packed = materialise(packed.select("group", F.floor(F.col("part") / SPREAD).cast("int").alias("spread"), "block"), "blocks")
+    spread = F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / SPREAD).cast("int"))).alias("spread")
+    left = one.join(sized, "group").select("a", "group", spread).join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    joined = left.join(packed, ["group", "spread"]).select("a", "sa", "block")
     kind = joined.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
@@ -197,10 +205,14 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = PERCENT, id_co
     # equal sets are one class, named by its smallest id
     classes = materialise(sketched.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     placed = classes.select("id", "n", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    shared = materialise(placed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "shared")
     members = materialise(placed.join(shared, "key"), "members")
     wanted = members.select("id").distinct()
     sets = materialise(_sets(docs.join(wanted, "id", "left_semi"), width).distinct(), "sets")
+    # the classes of one document that has several texts belong together
+    several = sketched.where("fp is not null and id is not null").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("id")
+    named = sketched.join(several, "id", "left_semi").select(F.col("id").alias("doc"), "fp").distinct().join(classes.select("fp", "id"), "fp").select("doc", "id")
+    joint = named.join(named.groupBy("doc").agg(F.min("id").alias("a")), "doc").where("a <> id").select("a", F.col("id").alias("b"))
 
     labels, tried = None, None
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -209,8 +221,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = PERCENT, id_co
             now = members.withColumn("comp", F.col("id"))
         else:
             now = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            now = materialise(now, "labelled")
             split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            now = now.join(split, "key")
+            now = now.join(materialise(split, "split"), "key")
         if turn:
             now = materialise(now, "open")
             if now.isEmpty():
@@ -219,16 +232,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = PERCENT, id_co
             # one hub for each bucket, another in each round; only members of other components meet it
             order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
             hubs = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("h"))
-            pairs = now.join(hubs.select("key", "h.*"), "key").where((F.col("comp") != F.col("hub_comp")) & near(F.col("n"), F.col("hub_n")))
+            pairs = now.join(materialise(hubs.select("key", "h.*"), "hubs"), "key").where((F.col("comp") != F.col("hub_comp")) & near(F.col("n"), F.col("hub_n")))
             pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         else:
             # the rest in full: members outside the main component of a bucket against all others
             main = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"))
-            outside = materialise(now.join(main, "key").where("comp <> main").select("key", "id", "main"), "outside")
+            main = materialise(main, "main")
+            outside = materialise(now.join(main, "key").where("comp <> main").select("key", "id", "n", "main"), "outside")
             mains = outside.select("main").distinct()
-            everyone = members.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("main"))
-            first = _against_blocks(outside.select(F.col("id").alias("a"), F.col("main").alias("group")).distinct(), everyone.join(mains, "main", "left_semi").select(F.col("main").alias("group"), "id"), sets, percent)
-            crowd = outside.join(outside.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "key").select(F.col("key").alias("group"), "id")
+            everyone = members.select("id", "n").distinct().join(labels, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("main"))
+            first = _against_blocks(outside.select(F.col("id").alias("a"), F.col("main").alias("group")).distinct(), everyone.join(mains, "main", "left_semi").select(F.col("main").alias("group"), "id", "n"), sets, percent)
+            crowded = materialise(outside.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "crowded")
+            crowd = outside.join(crowded, "key").select(F.col("key").alias("group"), "id", "n")
             second = _against_blocks(crowd.select(F.col("id").alias("a"), "group"), crowd, sets, percent)
             links = materialise(first.unionByName(second).distinct(), "links")
             labels = _relabel(labels, links)
@@ -238,6 +253,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = PERCENT, id_co
         pairs = materialise(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = _confirm(pairs, sets, percent)
+        if turn == 0:
+            links = links.unionByName(joint)
         labels = connect(links) if labels is None else _relabel(labels, links)
 
     named = classes.join(labels, "id", "left").select("fp", F.coalesce("comp", "id").alias("component_id"))
