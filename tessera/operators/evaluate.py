@@ -26,6 +26,12 @@ def set_scores(predicted: DataFrame, gold: DataFrame, keys: list[str], by: list[
     return counts.select(*by, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def extraction_scores(entities: DataFrame, gold_entities: DataFrame, relations: DataFrame, gold_relations: DataFrame) -> DataFrame:
+    """(kind, tp, fp, fn, precision, recall, f1): entities (doc_id, id) micro over documents, relations (head, rel, tail) over the corpus."""
+    e = set_scores(entities, gold_entities, ["doc_id", "id"]).select(F.lit("entity").alias("kind"), "*")
+    return e.unionByName(set_scores(relations, gold_relations, ["head", "rel", "tail"]).select(F.lit("relation").alias("kind"), "*"))
+
+
 def retrieval_scores(ranked: DataFrame, gold: DataFrame, by: list[str] | None = None, cut: int = 3, wide: int = 10) -> DataFrame:
     """Hit rate and reciprocal rank within ``cut``, and gold coverage within ``cut``, ``wide`` and overall.
 

@@ -176,13 +176,109 @@ def branch(links: DataFrame) -> DataFrame:
     return links.groupBy("question").agg(pick.alias("branch"))
 
 
+#: Products are materials with this prefix; what is made for one has its code in its id.
+PRODUCT_PREFIX = "MAT_PD"
+
+
+def resolve_by_name(links: DataFrame, nodes: DataFrame, label: str = "Defect") -> DataFrame:
+    """Links (question, surface) as (question, id): the first node of the label, by id, whose name holds the surface or is held by it."""
+    from tessera.operators.search import substring_join
+
+    names = nodes.where(F.col("label") == label).select("id", F.col("name").alias("text"))
+    asked = links.select(F.col("surface").alias("sid"), F.col("surface")).distinct()
+    held = substring_join(names, asked).select("sid", "id")
+    holds = substring_join(asked.select(F.col("sid").alias("id"), F.col("surface").alias("text")), names.select(F.col("id").alias("sid"), F.col("text").alias("surface"))).select(F.col("id").alias("sid"), F.col("sid").alias("id"))
+    first = held.unionByName(holds).groupBy("sid").agg(F.min("id").alias("id"))
+    return links.join(first, links["surface"] == first["sid"]).select("question", first["id"]).distinct()
+
+
+def answer_graph(links: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(question, branch, part, id): what the graph answers to questions with linked entities (question, id, label, pos).
+
+    Each question takes one branch: its defects (causes, countermeasures, processes and materials), else its processes
+    (their defects, those defects' countermeasures, materials), else its materials that are no products (their defects, the
+    processes and countermeasures of these), else what lies within two hops of its first entity (part ``near``). Products
+    that a question names restrict causes, and all countermeasures, to ids with one of their codes. With ``nodes``
+    and a column ``surface`` in ``links``, defects of questions without a product are looked up anew by that text.
+    """
+    product = F.startswith("id", F.lit(PRODUCT_PREFIX))
+    codes = links.where(product).groupBy("question").agg(F.collect_set(F.substring_index("id", "_", -1)).alias("codes"))
+    plain = links.where(~product)
+    kind = branch(plain.select("question", "id", "label").unionByName(links.select("question", "id", F.lit("").alias("label"))))
+    of = lambda name, label=None: plain.where(F.col("label") == label if label else F.lit(True)).join(kind.where(F.col("branch") == name), "question").select("question", "id")
+    step = lambda frontier, rel, reverse=False: hop(edges, frontier, rel, reverse, ("question",))
+
+    def scoped(df: DataFrame) -> DataFrame:
+        inside = F.col("codes").isNull() | F.exists("codes", lambda c: F.contains("id", F.concat(F.lit("_"), c, F.lit("_"))))
+        return df.join(codes, "question", "left").where(inside).select("question", "id")
+
+    defects = of("defect", "Defect")
+    if nodes is not None:
+        named = plain.where("label = 'Defect'").join(codes, "question", "left_anti").select("question", "surface")
+        defects = defects.join(codes, "question", "left_semi").unionByName(resolve_by_name(named, nodes)).distinct()
+    causes = scoped(step(defects, "CAUSED_BY"))
+    at_process = step(of("process", "Process"), "OCCURS_AT", True)
+    from_material = step(of("material", "Material"), "INDUCED_BY_MATERIAL", True)
+    remedies = lambda start: scoped(step(step(start, "CAUSED_BY"), "ADDRESSED_BY"))
+    first = links.join(kind.where("branch = 'neighborhood'"), "question").groupBy("question").agg(F.min(F.struct("pos", "id")).alias("f")).select("question", F.col("f.id").alias("id"))
+    out = edges.select(F.col("source").alias("id"), F.col("target").alias("_to"))
+    once = first.join(out, "id").select("question", F.col("_to").alias("id")).distinct()
+    near = once.unionByName(once.join(out, "id").select("question", F.col("_to").alias("id"))).unionByName(first).distinct()
+    parts = (
+        ("defect", "cause", causes), ("defect", "countermeasure", scoped(step(causes, "ADDRESSED_BY"))), ("defect", "process", step(defects, "OCCURS_AT")), ("defect", "material", step(defects, "INDUCED_BY_MATERIAL")),
+        ("process", "defect", at_process), ("process", "countermeasure", remedies(at_process)), ("process", "material", step(of("process", "Process"), "USES_MATERIAL")),
+        ("material", "defect", from_material), ("material", "process", step(from_material, "OCCURS_AT")), ("material", "countermeasure", remedies(from_material)), ("neighborhood", "near", near),
+    )
+    return reduce(DataFrame.unionByName, [df.distinct().select("question", F.lit(b).alias("branch"), F.lit(p).alias("part"), "id") for b, p, df in parts])
+
+
+#: The part of the graph's answer that an intent asks for, and the intents whose linked label takes one hop instead.
+INTENT_PARTS = {
+    "defect_to_process": "process", "process_to_defects": "defect", "process_defect_count": "defect", "defect_to_causes": "cause",
+    "defect_to_countermeasures": "countermeasure", "process_aggregate_cm": "countermeasure", "material_to_defects": "defect",
+}
+INTENT_HOPS = {"device_to_process": ("Device", "USED_IN"), "process_to_materials": ("Process", "USES_MATERIAL")}
+
+
+def graph_candidates(answers: DataFrame, links: DataFrame, questions: DataFrame, edges: DataFrame, remedy_prefix: str = "CM_") -> DataFrame:
+    """(question, id): the answers (question, part, id) that fit the intent of their question (question, intent).
+
+    Of countermeasures only those with the prefix count. Devices and processes that a question names give their own targets.
+    """
+    part = F.create_map(*(F.lit(x) for kv in INTENT_PARTS.items() for x in kv))
+    wanted = questions.select("question", F.try_element_at(part, F.col("intent")).alias("part")).where("part is not null")
+    fit = answers.join(wanted, ["question", "part"]).where((F.col("part") != "countermeasure") | F.startswith("id", F.lit(remedy_prefix))).select("question", "id")
+    for intent, (label, rel) in INTENT_HOPS.items():
+        start = links.where(F.col("label") == label).join(questions.where(F.col("intent") == intent), "question", "left_semi").select("question", "id")
+        fit = fit.unionByName(hop(edges, start, rel, keep=("question",)))
+    return fit.distinct()
+
+
+def template_answers(edges: DataFrame) -> DataFrame:
+    """(template, root, found): the template questions of the vocabulary, as sorted lists for every root.
+
+    Causes and countermeasures of a defect, processes where a defect occurs, and defects of a process.
+    """
+    rel = lambda name: edges.where(F.col("rel") == name)
+    causes = rel("CAUSED_BY").select(F.col("source").alias("root"), F.col("target").alias("id"))
+    remedies = hop(edges, causes, "ADDRESSED_BY")
+    at = rel("OCCURS_AT")
+    parts = (("causes", causes), ("countermeasures", remedies), ("processes", at.select(F.col("source").alias("root"), F.col("target").alias("id"))), ("defects", at.select(F.col("target").alias("root"), F.col("source").alias("id"))))
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("template"), "root", "id") for t, df in parts])
+    return rows.groupBy("template", "root").agg(F.array_sort(F.collect_set("id")).alias("found"))
+
+
 # -- aggregates -----------------------------------------------------------------------------------
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, name, n): nodes and edges in all (name null), nodes by label, edges by relation; one pass over each."""
-    n = nodes.rollup("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("kind"), F.col("label").alias("name"), "n")
-    e = edges.rollup("rel").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), F.col("rel").alias("name"), "n")
+    """(kind, name, n): nodes and edges in all (name null), nodes by label, edges by relation; one pass over each.
+
+    A null label or relation is counted under the empty name.
+    """
+    filled = lambda df, c: df.select(F.coalesce(c, F.lit("")).alias("name")).rollup("name").agg(F.count(F.lit(1)).alias("n"))
+    n = filled(nodes, "label").select(F.lit("node").alias("kind"), "name", "n")
+    e = filled(edges, "rel").select(F.lit("edge").alias("kind"), "name", "n")
     return n.unionByName(e)
 
 

@@ -119,6 +119,28 @@ def hash_embedding(texts: DataFrame, id_col: str, text_col: str, buckets: int =
     return counts.join(length, "id").select("id", "bucket", (F.col("c") / F.col("len")).alias("weight"))
 
 
+def embed_through(texts: DataFrame, cache: DataFrame, provider, model: str, batch: int = 64) -> DataFrame:
+    """(text, v): vectors of distinct texts from the cache (cache_key, v), else from a provider, ``batch`` texts at a time.
+
+    The provider is a function from a list of texts to a list of vectors, and runs in the tasks. Without one, all texts
+    get their hash embedding, so that no two kinds of vectors are mixed.
+    """
+    keyed = texts.select("text", TX.embed_cache_key(F.lit(model), F.col("text")).alias("cache_key"))
+    if provider is None:
+        return dense(hash_embedding(keyed, "text", "text")).select(F.col("id").alias("text"), "v")
+    stored = cache.select("cache_key", F.col("v").cast("array<double>").alias("v")).dropDuplicates(["cache_key"])
+    missing = keyed.join(stored, "cache_key", "left_anti").select("text")
+    schema = T.StructType([missing.schema["text"], T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(provider(part.column(0).to_pylist()), pa.list_(pa.float64()))], names=schema.names)
+
+    return keyed.join(stored, "cache_key").select("text", "v").unionByName(missing.mapInArrow(run, schema))
+
+
 def dense(embedding: DataFrame, buckets: int = 1024, rows: int = 256) -> DataFrame:
     """(id, v): sparse vectors (id, bucket, weight) written out, ``rows`` of them at a time."""
     lists = embedding.groupBy("id").agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without it gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def read_text_dir(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """(doc_id, text): one row for each text file, named by its stem."""
     df = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
@@ -42,7 +62,9 @@ def append_segments(df: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Comma-separated files in UTF-8, each with a byte-order mark and the column names in its first line."""
+    first, *rest = df.columns
+    df.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *(F.col(f"`{c}`") for c in rest)).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -59,12 +81,19 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
-def list_artefacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, size) of the files below a folder, without reading them."""
+def list_artefacts(spark: SparkSession, path: str, pattern: str = "*", allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """(name, size) of the files below a folder, without reading them; with ``allowed`` only those directly in one of these subfolders."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    if allowed is not None:
+        df = df.where(F.element_at(F.split("path", "/"), -2).isin(*allowed))
     return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
 
 
+def query(spark: SparkSession, sql: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Rows of a query with named parameters (:name) over named tables ({name}); values are never put into the text."""
+    return spark.sql(sql, args or {}, **tables)
+
+
 def ontology(spark: SparkSession, spec: dict) -> tuple[DataFrame, DataFrame]:
     """Labels and relations of a parsed ontology file, as DataFrames."""
     ents = [(e["label"], e.get("name_cn")) for e in spec.get("entities", [])]
