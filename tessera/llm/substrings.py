@@ -9,8 +9,10 @@ join brings that back to the places, and every sentence that a repeated run cove
 first is removed. A run that ends at a sentence starts with a run that begins at its first sentence and repeats only if that one does, so
 it travels with it, as the hash of the rest, and is looked at only where that one repeats.
 
-Both aggregates combine before they shuffle, and the joins split large keys, so a passage that a third
-of all documents share does not land in one task. Only places of runs and the texts are shuffled.
+Both aggregates combine before they shuffle. What they give is written before it is joined back to the places,
+so both sides of those joins are plain shuffles and adaptive execution can split the partition of a passage that a
+third of all documents share (from its thresholds on; a smaller one fits in a task). Only places of runs and the
+texts are shuffled.
 
 Defined results: null text stays null; empty text stays empty; rows with equal id and
 text are one document, so they do not remove each other; a null id sorts first; words are compared in
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, portions, table
 
 #: A run has so many sentences and words at least; sentences of more than LONG_SENTENCE words are cut
 #: into pieces of LEAST_PIECE words or more, LONG_PIECE at most.
@@ -143,8 +145,7 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in portions(batch, 2):
                 found = [_packed(text) for text in part.column(2).to_pylist()]
                 h1, h2, n, place, tail = (np.concatenate(c) for c in zip(*found, strict=True))
                 outer, inner = offsets([len(x[0]) for x in found]), offsets(n)
@@ -160,18 +161,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = materialise(_hashes(docs), "runs")
     places = packed.select("id", "th", F.explode(F.arrays_zip("h1", "h2", "places", "tails")).alias("x")).select("x.h1", "x.h2", "id", "th", "x.places", "x.tails")
     # most runs occur once: counting one hash finds those that may repeat, and only their places go on
-    often = places.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+    often = materialise(places.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1"), "often")
     places = materialise(places.join(often, "h1", "left_semi"), "places")
     places = places.select("h1", "h2", "id", "th", F.explode(F.arrays_zip("places", "tails")).alias("x")).select("h1", "h2", "x.tails", "id", "th", F.col("x.places").alias("place"))
     here = F.struct("id", "th", "place")
     first = places.groupBy("h1", "h2", "tails").agg(F.min(here).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "tails", "f")
+    first = materialise(first, "first")
     again = places.join(first, ["h1", "h2", "tails"]).where(here != F.col("f")).select("id", "th", "place")
     cut = again.groupBy(F.col("id").alias("cut_id"), F.col("th").alias("cut_th")).agg(F.collect_set("place").alias("places"))
     joined = docs.join(cut, (F.col("th") == F.col("cut_th")) & F.col("id").eqNullSafe(F.col("cut_id")), "left").select("id", "text", "places")
     schema = T.StructType([docs.schema["id"], docs.schema["text"], T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             out, gone = [], []
             for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not at or not text:
