@@ -1,32 +1,27 @@
 """Exact top-k inner-product search by tiled matrix products.
 
-Components become the integers floor(256 x). Queries are taken in blocks of a bounded size, each
-broadcast once; every task multiplies the block with tiles of its shard, keeps the best k of each
-query by partial selection per tile, and merges tile after tile into one running list per query. The
-lists of the shards are then merged in a tree: first within groups of shards, then over the groups.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as
-query or candidate; ids that are null take no part; rows that repeat a query's id are one query, and
-no candidate with the query's own id is returned; repeated candidates each count; ties go to the
-smaller id; fewer candidates than k are all returned; shorter vectors count as padded with zeros;
+Components become the integers floor(256 x). Queries are packed into blocks and candidates into tiles, and both are dealt to
+the cells of a grid (``tessera.operators.tiled``); a task multiplies blocks with tiles, keeps the best k of each query by
+partial selection per tile, and merges tile after tile into one running list per query. The lists of the
+cells are then merged in a tree: first within groups of cells, then over the groups. Nothing goes
+through the driver but the counts.
+
+Defined results: vectors that are null or hold null or non-finite components take no part, as
+query or candidate; an empty vector counts as zeros; ids that are null take no part; rows that repeat a query's id are
+one query (its least vector), and no candidate with the query's own id is returned; repeated candidates each count;
+ties go to the smaller id; fewer candidates than k are all returned; shorter vectors count as padded with zeros;
 products beyond 64 bits are clipped to them; extra columns are dropped; no query gives no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import table
+from tessera.operators import tiled
 
-#: Queries in one broadcast block, candidates in one tile, and shards that are merged first.
-BLOCK_QUERIES, TILE_ROWS, FAN_IN = 16_384, 2_048, 32
-#: Queries that one matrix product takes; bounds the memory of its result.
-STRIP_QUERIES = 2_048
 _NONE = np.iinfo(np.int64).min
 
 
@@ -34,116 +29,28 @@ def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): rows that take part."""
     finite = F.forall("v", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    return own.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
-
-
-def quantise(vectors: list[np.ndarray] | np.ndarray) -> np.ndarray:
-    """floor(256 x) of each component, as float64; rows padded with zeros to one length."""
-    width = max(map(len, vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return np.floor(256.0 * out)
+    return own.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
-def _rows(batch: pa.RecordBatch) -> np.ndarray:
-    """The quantised matrix of a batch of (id, v)."""
-    col = batch.column(1)
-    sizes = np.diff(col.offsets.to_numpy())
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(sizes) and (sizes == sizes[0]).all():
-        return np.floor(256.0 * flat.reshape(len(sizes), -1))
-    return quantise(np.split(flat, np.cumsum(sizes)[:-1]))
+def quantise(m: np.ndarray) -> np.ndarray:
+    """floor(256 x) of each component."""
+    return np.floor(256.0 * m)
 
 
-def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products (queries, candidates): by floats where 53 bits hold them, else by integers of any size."""
-    width = max(q.shape[1], c.shape[1])
-    if q.shape[1] < width:
-        q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-    if c.shape[1] < width:
-        c = np.pad(c, ((0, 0), (0, width - c.shape[1])))
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width < 2**53:
+    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < 2**53:
         return (q @ c.T).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in c], object).T
     return np.clip(whole, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
-class Running:
-    """The best k (score, id) of each query so far."""
-
-    def __init__(self, ids: np.ndarray, k: int):
-        self.queries, self.k = ids, k
-        self.ids = np.zeros((len(ids), k), np.int64)
-        self.scores = np.full((len(ids), k), _NONE)
-
-    def add(self, lo: int, hi: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """One tile: scores (hi - lo, n) of candidates that are sorted by id. Partial selection, then a merge."""
-        scores[self.queries[lo:hi, None] == ids[None, :]] = _NONE
-        rows = np.flatnonzero(scores.max(1) >= self.scores[lo:hi, -1])  # other queries gain nothing here
-        if not len(rows):
-            return
-        part, at = scores[rows], np.arange(len(rows))
-        best_s, best_i = [self.scores[lo + rows]], [self.ids[lo + rows]]
-        for _ in range(min(self.k, part.shape[1])):  # the first of equals is the smallest id
-            j = part.argmax(1)
-            best_s.append(part[at, j][:, None])
-            best_i.append(ids[j][:, None])
-            part[at, j] = _NONE
-        s, i = np.concatenate(best_s, 1), np.concatenate(best_i, 1)
-        order = np.lexsort((i, -s.astype(np.float64) if np.abs(s[s > _NONE]).max(initial=0) < 2**53 else ~s), axis=-1)[:, : self.k]
-        self.scores[lo + rows] = np.take_along_axis(s, order, 1)
-        self.ids[lo + rows] = np.take_along_axis(i, order, 1)
-
-
-def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block_queries: int = tiled.TILE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates by integer inner product."""
-    spark = candidates.sparkSession
     cand = _usable(candidates, id_col, vec_col)
     asked = _usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-queries.count() // block_queries))
-    if n_blocks > 1:
-        asked = materialise(asked, "queries")
-    out = None
-    for b in range(n_blocks):
-        block = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
-        found = block.orderBy("id").collect() if n_blocks == 1 else block.collect()
-        shared = spark.sparkContext.broadcast((np.array([r.id for r in found], np.int64), quantise([np.array(r.v, np.float64) for r in found])))
-
-        def shard(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best = Running(ids, k)
-            no = None
-            for batch in batches:
-                if not len(ids) or not batch.num_rows:
-                    continue
-                no = batch.column(2)[0].as_py()
-                c_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                c = _rows(batch)
-                order = np.argsort(c_ids, kind="stable")
-                c_ids, c = c_ids[order], c[order]
-                for lo in range(0, len(ids), STRIP_QUERIES):
-                    hi = min(len(ids), lo + STRIP_QUERIES)
-                    for t in range(0, len(c_ids), TILE_ROWS):
-                        best.add(lo, hi, _product(q[lo:hi], c[t : t + TILE_ROWS]), c_ids[t : t + TILE_ROWS])
-            if no is not None:
-                full = best.scores > _NONE
-                where = np.nonzero(full)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[where]), pa.array(best.ids[full]), pa.array(best.scores[full]), pa.array(np.full(len(where), no), pa.int32())], names=["query_id", "vec_id", "score", "shard"]
-                )
-
-        lists = cand.withColumn("shard", F.spark_partition_id()).mapInArrow(shard, "query_id long, vec_id long, score long, shard int")
-        order = [F.desc("score"), "vec_id"]
-        near = Window.partitionBy("query_id", (F.col("shard") / FAN_IN).cast("int")).orderBy(*order)
-        last = Window.partitionBy("query_id").orderBy(*order)
-        merged = lists.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k)
-        merged = merged.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        if n_blocks > 1:  # one block in memory at a time
-            merged = materialise(merged, "topk")
-            shared.unpersist()
-        out = merged if out is None else out.unionByName(merged)
-    return out
+    one = lambda df: df.select(F.lit(0).alias("g"), "id", "v")
+    return tiled.top_k(one(cand), one(asked), k, product, np.int64, quantise, block_queries)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
