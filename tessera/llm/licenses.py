@@ -3,12 +3,14 @@
 One automaton holds every token run of every template. Each text is streamed through it once, which
 gives matching statistics: at each word the length of the longest run ending there that occurs in
 some template. Long maximal matches are aligned to the templates that hold them and chained in order
-into covered spans; a template covered well enough gives its label. Fixed phrases are read off the
+into covered spans; a template covered well enough gives its label. Where covered spans of several templates
+overlap, the one of most words counts, of equals the one that covers more of its template, so a notice is not also
+taken for a relative that shares most of its words. Fixed phrases are read off the
 same statistics and then confirmed word by word; their labels always stay.
 
 Defined results: a null text counts as empty (0 words, no labels, score 0); repeated rows give
 repeated results; whole texts are scanned at any length; extra columns are dropped; an empty table
-gives an empty result. One narrow map: the templates are fixed and small, nothing is shuffled.
+gives an empty result; ties between templates go to the earlier span, then to the smaller label. One narrow map: the templates are fixed and small, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,29 +23,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import portions, table
 
 #: Base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Templates: a label and a text; fixed values taken from the public licence notices.
+_PERMISSION = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_REDISTRIBUTION = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_ENDORSE = "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu {} license as published by the free software foundation either version {} of the license or at your option any later version this {} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} license for more details"
+_GENERAL, _LESSER, _AFFERO = "general public", "lesser general public", "affero general public"
+
+#: Templates: a label and a text; fixed values taken from the public licence notices. A notice and its parts that
+#: are found alone are templates of their own.
 TEMPLATES = (
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("mit", _PERMISSION),
+    ("mit", f"{_PERMISSION} subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {_AS_IS}"),
+    ("mit-0", f"{_PERMISSION} {_AS_IS}"),
     ("apache-2", "licensed under the apache license version 2.0"),
     ("apache-2", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0"),
+    ("apache-2", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-3", f"this program {_GNU.format(_GENERAL, 3, 'program', _GENERAL)}"),
     ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-2", f"this program {_GNU.format(_GENERAL, 2, 'program', _GENERAL)}"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", f"this library {_GNU.format(_LESSER, 2.1, 'library', _LESSER)}"),
+    ("lgpl", f"this program {_GNU.format(_LESSER, 3, 'program', _LESSER)}"),
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
+    ("agpl-3", f"this program {_GNU.format(_AFFERO, 3, 'program', _AFFERO)}"),
     ("cc-by-nc", "licensed under cc by nc 4.0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4.0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4.0 international license"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2", _REDISTRIBUTION),
+    ("bsd-3", f"{_REDISTRIBUTION} {_ENDORSE}"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 #: Shortest match that a chain takes, and the share of a template's words that gives its label.
@@ -125,74 +149,89 @@ class TemplateAutomaton:
         return out
 
 
-def _chains(auto: TemplateAutomaton, peaks: list[tuple[int, int, int]], share: float = LEAST_SHARE) -> list[tuple[str, int, int, float]]:
-    """(label, start, end, share) of the spans that chains of matches cover; word places, end exclusive.
+def _chained(found: list[tuple[int, int, int]], length: int) -> list[list[int]]:
+    """The best chain [start, end, place in the template, words] that ends with each match, in one template of ``length`` words.
+
+    ``found``: (end in the text, end in the template, words) of the matches, sorted. A match follows another that ends before it
+    in text and template, over a gap in the text of no more than ``length`` words; words that both cover count once.
+    No match is longer than the template, so only matches of the last two lengths of text can be followed, and all
+    of these are tried: the time is linear in the text.
+    """
+    chains: list[list[int]] = []
+    oldest = 0
+    for end, at, n in found:
+        while oldest < len(chains) and chains[oldest][1] < end - 2 * length:
+            oldest += 1
+        words, start = n, end - n
+        for k in range(oldest, len(chains)):
+            c = chains[k]
+            if at > c[2] and end - n - c[1] <= length:
+                over = max(0, c[1] - (end - n), c[2] - (at - n))
+                if over < n and (c[3] - over + n, -c[0]) > (words, -start):
+                    words, start = c[3] - over + n, c[0]
+        chains.append([start, end, at, words])
+    return chains
+
+
+def _chains(auto: TemplateAutomaton, peaks: list[tuple[int, int, int]], share: float = LEAST_SHARE) -> tuple[list[tuple[str, int, int, float]], float]:
+    """(label, start, end, share) of the covered spans that count, and the highest share of any chain; word places, end exclusive.
 
     ``peaks``: (place of the last word, state, length) of maximal matches. Each is placed in every
-    template that holds it. In one template, matches that go forward in text and template are chained
-    while the gap in the text stays within the template's length; of chains that overlap in the text,
-    the one of most words counts.
+    template that holds it, and chained there.
     """
     by_template: dict[int, list[tuple[int, int, int]]] = {}
     for i, s, n in peaks:
         for k, end in auto.ends[s]:
             by_template.setdefault(k, []).append((i + 1, end + 1, n))
-    out = []
+    full, best = [], 0.0
     for k, found in by_template.items():
         label, tokens = auto.templates[k]
-        chains: list[list[int]] = []  # start, end in text, end in template, words
-        for end, at, n in sorted(found):
-            best = None
-            for c in chains[-8:]:
-                over = max(0, c[1] - (end - n), c[2] - (at - n))
-                if at > c[2] and over < n and end - n - c[1] <= len(tokens) and (best is None or c[3] - over > best[0]):
-                    best = (c[3] - over, c)
-            if best is not None and best[0] > 0:
-                chains.append([best[1][0], end, at, best[0] + n])
-            else:
-                chains.append([end - n, end, at, n])
-        taken: list[tuple[int, int]] = []
-        for start, end, _, covered in sorted(chains, key=lambda c: (-c[3], c[0], c[1])):
-            k = bisect(taken, (start, end))
-            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
-                taken.insert(k, (start, end))
-                out.append((label, start, end, min(1.0, covered / len(tokens))))
-                if covered < share * len(tokens):
-                    break  # no weaker chain gives a label
-    return out
-
-
-def scan_words(auto: TemplateAutomaton, tokens: list[int | None], least: int = LEAST_MATCH, share: float = LEAST_SHARE) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]]]:
-    """(start, label) of every base phrase, and the chains (label, start, end, share) of the templates."""
+        for start, end, _, covered in _chained(sorted(found), len(tokens)):
+            part = min(1.0, covered / len(tokens))
+            best = max(best, part)
+            if covered >= share * len(tokens):
+                full.append((-covered, -part, start, end, label))
+    out, taken = [], []
+    for _, part, start, end, label in sorted(full):
+        k = bisect(taken, (start, end))
+        if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
+            taken.insert(k, (start, end))
+            out.append((label, start, end, -part))
+    return out, best
+
+
+def scan_words(auto: TemplateAutomaton, tokens: list[int | None], least: int = LEAST_MATCH, share: float = LEAST_SHARE) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]], float]:
+    """(start, label) of every base phrase, the covered spans (label, start, end, share) of the templates, and the highest share of any."""
+    shortest = min([least, *(len(phrase) for phrase, _ in auto.phrases)])
     base, peaks = [], []
     runs, start = [], None
     for i, t in enumerate(tokens):  # words of no template end every match
         if t is None:
-            if start is not None and i - start >= least:
+            if start is not None and i - start >= shortest:
                 runs.append((start, i))
             start = None
         elif start is None:
             start = i
-    if start is not None and len(tokens) - start >= least:
+    if start is not None and len(tokens) - start >= shortest:
         runs.append((start, len(tokens)))
     for a, b in runs:
         part = tokens[a:b]
         stats = auto.statistics(part)
         for i, (s, n) in enumerate(stats):
-            if n < least:
+            if n < shortest:
                 continue
-            if i + 1 == len(stats) or stats[i + 1][1] != n + 1:
+            if n >= least and (i + 1 == len(stats) or stats[i + 1][1] != n + 1):
                 peaks.append((a + i, s, n))
             for phrase, label in auto.phrases:
                 if n >= len(phrase) and part[i + 1 - len(phrase) : i + 1] == phrase:
                     base.append((a + i + 1 - len(phrase), label))
-    return base, _chains(auto, peaks, share)
+    return base, *_chains(auto, peaks, share)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = LEAST_SHARE, least: int = LEAST_MATCH) -> DataFrame:
     """(id, n_words, base array<struct<start, label>>, matches array<struct<label, start, end, share>>).
 
-    ``matches`` holds the spans that cover a template to ``share`` at least; ``best`` is the highest
+    ``matches`` holds the spans that cover a template to ``share`` at least and do not overlap; ``best`` is the highest
     share of any template.
     """
     own = df.select(F.col(id_col), F.col(text_col))
@@ -205,15 +244,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = TemplateAutomaton()
         get = auto.vocab.get
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             n_words, base, matches, best = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 n_words.append(len(words))
-                found, chains = scan_words(auto, list(map(get, words)), least, share)
+                found, chains, highest = scan_words(auto, list(map(get, words)), least, share)
                 base.append([{"start": s, "label": x} for s, x in sorted(found)])
-                matches.append([{"label": x, "start": s, "end": e, "share": r} for x, s, e, r in sorted(chains, key=lambda c: c[1:]) if r >= share])
-                best.append(max((c[3] for c in chains), default=0.0))
+                matches.append([{"label": x, "start": s, "end": e, "share": r} for x, s, e, r in sorted(chains, key=lambda c: c[1:])])
+                best.append(highest)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(base, base_a), pa.array(matches, match_a), pa.array(best, pa.float64())], names=out.names)
 
     return own.mapInArrow(run, out)
