@@ -4,7 +4,9 @@ Three base kinds are found by pattern: ``assign`` (a credential name, a separato
 8 characters or more), ``access`` (key ids) and ``hex`` (long hexadecimal runs). Around wider credential
 contexts the method takes the value and finds the cheapest way to guess it: a segmentation into
 dictionary words, dates, repeats, keyboard walks and brute-force characters whose summed log10
-guesses are least. Values that stay expensive are added as kind ``guess``; base spans always stay.
+guesses are least. A run of letters that reads like a word (by the letter pairs of the dictionary) is one of a
+million words that the dictionary lacks, however long. Values that stay expensive are added as kind ``guess``; base
+spans always stay.
 The dictionary is the fixed list of password words and the words of all languages in the documents,
 ranked by how many documents have them outside credential contexts (``common_words``).
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, portions, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value counts as a secret, and its least length.
@@ -36,7 +38,7 @@ THRESHOLD, SHORTEST = 10.0, 6
 #: at most so many letters (so 200,000 words are 26 MB at the very most, and 2 MB at ten letters a word).
 LEAST_DOCS, MOST_WORDS, WORD_LETTERS = 5, 200_000, 32
 #: Distinct words that a task counts before it hands the counts on.
-_HELD_WORDS = 200_000
+_HELD_WORDS = 100_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -59,6 +61,9 @@ WORDS = (
     "with from this have not for are was but all can one out day get has him his how man new now old see two way who boy did its let put say she too use"
 ).split()
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+#: A run of so many letters is like a word if its letter pairs cost, on average, no more than so many log10 guesses
+#: each (log10 26, the cost of any letter, is 1.415); it is one of 10^UNKNOWN words then.
+LIKE_LETTERS, LIKE_COST, UNKNOWN = 4, 1.4, 6.0
 _PLAIN_WORD = re.compile(rf"\b[^\W\d_]{{3,{WORD_LETTERS}}}\b")
 #: Rows of a keyboard; a walk steps to a neighbour in its row.
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
@@ -78,6 +83,40 @@ def ranked(words: list[str]) -> dict[str, int]:
     return ranks | {w: min(r, ranks.get(w, r)) for w, r in _RANK.items()}
 
 
+def letter_costs(words: list[str] = ()) -> dict[str, dict[str, float]]:
+    """log10 guesses of each letter after another (after " " at the start), by the pairs in the fixed words and ``words``; "" for any other pair."""
+    pairs: dict[str, Counter] = {"": Counter()}
+    for w in {*_RANK, *words}:
+        for a, b in zip(" " + w, w, strict=False):
+            pairs.setdefault(a, Counter())[b] += 1
+    rare = 0.3  # of each pair that no word has
+    out = {}
+    for a, found in pairs.items():
+        total = log10(found.total() + 27 * rare)
+        out[a] = {b: total - log10(n + rare) for b, n in found.items()} | {"": total - log10(rare)}
+    return out
+
+
+def _like_words(value: str, letters: dict[str, dict[str, float]]) -> dict[int, int]:
+    """{start: end} of the runs of letters of one case, or with a capital first, that read like a word."""
+    out, i, n = {}, 0, len(value)
+    while i < n:
+        j = i + 1
+        if value[i].isalpha():
+            while j < n and value[j].isalpha() and (value[j].islower() and (value[j - 1].islower() or j - i == 1) or value[j].isupper() and value[j - 1].isupper()):
+                j += 1
+            if j - i >= LIKE_LETTERS:
+                word, cost, before = value[i:j].lower(), 0.0, " "
+                for c in word:
+                    after = letters.get(before) or letters[""]
+                    cost += after.get(c, after[""])
+                    before = c
+                if cost <= LIKE_COST * len(word) and len(word) == j - i:
+                    out[i] = j
+        i = j
+    return out
+
+
 def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
     """The words of three letters or more in at least LEAST_DOCS rows, those in most rows first, ties by the word; MOST_WORDS at most (of words tied at the bound a hash picks).
 
@@ -87,7 +126,7 @@ def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         give = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 0)):
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(set(_PLAIN_WORD.findall(_CONTEXT.sub(" ", _ASSIGN.sub(" ", text)).lower())))
@@ -110,14 +149,15 @@ def common_words(df: DataFrame, text_col: str = "text") -> list[str]:
     return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))[:MOST_WORDS] if len(set(r.word)) > 1]
 
 
-def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None = None) -> tuple[float, list[tuple[str, int, int]]]:
+def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None = None, letters: dict[str, dict[str, float]] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """Least log10 guesses for ``value``, and the segmentation (kind, start, end) that attains it.
 
     best[i] is the least cost of the first i characters; each segment adds its own log10 guesses and
     a small charge for one more piece in the order of pieces. Every part of three characters or more of a
     repeat or walk may be a segment. Time is linear in the length: no other segment is longer than ``longest``
     (the longest word, or a date), so beyond that many characters from where a run begins, a segment that began
-    earlier in the run is as cheap as any longer one from there.
+    earlier in the run is as cheap as any longer one from there. With ``letters`` (``letter_costs``) a whole run of
+    letters that reads like a word may be a segment of kind ``like``.
     """
     longest = max(10, longest or max(map(len, ranks)))
     n, low = len(value), value.lower()
@@ -141,6 +181,7 @@ def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None =
         if (low[i], low[i + 1]) in _NEXT:
             walk[i] = walk[i + 1]
     first_same = first_walk = 0
+    like = _like_words(value, letters) if letters else {}
     for i in range(n):
         if i and same[i] != same[i - 1]:
             first_same = i
@@ -155,6 +196,8 @@ def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None =
                 offer("word", i, j, log10(rank + 1) + (0 if value[i:j] == low[i:j] else step) + step)
             elif (rank := ranks.get(plain[i:j])) is not None:
                 offer("word", i, j, log10(rank + 1) + 3 * step)
+        if i in like:
+            offer("like", i, like[i], UNKNOWN + (0 if value[i : like[i]].islower() else step) + step)
         if value[i].isdigit() and (m := _DATE.match(value, i, i + 10)):
             offer("date", i, m.end(), log10(365 * 100 if m.end() - i > 4 else 200) + step)
     pieces, j = [], n
@@ -168,7 +211,10 @@ def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int | None =
     return best[n], pieces[::-1]
 
 
-def spans(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int] = _RANK, longest: int | None = None) -> list[tuple[int, str, int]]:
+_LETTERS = letter_costs()
+
+
+def spans(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int] = _RANK, longest: int | None = None, letters: dict[str, dict[str, float]] = _LETTERS) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret in a text, by start and then kind in the order of KINDS."""
     if not text:
         return []
@@ -179,24 +225,31 @@ def spans(text: str | None, threshold: float = THRESHOLD, ranks: dict[str, int]
         start, end = m.span(m.lastindex)
         while end > start and text[end - 1] in ".)]}!?:":
             end -= 1
-        if end - start >= SHORTEST and guess_cost(text[start:end], ranks, longest)[0] >= threshold:
+        if end - start >= SHORTEST and guess_cost(text[start:end], ranks, longest, letters)[0] >= threshold:
             found.append((start, 3, end))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
+def _dictionary(df: DataFrame, text_col: str, words: list[str] | None):
+    """Broadcast of the words of ``df`` (or those given) and of the costs of their letter pairs."""
+    words = common_words(df, text_col) if words is None else words
+    return df.sparkSession.sparkContext.broadcast((words, letter_costs(words)))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>): code points, end exclusive. Without ``words`` those of ``df`` are counted."""
-    known = df.sparkSession.sparkContext.broadcast(common_words(df, text_col) if words is None else words)
+    known = _dictionary(df, text_col, words)
     own = df.select(F.col(id_col), F.col(text_col))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([own.schema[0], T.StructField("spans", T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranked(known.value)
+        words, letters = known.value
+        ranks = ranked(words)
         longest = max(map(len, ranks))
-        for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t, threshold, ranks, longest)] for t in batch.column(1).to_pylist()]
+        for batch in (x for whole in batches for x in portions(whole, 1)):
+            found = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(t, threshold, ranks, longest, letters)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=out.names)
 
     return own.mapInArrow(run, out)
@@ -204,17 +257,18 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
     """``df`` with every secret in its text replaced by ``mark``; overlapping spans become one. Null stays null. ``words`` as in ``scan``."""
-    known = df.sparkSession.sparkContext.broadcast(common_words(df, text_col) if words is None else words)
+    known = _dictionary(df, text_col, words)
+    k = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranked(known.value)
+        words, letters = known.value
+        ranks = ranked(words)
         longest = max(map(len, ranks))
-        for batch in batches:
-            k = batch.schema.get_field_index(text_col)
+        for batch in (x for whole in batches for x in portions(whole, k)):
             done = []
             for text in batch.column(k).to_pylist():
                 parts, at = [], 0
-                for start, _, end in spans(text, threshold, ranks, longest):
+                for start, _, end in spans(text, threshold, ranks, longest, letters):
                     if start >= at:
                         parts += [text[at:start], mark]
                     at = max(at, end)
