@@ -1,22 +1,27 @@
 """HTML extraction by composite text density.
 
-A page is parsed into a tree, and subtrees that are never article text (menus, headers, footers,
-sidebars, scripts, styles, comments) are left out by element. A form, or a subtree that the words of class, id or
-role call a sidebar, notice, advert and so on, is left out only if it holds no article or main element and, on a page
-that has none of these with text, is not on the path to the densest node of the whole page. For every node left, the characters per tag, adjusted for links, give its density;
-the sum over its children its density sum. The node of the largest sum is the core; the least density
-on its path to the body is the threshold; every subtree that reaches it adds its own node of largest
-sum, and the smallest subtree over all of these is the article.
+A page is parsed into a tree, and subtrees that are never article text (menus, headers, footers, sidebars, scripts,
+styles) are left out by element. A form, or a container whose class, id or role is the name of a sidebar, notice,
+advert, comment list and so on (``boilerplate_name``), is left out only if it holds no article or main element (one that
+is not itself in such a container, if there is any) and, on a page that has none of these with text, is not on the path to the densest node of the whole page. Headings,
+paragraphs and the like are never left out by name, nor are sections inside an article.
+
+For every node left, the characters per tag, adjusted for links, give its density (``composite``); the sum over its
+children its density sum. The node of the largest sum is the core; the least density on its path to the body is the
+threshold; every subtree that reaches it adds its own node of largest sum, and the smallest subtree over all of these
+is selected. A short heading is not dense, so the subtree takes in what its author bound it to: the article or main
+element around it, or else a parent that adds nothing but headings.
 
 Defined results: null or empty html, or a page without text, gives an empty text; a page without a
 body element counts as its own body; broken or unclosed markup is closed as browsers do, in short;
 ties go to the earlier node; repeated rows give repeated results; extra columns are dropped; an empty
-table gives an empty result. One narrow map over the pages.
+table gives an empty result. One narrow map over the pages, linear in the length of a page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from math import e, log
@@ -26,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import portions, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>?""", re.S)
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Attributes one after another, so a name inside another one's value is not read as a name.
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,58 +50,82 @@ _CLOSES = {k: (frozenset(v.split()), frozenset(w.split())) for keys, v, w in (
 _ENDS_P = _BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "option", "optgroup", "legend", "caption"}
 _P_WALLS = frozenset("article aside blockquote body button caption dd details div dl dt fieldset figcaption figure footer form header html li main nav ol section table td th tr ul".split())
 
-#: Never article text: elements, and words of class, id and role.
+#: Never article text.
 _OUT = frozenset("script style noscript template iframe object embed svg canvas audio video nav footer aside button select textarea input label dialog menu search head title noembed noframes".split())
-#: Left out unless they hold the article: forms, and what these words name.
+#: Left out unless they hold the article: forms, and of these containers those with a name of _OUT_WORDS; the last two only outside articles.
 _FORMS = frozenset("form fieldset".split())
+_NAMED = frozenset("div ul ol dl table center figure details section article".split())
 _OUT_WORDS = frozenset(
     "nav navbar navigation menu menubar footer sidebar aside ad ads advert adverts advertisement advertising adsbygoogle banner promo promotion sponsor sponsored "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search share sharing social "
     "related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond replies discussion complementary contentinfo "
     "toolbar widget masthead copyright disclaimer paywall skip".split()
 )
-_CONTAINERS = frozenset("article main section div td body".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: May stand beside such a word in a name, as in main-menu or comment-list.
+_BESIDE = frozenset("site page main post article entry top bottom left right box bar list area block container wrapper wrap inner outer section panel slot unit module group item items links buttons form".split())
+_ARTICLES = frozenset("article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "links", "link_tags", "density", "total", "kids", "doubtful")
+    __slots__ = ("tag", "parent", "parts", "out", "inside", "chars", "tags", "links", "link_tags", "density", "total", "kids", "doubtful", "named")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
+        self.inside = parent is not None and (parent.inside or parent.tag in _ARTICLES)  # of an article
         self.doubtful = False  # left out unless it holds the article
+        self.named = parent is not None and parent.named  # in a container named as boilerplate
         self.parts: list = []  # texts and nodes, in page order
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
         self.kids: list[Node] = []
 
 
-def _left_out(tag: str, attrs: str, parent: Node) -> bool:
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag, names in lower case; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def boilerplate_name(name: str) -> bool:
+    """Whether a whole class, id or role says boilerplate: one of its words does, and the others are that or words like box and list."""
+    words = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
+    return any(w in _OUT_WORDS for w in words) and all(w in _OUT_WORDS or w in _BESIDE for w in words)
+
+
+def _left_out(tag: str, attrs: dict[str, str], parent: Node) -> bool:
     if parent.out or tag in _OUT:
         return True
     if tag == "header" or parent.tag == "header":  # an article's own header keeps its headings
-        up = parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None or tag not in _HEADINGS and tag not in ("header", "hgroup", "div"):
+        inside = parent.inside or parent.tag in _ARTICLES
+        if not inside or tag not in _HEADINGS and tag != "div":
             return True
-    return tag not in ("body", "html", "article", "main") and any(m[1].lower() == "hidden" for m in _ATTR.finditer(attrs))
+    return "hidden" in attrs and tag not in ("body", "html", "article", "main")
 
 
-def _doubtful(tag: str, attrs: str) -> bool:
-    if tag in _FORMS:
-        return True
-    if attrs and tag not in ("body", "html", "article", "main"):
-        for m in _ATTR.finditer(attrs):
-            if m[1].lower() in ("class", "id", "role") and any(w.lower() in _OUT_WORDS for w in _WORD.findall(m[2] or m[3] or m[4] or "")):
-                return True
-    return False
+def _named(tag: str, attrs: dict[str, str], node: Node) -> bool:
+    """Whether a container is named as boilerplate."""
+    if not attrs or tag not in _NAMED or node.inside and tag in ("section", "article"):
+        return False
+    return any(boilerplate_name(name) for key in ("class", "id", "role") for name in attrs.get(key, "").split())
 
 
 def parse(html: str) -> Node:
     """The tree of a page; texts are decoded."""
     root = Node("#root", None, False)
-    top, at, end = root, 0, len(html)
+    top, at, end, opened = root, 0, len(html), Counter()
+
+    def close(upto: Node) -> Node:
+        """End the open elements up to and including one; its parent is open then."""
+        x = top
+        while x is not upto:
+            opened[x.tag] -= 1
+            x = x.parent
+        opened[x.tag] -= 1
+        return x.parent
+
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -107,35 +137,35 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1] or html.startswith("</", m.start()):
-            up = top
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root and tag not in ("body", "html"):
-                top = up.parent
+            if opened[tag] and tag not in ("body", "html"):
+                up = top
+                while up.tag != tag:
+                    up = up.parent
+                top = close(up)
             continue
         closes, walls = _CLOSES.get(tag, ((), ()))
         if tag in _ENDS_P:
             closes, walls = ("p",), _P_WALLS
-        if closes:
-            up, last = top, None
-            while up is not root and up.tag not in walls:
-                if up.tag in closes:
-                    last = up
+        if any(opened[x] for x in closes):
+            up = top
+            while up is not root and up.tag not in walls and up.tag not in closes:
                 up = up.parent
-            if last is not None:
-                top = last.parent
-        if tag in ("body", "html") and any(x.tag == tag for x in _path(top)):
+            if up.tag in closes:
+                top = close(up)
+        if tag in ("body", "html") and opened[tag]:
             continue
-        node = Node(tag, top, _left_out(tag, m[3] or "", top))
-        node.doubtful = not node.out and _doubtful(tag, m[3] or "")
+        attrs = attributes(m[3]) if m[3] else {}
+        node = Node(tag, top, _left_out(tag, attrs, top))
+        if not node.out:
+            own = _named(tag, attrs, node)
+            node.doubtful, node.named = own or tag in _FORMS, own or node.named
         top.parts.append(node)
         if tag in _RAW:
-            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else end
-        elif tag not in _VOID and not (m[3] or "").endswith("/"):
+            stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
+            at = stop.end() if stop else end
+        elif tag not in _VOID and (not (m[3] or "").endswith("/") or tag in ("p", "div", "span", "a", "b", "i")):
             top = node
-        elif tag not in _VOID:
-            top = node if tag in ("p", "div", "span", "a", "b", "i") else top
+            opened[tag] += 1
     return root
 
 
@@ -163,31 +193,46 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def composite(chars: int, tags: int, links: int, link_tags: int, share: float) -> float:
+    """Composite text density: C / T * log_b(C / LC * T / LT), with b = ln(C / (C - LC) * LC + share * C + e).
+
+    ``links`` are characters and ``link_tags`` tags of links, ``share`` is that of link characters in the body. Counts
+    below one count as one. Where b is less than e it is e, since on a page without links it would go to 1;
+    a node with more link tags and characters than its own has density 0.
+    """
+    if not chars:
+        return 0.0
+    t, lc, lt = max(1, tags), max(1, links), max(1, link_tags)
+    b = max(e, log(chars / max(1, chars - links) * links + share * chars + e))
+    return chars / t * max(0.0, log(chars * t / (lc * lt)) / log(b))
+
+
 def _weigh(order: list[Node], body: Node) -> None:
     """Composite density of every node, and the sum over its children (a leaf: its own)."""
     share = body.links / max(1, body.chars)
     for node in order:
-        node.density = 0.0
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.links), max(1, node.link_tags)
-        if c:
-            plain = max(1, c - node.links)
-            base = log(log(c / plain * node.links + share * c + e) + 1e-9) if c else 1.0
-            node.density = c / t * log(max(1.0, c * t / (lc * lt)) + 1e-9) / max(1.0, base)
+        node.density = composite(node.chars, node.tags, node.links, node.link_tags, share)
     for node in order:
         node.total = sum(x.density for x in node.kids) if node.kids else node.density
 
 
 def _leave_out(order: list[Node], body: Node) -> None:
     """Mark as left out what is doubtful and does not hold the article."""
-    held = [x for x in order if x.tag in ("article", "main") and x.chars] or [max(order, key=lambda x: x.total)]
-    stay = {id(x) for node in held for x in _upto(node, body)}
+    articles = [x for x in order if x.tag in _ARTICLES and x.chars]
+    held = [x for x in articles if not x.named] or articles or [max(order, key=lambda x: x.total)]
+    stay: set[int] = set()
+    for node in held:
+        for x in _upto(node, body):
+            if id(x) in stay:
+                break
+            stay.add(id(x))
     for node in order:
         if node.doubtful and id(node) not in stay:
             node.out = True
 
 
 def select(root: Node) -> Node | None:
-    """The smallest subtree over the core and all parts that reach the threshold."""
+    """The smallest subtree over the core and all parts that reach the threshold, with its headings; None without text."""
     body = next((x for x in _walk(root) if x.tag == "body"), root)
     order = _measure(body)
     if not body.chars:
@@ -204,29 +249,37 @@ def select(root: Node) -> Node | None:
     best: dict[int, Node] = {}
     for node in reversed(order):
         best[id(node)] = max([node, *(best[id(x)] for x in node.kids)], key=lambda x: x.total)
-    marked, todo = {id(core): core}, [body]
+    marked, todo = {id(core)}, [body]
     while todo:
         node = todo.pop()
         if node.density >= threshold - 1e-9 and node is not core:
-            found = best[id(node)]
-            marked[id(found)] = found
+            marked.add(id(best[id(node)]))
             todo += node.kids
-    paths = [list(_upto(x, body))[::-1] for x in marked.values()]
+    below: dict[int, int] = {}
+    for node in reversed(order):
+        below[id(node)] = (id(node) in marked) + sum(below[id(x)] for x in node.kids)
     over = body
-    for level in zip(*paths, strict=False):
-        if any(x is not level[0] for x in level):
+    while id(over) not in marked:
+        held = [x for x in over.kids if below[id(x)] == len(marked)]
+        if not held:
             break
-        over = level[0]
-    return _lift(over, body)
+        over = held[0]
+    return _with_headings(over, body)
 
 
-def _lift(node: Node, body: Node) -> Node:
-    """The nearest article or main element around a selected node, else the nearest container of blocks."""
-    for tags in (("article",), ("main",), _CONTAINERS):
-        for x in _upto(node, body):
-            if x.tag in tags:
-                return x
-    return body
+def _with_headings(node: Node, body: Node) -> Node:
+    """The article or main element around a selected node; without one, the highest parent that adds headings only."""
+    for x in _upto(node, body):
+        if x.tag in _ARTICLES:
+            return x
+    while node is not body and node.parent is not None and _only_headings_beside(node):
+        node = node.parent
+    return node
+
+
+def _only_headings_beside(node: Node) -> bool:
+    beside = [x for x in node.parent.parts if x is not node and (x.strip() if isinstance(x, str) else not x.out and x.chars)]
+    return bool(beside) and all(not isinstance(x, str) and x.tag in _HEADINGS for x in beside)
 
 
 def _walk(root: Node) -> Iterator[Node]:
@@ -272,8 +325,6 @@ def extract(html: str | None) -> str:
                 flush()
         elif x.tag in ("br", "wbr", "img"):
             run.append("" if x.tag == "wbr" else " ")
-        elif x is not top and x.kids and x.tag in _BLOCK and x.chars and x.links > 0.6 * x.chars and x.link_tags > 2:
-            flush()  # a list of links inside the article is a menu
         else:
             if x.tag in _BLOCK:
                 flush()
@@ -289,7 +340,7 @@ def extract_pages(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"),
     out = T.StructType([*own.schema[:-1], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, whole.num_columns - 1)):
             texts = [extract(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=out.names)
 
