@@ -85,6 +85,19 @@ def test_signature_estimates_similarity():
     assert abs(est - 0.75) < 0.05
 
 
+def test_near_duplicates_link_texts_of_one_id(spark):
+    df = frame(spark, [(1, "p q r"), (2, "p q r"), (2, "x y z"), (3, "x y z"), (4, "k l m"), (None, "p q r"), (2, "x y z")])
+    rows = sorted((r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=2).collect())
+    assert rows == [(0, None, True), (1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_substring_dedup_of_null_ids(spark):
+    long = "One sentence of seven words is here. Another sentence of seven words is there. "
+    df = frame(spark, [(None, long), (None, long), (1, long), (2, None)]).withColumn("n_removed", F.lit("clash"))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.n_removed) for r in substrings.remove_repeats(df).collect() if r.doc_id != 2)
+    assert got == [(False, 0, long, 0), (False, 0, long, 0), (True, 1, "", 2)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
@@ -184,6 +197,23 @@ def test_top_k(spark):
     assert topk.search(df.where("vec_id in (1, 50)"), df.where("vec_id = 50")).count() == 1
 
 
+def test_top_k_takes_empty_vectors_and_many_cells(spark, monkeypatch):
+    rows = [(0, [-1.0, -1.0]), (1, []), (2, [1.0, 1.0]), (3, [-1.0])] + [(50, [float(i), 0.5]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, df.where("vec_id in (0, 1)"), k=2).collect())
+    assert got == [(0, 1, 3, 65536), (0, 2, 1, 0), (1, 1, 0, 0), (1, 2, 2, 0)]
+    assert {r.vec_id for r in topk.search(df, df.where("vec_id = 50"), k=9).collect()} == {0, 1, 2, 3}
+    rng = np.random.default_rng(5)
+    big = spark.createDataFrame([(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(300)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, topk.search(big, big.where("vec_id % 3 = 0")).collect()))
+    monkeypatch.setattr(topk.tiled, "TILE_ROWS", 16)
+    monkeypatch.setattr(topk.tiled, "CELL_PRODUCTS", 500)
+    monkeypatch.setattr(topk.tiled, "COLUMN_BYTES", 1024)
+    assert sorted(map(tuple, topk.search(big, big.where("vec_id % 3 = 0"), block_queries=16).collect())) == want
+    v = {r.vec_id: [int(256 * x) for x in r.embedding] for r in big.collect()}
+    assert all(s == sum(x * y for x, y in zip(v[q], v[c])) for q, _, c, s in want) and len(want) == 500
+
+
 def leak_rows(seed=3):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(30)] + ["É", "the"]
@@ -272,5 +302,28 @@ def test_pipeline(spark, tmp_path):
         assert "abcdefgh12345" not in masked[204]
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    from tests.llm.test_maps import _lang_rows
+
+    spark.createDataFrame([(1, "zeta eta theta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [*_lang_rows(60, 8), (None, "ingthering therth", "aa"), (None, "ingthering therth", "aa"), (70, None, None), (71, "the ing zeta eta theta", "aa"), (72, "pwd: Xk9$mQ2!vLz8 thering", "aa")]
+    odd = [c for c in ("score", "n_words", "items", "spans", "lang_pred", "s.p", "ids")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in odd)).withColumn("n_chars", F.length("text"))
+    for name, stage in P.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns and docs.dtypes == before.dtypes, name
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in odd), name
+        assert stage(spark, before.limit(0), str(tmp_path)).count() == 0, name
+    got = docs.collect()
+    assert sum(r.doc_id is None for r in got) == 2 and not {70, 71} & {r.doc_id for r in got}
+    assert [r.text for r in got if r.doc_id == 72] == ["pwd: [SECRET] thering"] and all(r.n_chars == len(r.text) for r in got)
+    assert P.encoded(spark, docs, str(tmp_path)).count() == len(got)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language(spark, unlabelled, str(tmp_path)).count() == len(got)
+
+
 def test_shared_dir_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

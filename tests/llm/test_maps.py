@@ -162,13 +162,13 @@ def brute_cost(value):
         j = i + 1
         while j < len(value) and value[j] == value[i]:
             j += 1
-        if j - i >= 3:
-            out.append(secrets._char_cost(value[i]) + log10(j - i) + step + best(j))
+        for k in range(i + 3, j + 1):
+            out.append(secrets._char_cost(value[i]) + log10(k - i) + step + best(k))
         j = i + 1
         while j < len(value) and (low[j - 1], low[j]) in secrets._NEXT:
             j += 1
-        if j - i >= 3:
-            out.append(log10(40) + log10(j - i) + step + best(j))
+        for k in range(i + 3, j + 1):
+            out.append(log10(40) + log10(k - i) + step + best(k))
         for j in range(i + 3, len(value) + 1):
             if low[i:j] in secrets._RANK:
                 out.append(log10(secrets._RANK[low[i:j]] + 1) + (0 if value[i:j] == low[i:j] else step) + step + best(j))
@@ -228,6 +228,33 @@ def test_guess_cost_takes_parts_of_runs():
         assert "".join(v[s:e] for _, s, e in pieces) == v
 
 
+def test_ordinary_words_are_not_secrets(spark):
+    prose = ["the secret is wonderful", "The password is important for users", "my token: internationalization", "token = something", "secret: Vertraulichkeit", "das passwort pwd: Sicherheit"]
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(200)]
+    mixed = ["".join(rng.choice("abcXYZ012!$efgKLM789qrs") for _ in range(12)) for _ in range(200)]
+    got = {r.doc_id: [s for s in r.spans if s.kind == "guess"] for r in secrets.scan(docs(spark, prose + ["the secret is " + x for x in odd + mixed])).collect()}
+    assert not any(got[i] for i in range(len(prose)))
+    assert sum(map(bool, (got[len(prose) + i] for i in range(200)))) >= 190
+    assert all(got[len(prose) + 200 + i] for i in range(200))
+
+
+def test_runs_of_letters_like_words():
+    letters = secrets.letter_costs()
+    assert secrets._like_words("Wonderful-consistency9XKQZ", letters) == {0: 9, 10: 21}
+    assert secrets._like_words("someVariableName", letters) == {0: 4, 4: 12, 12: 16}
+    assert secrets._like_words("ABCdefWHATEVER abc", letters) == {6: 14}
+    for v in ("wonderful", "Wonderful1", "xkqzwvjhpl", "dragonconsistency", "İstanbul", "ß" * 9):
+        cost, pieces = secrets.guess_cost(v, letters=letters)
+        assert "".join(v[s:e] for _, s, e in pieces) == v and cost <= secrets.guess_cost(v)[0]
+
+
+def test_secrets_of_repeated_rows(spark):
+    df = docs(spark, ["pwd: Xk9$mQ2!vLz8"] * 3).withColumn("doc_id", F.lit(1)).withColumn("kind", F.lit("clash"))
+    rows = secrets.scan(df).collect()
+    assert len(rows) == 3 and all([s.kind for s in r.spans] == ["guess"] for r in rows)
+
+
 def test_words_of_the_documents_are_cheap(spark):
     prose = ["la consistency vertraulichkeit %d" % i for i in range(secrets.LEAST_DOCS)]
     copies = ["password: zyxkwvqjh"] * (2 * secrets.LEAST_DOCS)
@@ -302,6 +329,47 @@ def test_license_labels_of_broken_notices(spark):
     assert got[0] == {"mit"} and got[1] == set() and got[2] == {"gpl-3"}
 
 
+def test_license_labels_with_stray_matches(spark):
+    notice = licenses.TEMPLATES[1][1].split()
+    stray = "of the software blah persons to whom blah without limitation the blah".split()
+    texts = []
+    for n in (7, 8, 50):
+        filler = (stray * n)[: min(3 * n, 60)]
+        texts.append(" ".join(notice[:30] + filler + notice[30:]))
+    texts.append(" ".join(notice[:30] + stray * 500 + notice[30:]))
+    rest = " ".join(licenses.TEMPLATES[2][1].split()[65:])
+    bsd = licenses._REDISTRIBUTION.replace("1 redis", "redis").replace("2 redis", "redis")
+    texts += [bsd, f"{bsd} {licenses._ENDORSE[2:]}", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", f"{licenses.TEMPLATES[1][1]} {rest}", f"{bsd} and also {' '.join(notice)}", *[texts[0]] * 2]
+    got = {r.doc_id: sorted({m.label for m in r.matches}) for r in licenses.scan(docs(spark, texts, matches="clash")).collect()}
+    assert [got[i] for i in range(len(texts))] == [["mit"], ["mit"], ["mit"], [], ["bsd-2"], ["bsd-3"], ["cc-by-nc"], ["mit"], ["bsd-2", "mit"], ["mit"], ["mit"]]
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(2)
+
+    def brute(found, length):
+        best = []
+        for i, (end, at, n) in enumerate(found):
+            words = n
+            for j in range(i):
+                e, a, _ = found[j]
+                over = max(0, e - (end - n), a - (at - n))
+                if at > a and end - n - e <= length and over < n:
+                    words = max(words, best[j] + n - over)
+            best.append(words)
+        return best
+
+    for _ in range(200):
+        length = rng.randint(3, 30)
+        found = sorted((end, at, rng.randint(1, min(at, end))) for end, at in ((rng.randint(1, 200), rng.randint(1, length)) for _ in range(rng.randint(0, 60))))
+        assert [c[3] for c in licenses._chained(found, length)] == brute(found, length)
+
+
+def test_license_phrases_shorter_than_matches(spark):
+    got = licenses.scan(docs(spark, ["x cc by nc y", "under the mit license"]), least=5).orderBy("doc_id").collect()
+    assert [[b.label for b in r.base] for r in got] == [["cc-by-nc"], ["mit"]]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=1>A</a><li><a href=2>B</a></ul></nav>
 <div class="ad">Buy</div><article><h1>Head &amp; more</h1><p><b>One   two.<br><p>Three &lt;x&gt; it&#39;s.</p><ul><li>i<li>j</ul></article><div class="comments"><p>Reader says</p></div><aside>s</aside><form>f</form><footer>&copy; z</footer></body></html>"""
 
@@ -332,3 +400,101 @@ def test_html_keeps_articles_in_doubtful_wrappers():
             assert html_text.extract(f"<body>{note}{start}{inner}{story}{ad}{close}{ad}{end}{ad}</body>") == want
     replies = '<div class="comments">' + "<p>A long reply that is not the article at all, and goes on for long.</p>" * 30 + "</div>"
     assert html_text.extract(f"<body><article>{story}</article>{replies}</body>") == want
+
+
+def test_html_keeps_what_only_looks_like_boilerplate():
+    story = "".join(f"<p>Sentence number {i} of the story goes on and on for a good while here.</p>" for i in range(6))
+    links = "".join(f'<li><a href="{i}">Reference number {i} of the article</a></li>' for i in range(3))
+    kept = ['<p title="the hidden truth">X</p>', '<p><a href="x/hidden/">X</a></p>', "<p data-x='a hidden b'>X</p>", "<p title=\"see class='ad' there\">X</p>", '<section id="discussion"><p>X</p></section>', '<h2 id="search-results">X</h2>', '<p class="notice">X</p>', '<blockquote class="related">X</blockquote>']
+    for x in kept:
+        assert html_text.extract(f"<body><article>{story}{x}</article><footer>f</footer></body>").endswith("here.\n\nX"), x
+    assert html_text.extract(f"<body><article>{story}<ul>{links}</ul></article></body>").endswith("Reference number 1 of the article\n\nReference number 2 of the article")
+    for x in ('<div class="notice"><p>X</p></div>', '<div id="main-menu">X</div>', '<ul class="share-links"><li>X</ul>', "<form><p>X</p></form>", '<div class="adBox">X</div>', "<p hidden>X</p>"):
+        assert html_text.extract(f"<body><article>{story}{x}</article></body>").endswith("here."), x
+    replies = '<div class="comment-list">' + "<article class=comment><p>A long reply that is not the article at all, and goes on for long.</p></article>" * 30 + "</div>"
+    assert html_text.extract(f"<body><article>{story}</article>{replies}</body>").endswith("here.")
+    assert html_text.extract(f"<body><div><h1>Head</h1><div>{story}</div></div><p>Tiny.</p></body>").startswith("Head\n\nSentence")
+
+
+def test_html_rows_and_broken_markup(spark):
+    deep = "<b>" * 3000 + "<p>x" * 3000 + "</i>" * 3000
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, "u", deep), (3, None, "<header>" * 2000 + "y"), (None, "u", "<p>n</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    got = html_text.extract_pages(df).collect()
+    assert len(got) == 5 and [r.text for r in got if r.page_id == 1] == ["a", "a"] and all(r.n_chars == len(r.text) for r in got)
+
+
+def brute_selected(html):
+    """The id of the selected node, straight from the definitions: all sums anew for each node, paths as lists."""
+    from html.parser import HTMLParser
+    from math import e, log
+
+    nodes = []  # (id, tag, parent, own texts)
+
+    class Reader(HTMLParser):
+        open = [None]
+
+        def handle_starttag(self, tag, attrs):
+            nodes.append((dict(attrs).get("data-k"), tag, self.open[-1], []))
+            self.open = [*self.open, len(nodes) - 1]
+
+        def handle_endtag(self, tag):
+            self.open = self.open[:-1]
+
+        def handle_data(self, data):
+            nodes[self.open[-1]][3].append(data)
+
+    Reader().feed(html)
+    up = lambda i: [i, *up(nodes[i][2])] if i is not None else []
+    under = {i: [j for j in range(len(nodes)) if i in up(j)] for i in range(len(nodes))}
+    size = lambda js: sum(len(" ".join(t.split())) for j in js for t in nodes[j][3])
+    link = lambda i: [j for j in under[i] if any(nodes[x][1] == "a" for x in up(j) if x in under[i])]
+    share = size(link(0)) / max(1, size(under[0]))
+
+    def density(i):
+        c, t, lc, lt = size(under[i]), max(1, len(under[i]) - 1), size(link(i)), sum(nodes[j][1] == "a" for j in under[i])
+        if not c:
+            return 0
+        b = max(e, log(c / max(1, c - lc) * lc + share * c + e))
+        return c / t * max(0, log(c / max(1, lc) * t / max(1, lt)) / log(b))
+
+    kids = {i: [j for j in range(len(nodes)) if nodes[j][2] == i] for i in range(len(nodes))}
+    d = {i: density(i) for i in range(len(nodes))}
+    total = {i: sum(d[j] for j in kids[i]) if kids[i] else d[i] for i in d}
+    top = lambda js: max(js, key=lambda i: (round(total[i], 6), -i))
+    core = top(d)
+    least = min(d[i] for i in up(core))
+    marked = {core} | {top(under[i]) for i in d if all(d[j] >= least - 1e-9 and j != core for j in up(i))}
+    common = [i for i in d if all(i in up(m) for m in marked)]
+    return nodes[max(common, key=lambda i: len(up(i)))][0]
+
+
+def test_html_selects_by_density():
+    rng = random.Random(12)
+
+    def tree(depth, count):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "div", "section", "span", "a"] if depth < 3 else ["span", "a"])
+            if tag == "a" or depth > 3:
+                inner = "w" * rng.randint(1, 60)
+            else:
+                inner = rng.choice(["", "text " * rng.randint(1, 40)]) + tree(depth + 1, count)
+            count[0] += 1
+            out.append(f'<{tag} data-k="{count[0]}">{inner}</{tag}>')
+        return "".join(out)
+
+    for _ in range(150):
+        html = f'<body data-k="0">{tree(0, [0])}</body>'
+        node = html_text.select(html_text.parse(html))
+        opening = re.search(rf'data-k="{brute_selected(html)}"', html)
+        assert opening and html_text_key(html, node) == brute_selected(html)
+
+
+def html_text_key(html, node):
+    """The key of a node: its place among all start tags in page order."""
+    top = node
+    while top.parent is not None:
+        top = top.parent
+    order = [x for x in html_text._walk(top) if x is not top]
+    return re.findall(r'data-k="(\d+)"', html)[order.index(node)]
