@@ -1,7 +1,8 @@
-"""Text functions on columns; all stay inside Spark's own expressions."""
+"""Text functions on columns; all but ``positions`` stay inside Spark's own expressions."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,17 +58,55 @@ def deletion_keys(c: Column) -> Column:
 
 
 def positions(text: Column, part: Column, overlapping: bool = True) -> Column:
-    """0-based places of ``part`` in ``text``; not overlapping: each search goes on after the match before.
+    """0-based places of ``part`` in ``text``, null for a null; not overlapping: each search goes on after the match before.
 
-    The text is split before every match, so the work is linear in its length.
+    An Arrow function, linear in the text: folds over arrays copy what they have found at each step.
     """
-    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), part, F.lit("\\E)")), -1)
-    empty = F.array().cast("array<int>")
-    walk = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("starts")), lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
-    starts = F.filter(walk["starts"], lambda i: (i > 0) | F.startswith(text, part))
-    if overlapping:
-        return starts
-    return F.aggregate(starts, empty, lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.element_at(acc, -1) + F.length(part)), F.concat(acc, F.array(i))).otherwise(acc))
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        out = []
+        for t, p in zip(texts, parts, strict=True):
+            if t is None or p is None:
+                out.append(None)
+                continue
+            found, at = [], t.find(p) if p else -1
+            while at >= 0:
+                found.append(at)
+                at = t.find(p, at + (1 if overlapping else len(p)))
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return places(text, part)
+
+
+def union_in_order(a: Column, b: Column) -> Column:
+    """The items of two arrays in the order of their first appearance."""
+    return F.array_distinct(F.concat(a, b))
+
+
+def spelled_date(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def numbered_code(number: Column, digits: int = 5, suffix: str = "号") -> Column:
+    """A running number with leading zeros and what follows it."""
+    return F.format_string(f"%0{digits}d{suffix}", number)
+
+
+def into_window(value: Column, upper: Column, share: float = 0.25) -> Column:
+    """A value above its window becomes ``share`` of the value and its bound together, on two decimals; others stay."""
+    return F.round(F.when(value > upper, value * share + upper * share).otherwise(value), 2)
+
+
+def beyond_window(value: Column, upper: Column) -> Column:
+    """How far a value is above its bound (negative below), on two decimals."""
+    return F.round(value - upper, 2)
+
+
+def parameter_text(title: str, name: Column, value: Column, unit: str, shown: Column) -> Column:
+    """A title, a name, and the value with its unit in brackets where it is to be shown."""
+    return F.concat(F.lit(title + "："), name, F.when(shown, F.concat(F.lit("（"), value.cast("string"), F.lit(unit + "）"))).otherwise(F.lit("")))
 
 
 def md5_mod(key: Column, modulus: int) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.sources.tables import new_folder
 
 
 # fixed values: headings of procedure documents, numbered items of exception and notice documents
@@ -58,38 +60,57 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("genre", genre).select("doc_id", "pos", "genre", "text")
 
 
-def with_chunk_ids(chunks: DataFrame, order: list[str], digits: int = 5, ranges: int = 200) -> DataFrame:
-    """``chunks`` with running ids C00000, C00001, ... in one order over all of them.
+def numbered(df: DataFrame, order: list, name: str = "no") -> DataFrame:
+    """``df`` with the place of each row, from 0, in one order over all of them.
 
-    Rows are numbered within ranges of the first ordering column, and moved on by the sizes of the ranges
-    before. Bounds are at most ``ranges`` values of that column, drawn by hash; of the rows only the counts
-    of the ranges are gathered. A range is a function of the row's own value, so every pass agrees on it.
+    Rows are dealt to ranges of the whole order and sorted there, and this is written to the shared folder once, so that
+    counts and places agree whatever is lost later. Only the sizes of the ranges are gathered, one for each shuffle
+    partition; a row's place is that in its range and the sizes of the ranges before.
     """
-    lead = order[0]
-    drawn = chunks.select(lead).where(F.col(lead).isNotNull()).distinct().orderBy(F.xxhash64(lead), lead).limit(ranges).collect()
-    bounds = F.array(*[F.lit(r[0]).cast(chunks.schema[lead].dataType) for r in drawn]) if drawn else F.array().cast(T.ArrayType(chunks.schema[lead].dataType))
-    ranged = chunks.withColumn("_p", F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(lead)))))
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    path = new_folder(spark, "numbered")
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    number = (F.col("_before") + F.col("_r") - 1).cast("string")
-    out = ranked.join(F.broadcast(before), "_p")
-    return out.withColumn("chunk_id", F.concat(F.lit("C"), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))).drop("_p", "_r", "_before")
+    out = placed.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + at).alias(name))
+
+
+def with_chunk_ids(chunks: DataFrame, order: list[str], digits: int = 5) -> DataFrame:
+    """``chunks`` with running ids C00000, C00001, ... in one order over all of them."""
+    number = F.col("_no").cast("string")
+    out = numbered(chunks, order, "_no")
+    return out.withColumn("chunk_id", F.concat(F.lit("C"), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))).drop("_no")
 
 
 def pack_items(lengths: Column, limit: int = 2600) -> Column:
     """Segment number of every item of a list, packed in order: a segment takes items while their lengths sum to ``limit`` at most.
 
-    The first item of a segment is always taken. A sequential fold; the reset depends on what was packed.
+    The first item of a segment is always taken. A sequential walk, as an Arrow function.
     """
-    start = F.struct(F.lit(-1).alias("seg"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, n: Column) -> Column:
-        fits = (acc["seg"] >= 0) & (acc["size"] + n <= limit)
-        seg = F.when(fits, acc["seg"]).otherwise(acc["seg"] + 1)
-        return F.struct(seg.alias("seg"), F.when(fits, acc["size"] + n).otherwise(n).cast("long").alias("size"), F.concat(acc["out"], F.array(seg)).alias("out"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    @F.pandas_udf("array<int>")
+    def packed(lists: pd.Series) -> pd.Series:
+        out = []
+        for items in lists:
+            if items is None:
+                out.append(None)
+                continue
+            segs, seg, size = [], -1, 0
+            for n in items:
+                if seg >= 0 and size + n <= limit:
+                    size += n
+                else:
+                    seg, size = seg + 1, n
+                segs.append(seg)
+            out.append(segs)
+        return pd.Series(out, dtype=object)
+
+    return packed(lengths)
 
 
 def captured(text: Column, pattern: str, base: Column | None = None) -> Column:

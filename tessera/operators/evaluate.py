@@ -32,6 +32,16 @@ def extraction_scores(entities: DataFrame, gold_entities: DataFrame, relations:
     return e.unionByName(set_scores(relations, gold_relations, ["head", "rel", "tail"]).select(F.lit("relation").alias("kind"), "*"))
 
 
+def trace_stats(traces: DataFrame, linked, methods: dict) -> DataFrame:
+    """One row: traces, those that are linked, and the count of each link method (name to condition)."""
+    return traces.agg(F.count(F.lit(1)).alias("n"), F.count_if(linked).alias("linked"), *(F.count_if(c).alias(name) for name, c in methods.items()))
+
+
+def with_answers(traces: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Traces beside their answers, by question; either without the other drops out."""
+    return traces.join(answers, keys)
+
+
 def retrieval_scores(ranked: DataFrame, gold: DataFrame, by: list[str] | None = None, cut: int = 3, wide: int = 10) -> DataFrame:
     """Hit rate and reciprocal rank within ``cut``, and gold coverage within ``cut``, ``wide`` and overall.
 

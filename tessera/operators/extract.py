@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +40,27 @@ def gazetteer(entities: DataFrame, rates: dict[str, float] | None = None) -> Dat
     return names.unionByName(alias).withColumn("r", F.row_number().over(w)).where("r = 1").select("surface", "id", "label", "ord")
 
 
-def select_spans(candidates: Column) -> Column:
-    """Greedy choice of spans that do not overlap, from an array of structs (order, start, end, ...) in order of preference."""
-    empty = F.filter(candidates, lambda _: F.lit(False))
-    free = lambda acc, c: ~F.exists(acc, lambda x: (x["start"] < c["end"]) & (c["start"] < x["end"]))
-    return F.aggregate(F.array_sort(candidates), empty, lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+def _free_spans(spans: list[dict]) -> list[dict]:
+    """Greedy choice of spans that do not overlap, from spans in order of preference."""
+    starts, ends, out = [], [], []
+    for x in spans:
+        k = bisect_right(starts, x["start"])
+        if (k == 0 or ends[k - 1] <= x["start"]) and (k == len(starts) or starts[k] >= x["end"]):
+            starts.insert(k, x["start"])
+            ends.insert(k, x["end"])
+            out.append(x)
+    return out
+
+
+def select_spans(grouped: DataFrame) -> DataFrame:
+    """(key, spans): of each array of structs (start, end, ...), sorted by preference, those that are chosen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(1).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_free_spans(x or []) for x in batch.column(1).to_pylist()], kind)], names=batch.schema.names)
+
+    return grouped.mapInArrow(run, grouped.schema)
 
 
 def mentions(docs: DataFrame, gaz: DataFrame, typo_longest: int = 40) -> DataFrame:
@@ -49,14 +68,14 @@ def mentions(docs: DataFrame, gaz: DataFrame, typo_longest: int = 40) -> DataFra
 
     Longer dictionary surfaces come first, ties in dictionary order; each is tried as it stands and
     then with one known wrong character (if it is short enough). Candidates come from a join; the
-    choice is a fold over the candidates of one document.
+    choice walks over the candidates of one document.
     """
     forms = gaz.select("surface", "id", "label", "ord", F.posexplode(F.concat(F.array("surface"), F.when(F.length("surface") <= typo_longest, TX.typo_variants(F.col("surface"))).otherwise(F.array().cast("array<string>")))).alias("variant", "form"))
     pairs = substring_join(docs.select(F.col("doc_id").alias("id"), "text"), forms.select(F.col("form").alias("sid"), F.col("form").alias("surface")).distinct())
     found = pairs.select(F.col("id").alias("doc_id"), F.col("surface").alias("form")).join(docs.select("doc_id", "text"), "doc_id")
     placed = found.select("doc_id", "form", F.explode(TX.positions(F.col("text"), F.col("form"))).alias("start")).join(forms, "form")
     span = F.struct((-F.length("surface")).alias("o1"), F.col("ord").alias("o2"), F.col("surface").alias("canonical"), F.col("variant"), F.col("start"), (F.col("start") + F.length("form")).alias("end"), F.col("form"), F.col("id"), F.col("label"))
-    picked = placed.groupBy("doc_id").agg(select_spans(F.collect_list(span)).alias("spans"))
+    picked = select_spans(placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans")))
     return picked.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.form").alias("surface"), "s.start", "s.end", "s.id", "s.label", "s.canonical")
 
 

@@ -120,17 +120,19 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 2, rels: list[str]
     steps = _steps(e, direction)
     known = e.select(F.col("source").alias("id")).union(e.select(F.col("target").alias("id"))).distinct()
     start = seeds.select("id").distinct().join(known, "id", "left_semi")
-    frontier = start.select("id", F.array("id").alias("key"))
+    ordered = limit is not None  # only then are paths carried along
+    frontier = start.select("id", *([F.array("id").alias("key")] if ordered else []))
     visited, found = frontier.select("id", F.lit(0).alias("depth")), []
     for hop in range(1, hops + 1):
-        walked = frontier.join(steps, F.col("id") == F.col("at")).select("other", "source", "rel", "target", "id", "key", F.concat("key", F.array(F.concat_ws("\u0001", "way", "rel", "other"))).alias("edge_key"))
+        path = ["id", "key", F.concat("key", F.array(F.concat_ws("\u0001", "way", "rel", "other"))).alias("edge_key")] if ordered else []
+        walked = frontier.join(steps, F.col("id") == F.col("at")).select("other", "source", "rel", "target", *path)
         found.append(walked.withColumn("hop", F.lit(hop)))
-        if hop < hops or limit is None:
-            reached = walked.groupBy(F.col("other").alias("id")).agg(F.min("edge_key").alias("key"))
+        if hop < hops or not ordered:
+            reached = walked.groupBy(F.col("other").alias("id")).agg(F.min("edge_key").alias("key")) if ordered else walked.select(F.col("other").alias("id")).distinct()
             frontier = reached.join(visited, "id", "left_anti")
             visited = visited.unionByName(frontier.select("id", F.lit(hop).alias("depth")))
     walked = reduce(DataFrame.unionByName, found)
-    if limit is None:
+    if not ordered:
         return visited, walked.groupBy("source", "rel", "target").agg(F.min("hop").alias("hop"))
     first = walked.orderBy("hop", "edge_key").limit(limit)
     last = first.agg(F.max(F.struct("hop", "key")).alias("m"))
@@ -288,6 +290,11 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_anti")
 
 
+def absent(df: DataFrame, others: DataFrame, key: str, other_key: str) -> DataFrame:
+    """Rows of ``df`` whose key no row of ``others`` has."""
+    return df.join(others.select(F.col(other_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+
+
 def neighbor_sets(edges: DataFrame) -> DataFrame:
     """(rel, source, targets): sorted distinct targets."""
     return edges.groupBy("rel", "source").agg(F.array_sort(F.collect_set("target")).alias("targets"))

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tessera.operators import chunk as C
 from tessera.operators.extract import inside, pair_by_place
 
+# The patterns below are fixed values: the formats of the three document genres. A defect is looked for in so many
+# characters from its marker on, the marker among them.
+DEFECT_MARK, DEFECT_WINDOW = "不良现象：", 120
+
 
 def blocks(docs: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, block, base, text): blocks of documents (doc_id, text) and their offsets; separators are one character."""
@@ -57,7 +61,7 @@ def exception_relations(docs: DataFrame, found: DataFrame) -> DataFrame:
     b = blocks(docs, C.EXCEPTION_ITEM)
     header = region(b, "(责任工序：[^\\n]*)\\n")
     proc, dev = role(found, header, "Process", "proc"), role(found, header, "Device", "dev")
-    defect = role(found, region(b, "(?s)(不良现象：.*?)根因分析").unionByName(region(b.where(~F.contains("text", F.lit("根因分析"))), "(?s)(不良现象：.{0,115})")), "Defect", "defect")
+    defect = role(found, region(b, "(?s)(不良现象：.*?)根因分析").unionByName(region(b.where(~F.contains("text", F.lit("根因分析"))), f"(?s)({DEFECT_MARK}.{{0,{DEFECT_WINDOW - len(DEFECT_MARK)}}})")), "Defect", "defect")
     section = "(?s)根因分析[^\\n]*\\n(.*?)(?:临时遏制措施：|二、|$)"
     causes = role(found, region(b, section), "Cause", "cause", first=False)
     inner = b.select("doc_id", "block", C.captured(F.col("text"), section, F.col("base")).alias("c")).where("c is not null").select("doc_id", "block", F.col("c.start").alias("base"), F.col("c.text").alias("text"))

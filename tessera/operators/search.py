@@ -252,6 +252,18 @@ def link_entities(questions: DataFrame, aliases: DataFrame, names: DataFrame, co
 # -- candidates -----------------------------------------------------------------------------------
 
 
+def fan_out(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, surface, entity_id): every entity that owns the surface of a mention (id, surface), by aliases (surface, entity_id); ambiguous ones give several."""
+    return mentions.select("id", "surface").join(aliases.select("surface", "entity_id").distinct(), "surface").select("id", "surface", "entity_id")
+
+
+def top_with_margin(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., best, margin): the highest value of each key and how far it is above the next (or zero). At most two rows of a key are kept."""
+    two = top_k(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [F.desc(value)], 2)
+    pick = lambda r: F.max(F.when(F.col("rank") == r, F.col(value)))
+    return two.groupBy(*keys).agg(pick(1).alias("best"), (pick(1) - F.coalesce(pick(2), F.lit(0.0))).alias("margin"))
+
+
 def static_rank(ids: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """``ids`` (keys..., id) with ``static_rank``: most mentions first (none counts as one), then by id."""
     counted = ids.join(nodes.select("id", "mention_count"), "id", "left")

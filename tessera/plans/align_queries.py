@@ -6,8 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import align as A
+from tessera.operators import chunk as C
+from tessera.operators import evaluate as E
+from tessera.operators import graph as G
 from tessera.operators import qa as Q
 from tessera.operators import search as S
+from tessera.plans.search_queries import VEC_SQL
+from tessera.plans.text_queries import MD5_SQL
 from tessera.sources import fixture_graph as X
 from tessera.sources.tables import table
 from tessera.streaming import runlog as L
@@ -69,12 +74,12 @@ def product_edges(sp, d):
     return A.resolve_edges(t, m, docs)
 
 
-RESOLVE_SQL = """WITH t AS (SELECT l_orderkey AS doc_id, CAST(min(l_partkey) % 30 AS VARCHAR) AS head, CAST(30 + min(l_suppkey) % 10 AS VARCHAR) AS tail, l_linenumber AS ord, CASE l_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS product FROM lineitem GROUP BY l_orderkey, l_linenumber),
+RESOLVE_SQL = """WITH t AS MATERIALIZED (SELECT l_orderkey AS doc_id, CAST(min(l_partkey) % 30 AS VARCHAR) AS head, CAST(30 + min(l_suppkey) % 10 AS VARCHAR) AS tail, l_linenumber AS ord, CASE l_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS product FROM lineitem GROUP BY l_orderkey, l_linenumber),
 m AS (SELECT CAST(i AS VARCHAR) AS surface, p AS product, i || '/' || coalesce(p, '-') AS entity_id FROM range(36) r(i), (SELECT unnest([NULL, 'A', 'B', 'C']) AS p) WHERE (p IS NULL AND i % 3 = 0) OR p = 'B' OR (p = 'A' AND i % 2 = 0) OR (p = 'C' AND i % 2 = 1)),
-e AS (SELECT doc_id, ord, 'h' AS side, entity_id, row_number() OVER (PARTITION BY doc_id, ord ORDER BY m.product IS NULL, entity_id) AS r, t.product FROM t JOIN m ON m.surface = t.head AND (t.product IS NULL OR m.product IS NULL OR m.product = t.product)
+e AS MATERIALIZED (SELECT doc_id, ord, 'h' AS side, entity_id, row_number() OVER (PARTITION BY doc_id, ord ORDER BY m.product IS NULL, entity_id) AS r, t.product FROM t JOIN m ON m.surface = t.head AND (t.product IS NULL OR m.product IS NULL OR m.product = t.product)
   UNION ALL SELECT doc_id, ord, 't', entity_id, row_number() OVER (PARTITION BY doc_id, ord ORDER BY m.product IS NULL, entity_id), t.product FROM t JOIN m ON m.surface = t.tail AND (t.product IS NULL OR m.product IS NULL OR m.product = t.product)),
-k AS (SELECT * FROM e WHERE product IS NULL OR r = 1),
-x AS (SELECT a.doc_id, a.ord, a.entity_id AS head_id, b.entity_id AS tail_id FROM k a JOIN k b USING (doc_id, ord) WHERE a.side = 'h' AND b.side = 't')"""
+k AS MATERIALIZED (SELECT * FROM e WHERE product IS NULL OR r = 1),
+x AS MATERIALIZED (SELECT a.doc_id, a.ord, a.entity_id AS head_id, b.entity_id AS tail_id FROM k a JOIN k b USING (doc_id, ord) WHERE a.side = 'h' AND b.side = 't')"""
 
 
 def scoped_margin(sp, d):
@@ -177,9 +182,8 @@ def noisy(sp, d):
 def set_sizes(sp, d):
     """Parts ordered urgently and parts ordered otherwise, per status: both, only the one, only the other."""
     rows = table(sp, d, "orders").join(table(sp, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    s = rows.groupBy("o_orderstatus").agg(F.collect_set(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("l_partkey"))).alias("b"))
-    size = lambda c: F.size(c).cast("long")
-    return s.select("o_orderstatus", size(F.array_intersect("a", "b")).alias("tp"), size(F.array_except("a", "b")).alias("fp"), size(F.array_except("b", "a")).alias("fn"))
+    scores = E.set_scores(rows.where("o_orderpriority = '1-URGENT'"), rows.where("o_orderpriority <> '1-URGENT'"), ["l_partkey"], ["o_orderstatus"])
+    return scores.select("o_orderstatus", "tp", "fp", "fn")
 
 
 def shuffled(sp, d):
@@ -187,8 +191,8 @@ def shuffled(sp, d):
 
 
 def slices(sp, d):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_partkey", "l_suppkey", "l_linenumber")
-    return table(sp, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 3").select("l_orderkey", "l_partkey", "l_quantity", "r")
+    order = [F.desc("l_quantity"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")]
+    return S.top_k(table(sp, d, "lineitem"), ["l_orderkey"], order, 3).select("l_orderkey", "l_partkey", "l_quantity", F.col("rank").alias("r"))
 
 
 def manifest(sp, d):
@@ -198,8 +202,8 @@ def manifest(sp, d):
 
 def first_match(sp, d):
     """For each size the first part whose name holds a keyword, else the first of all."""
-    w = Window.partitionBy("p_size").orderBy(F.when(F.contains("p_name", F.lit("ring")), 0).otherwise(1), "p_partkey")
-    return table(sp, d, "part").withColumn("r", F.row_number().over(w)).where("r = 1").select("p_size", "p_partkey", "p_name")
+    order = [F.when(F.contains("p_name", F.lit("ring")), 0).otherwise(1), F.col("p_partkey")]
+    return G.first_rank(table(sp, d, "part"), ["p_size"], order).select("p_size", "p_partkey", "p_name")
 
 
 def batches(sp, d):
@@ -211,7 +215,7 @@ def batches(sp, d):
 
 def scenarios(sp, d):
     """Each region with parts of its own kind, ten by hash: a filtered pairing of two small sides."""
-    p = table(sp, d, "part").select("p_partkey", (F.col("p_partkey") % 5).cast("int").alias("kind")).where("p_size <= 20")
+    p = table(sp, d, "part").select("p_partkey", (F.col("p_partkey") % 5).cast("int").alias("kind"))
     pairs = table(sp, d, "region").join(p, F.col("kind") != F.col("r_regionkey"))
     w = Window.partitionBy("r_regionkey").orderBy(F.md5(F.concat_ws("|", F.col("r_regionkey").cast("string"), F.col("p_partkey").cast("string"))))
     return pairs.withColumn("r", F.row_number().over(w)).where("r <= 10").select("r_regionkey", "p_partkey")
@@ -231,13 +235,15 @@ QUERIES = {
         ALIGN_SQL + ", p AS (SELECT entity_id, min(method) AS method FROM c GROUP BY 1) SELECT count(*) AS entities, round(avg(CASE WHEN method = 'new' THEN 1.0::DOUBLE ELSE 0 END), 4) AS new_rate, round(avg(CASE WHEN entity_id IN (SELECT CAST(entity_id AS VARCHAR) FROM nm WHERE entity_id % 2 = 0) THEN 0.0::DOUBLE ELSE 1 END), 4) AS orphan_rate, count(*) FILTER (method = 'alias') AS n_alias, count(*) FILTER (method = 'suffix') AS n_suffix, count(*) FILTER (method = 'edit') AS n_edit, count(*) FILTER (method = 'new') AS n_new FROM p"),
     "jn8_edge_resolution": (lambda sp, d: product_edges(sp, d)[0], RESOLVE_SQL + " SELECT head_id, 'USES_MATERIAL' AS rel, tail_id, doc_id, ord FROM x WHERE head_id <> tail_id"),
     "jn8_dropped": (lambda sp, d: product_edges(sp, d)[1].select("doc_id", "ord"), RESOLVE_SQL + " SELECT doc_id, ord FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = t.doc_id AND x.ord = t.ord)"),
-    "jn7_scoped_margin": (scoped_margin, None),
+    "jn7_scoped_margin": (scoped_margin, VEC_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s WHERE la = lb),
+b AS (SELECT qid, la, max(id) FILTER (r = 1) AS entity_id, max(sim) FILTER (r = 1) AS sim, max(sim) FILTER (r = 1) - coalesce(max(sim) FILTER (r = 2), 0) AS margin FROM r WHERE r <= 2 GROUP BY qid, la)
+SELECT CAST(qid AS VARCHAR) AS surface, CASE WHEN la % 2 = 0 THEN 'Cause' ELSE 'Countermeasure' END AS label, la AS scope, entity_id, sim, round(margin, 6) AS margin FROM b WHERE CASE WHEN la % 2 = 0 THEN sim >= 0.2 AND margin >= 0.02 ELSE sim >= 0.15 AND margin >= 0 END"""),
     "agg7_manifest": (manifest, "SELECT lang, count(*) AS docs, count(DISTINCT source) AS sources, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang"),
     "win1_latest_run": (lambda sp, d: L.latest_runs(_runs(sp, d)).select("node_id", "id", "level", "user_id"), "SELECT event_type AS node_id, max(event_id) AS id, arg_max(CASE WHEN value > 50 THEN 'high' ELSE 'low' END, event_id) AS level, arg_max(user_id, event_id) AS user_id FROM events GROUP BY 1"),
-    "win2_top_with_margin": (lambda sp, d: table(sp, d, "lineitem").groupBy("l_partkey").agg(F.slice(F.reverse(F.array_sort(F.collect_list("l_quantity"))), 1, 2).alias("q")).select("l_partkey", F.col("q")[0].alias("best"), (F.col("q")[0] - F.coalesce(F.get("q", F.lit(1)), F.lit(0.0))).alias("margin")),
+    "win2_top_with_margin": (lambda sp, d: S.top_with_margin(table(sp, d, "lineitem"), ["l_partkey"], "l_quantity"),
         "SELECT l_partkey, q[1] AS best, q[1] - coalesce(q[2], 0) AS margin FROM (SELECT l_partkey, max(l_quantity, 2) AS q FROM lineitem GROUP BY 1)"),
     "win3_positional_pairs": (lambda sp, d: _pairs(sp, d), "SELECT a.k, p_partkey, s_suppkey FROM (SELECT p_partkey % 25 AS k, p_partkey, row_number() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) AS i FROM part) a JOIN (SELECT s_suppkey % 25 AS k, s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 25 ORDER BY s_suppkey DESC) AS i FROM supplier) b ON a.k = b.k AND a.i = b.i"),
-    "srt1_longest_first": (lambda sp, d: table(sp, d, "part").select("p_name").distinct().select("p_name", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.length("p_name")), "p_name")).alias("place")), "SELECT p_name, CAST(row_number() OVER (ORDER BY length(p_name) DESC, p_name) AS INTEGER) AS place FROM (SELECT DISTINCT p_name FROM part)"),
+    "srt1_longest_first": (lambda sp, d: C.numbered(table(sp, d, "part").select("p_name").distinct(), [F.desc(F.length("p_name")), "p_name"]).select("p_name", (F.col("no") + 1).cast("int").alias("place")), "SELECT p_name, CAST(row_number() OVER (ORDER BY length(p_name) DESC, p_name) AS INTEGER) AS place FROM (SELECT DISTINCT p_name FROM part)"),
     "srt2_top_slices": (slices, "SELECT l_orderkey, l_partkey, l_quantity, CAST(r AS INTEGER) AS r FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_linenumber) AS r FROM lineitem) WHERE r <= 3"),
     "srt3_seeded_shuffle": (shuffled, "SELECT p_partkey, p_name FROM part ORDER BY md5('s|' || p_partkey), p_partkey LIMIT 25"),
     "set1_set_sizes": (set_sizes, "WITH r AS (SELECT o_orderstatus, l_partkey, bool_or(o_orderpriority = '1-URGENT') AS a, bool_or(o_orderpriority <> '1-URGENT') AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT o_orderstatus, count(*) FILTER (a AND b) AS tp, count(*) FILTER (a AND NOT b) AS fp, count(*) FILTER (b AND NOT a) AS fn FROM r GROUP BY 1"),
@@ -253,17 +259,18 @@ SELECT r_regionkey, r_name || '：原因：' || array_to_string(a[1:3], '、') |
     "qa7_evidence": (shown_evidence, ANSWERS_SQL + """, q AS (SELECT DISTINCT qid FROM v) SELECT q.qid, coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) FROM v WHERE v.qid = q.qid AND pos <= 3), '') AS chunks,
 coalesce((SELECT string_agg('t' || id, ',' ORDER BY pos) FROM g WHERE g.qid = q.qid AND pos <= 30), '') AS triples, coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) FROM g WHERE g.qid = q.qid AND pos <= 10), '') AS names FROM q"""),
     "qg1_questions": (questions, QUESTIONS_SQL),
-    "qg1_noise": (noisy, None),
+    "qg1_noise": (noisy, f"""WITH q AS (SELECT CAST(c_custkey AS VARCHAR) AS qid, c_custkey % 2 = 0 AS named FROM customer)
+SELECT noise, count(*) AS n FROM (SELECT CASE WHEN named AND {MD5_SQL.format(k="'a|' || qid")} / 1000.0 < 0.3 THEN 'alias' WHEN {MD5_SQL.format(k="'t|' || qid")} / 1000.0 < 0.08 THEN 'typo' ELSE 'none' END AS noise FROM q) GROUP BY noise"""),
     "str1_log_tail": (lambda sp, d: L.log_after(_runs(sp, d), 100, 200, "click").select("id", "node_id", "level"), "SELECT event_id AS id, event_type AS node_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM events WHERE event_id > 100 AND event_type = 'click' ORDER BY event_id LIMIT 200"),
     "str2_state_changes": (lambda sp, d: L.changes(_runs(sp, d), "user_id", ["id"], "level").select("id", "user_id", "level"), "SELECT id, user_id, level FROM (SELECT event_id AS id, user_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level, lag(CASE WHEN value > 50 THEN 'high' ELSE 'low' END) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> level"),
     "str3_resume": (resumed, "SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'R')"),
     "str4_read_through": (cached, "WITH k AS (SELECT DISTINCT o_custkey % 700 AS cache_key FROM orders), c AS (SELECT c_custkey % 500 AS cache_key, arg_max(c_name, c_custkey) AS response FROM customer GROUP BY 1) SELECT cache_key, coalesce(response, 'new ' || cache_key) AS response FROM k LEFT JOIN c USING (cache_key)"),
     "str5_ledger": (run_ledger, "SELECT event_type AS node_id, CASE WHEN event_id % 5 <> 0 THEN 'running' WHEN value > 50 THEN 'failed' ELSE 'done' END AS status, count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS finished FROM events WHERE event_id % 4 <> 3 GROUP BY 1, 2"),
-    "prj7_optional_filters": (lambda sp, d: table(sp, d, "events").where("event_type = 'click'").orderBy("event_id").limit(50).select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50"),
-    "jn13_trace_join": (lambda sp, d: table(sp, d, "conversations").where("role = 'user'").select("conv_id", "turn").join(table(sp, d, "conversations").where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("int").alias("turn"), F.length("text").cast("long").alias("n")), ["conv_id", "turn"]), "SELECT u.conv_id, u.turn, length(a.text) AS n FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"),
-    "agg9_trace_stats": (lambda sp, d: table(sp, d, "events").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("linked"), F.count_if(F.col("event_type") == "click").alias("n_click")), "SELECT count(*) AS n, count(*) FILTER (value > 50) AS linked, count(*) FILTER (event_type = 'click') AS n_click FROM events"),
-    "gen1_scenarios": (scenarios, "SELECT r_regionkey, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY md5(r_regionkey || '|' || p_partkey)) AS r FROM region JOIN part ON p_partkey % 5 <> r_regionkey WHERE p_size <= 20) WHERE r <= 10"),
-    "gen2_memo": (lambda sp, d: table(sp, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("first_part")), "SELECT p_brand, p_type, min(p_partkey) AS first_part FROM part GROUP BY 1, 2"),
+    "prj7_optional_filters": (lambda sp, d: L.matching(table(sp, d, "events"), ["event_id"], 50, event_type="click", user_id=None).select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 50"),
+    "jn13_trace_join": (lambda sp, d: E.with_answers(table(sp, d, "conversations").where("role = 'user'").select("conv_id", "turn"), table(sp, d, "conversations").where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("int").alias("turn"), F.length("text").cast("long").alias("n")), ["conv_id", "turn"]), "SELECT u.conv_id, u.turn, length(a.text) AS n FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"),
+    "agg9_trace_stats": (lambda sp, d: E.trace_stats(table(sp, d, "events"), F.col("value") > 50, {"n_click": F.col("event_type") == "click"}), "SELECT count(*) AS n, count(*) FILTER (value > 50) AS linked, count(*) FILTER (event_type = 'click') AS n_click FROM events"),
+    "gen1_scenarios": (scenarios, "SELECT r_regionkey, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY md5(r_regionkey || '|' || p_partkey)) AS r FROM region JOIN part ON p_partkey % 5 <> r_regionkey) WHERE r <= 10"),
+    "gen2_memo": (lambda sp, d: G.first_rank(table(sp, d, "part"), ["p_brand", "p_type"], ["p_partkey"]).select("p_brand", "p_type", F.col("p_partkey").alias("first_part")), "SELECT p_brand, p_type, min(p_partkey) AS first_part FROM part GROUP BY 1, 2"),
     "gen3_first_match": (first_match, "SELECT p_size, arg_min(p_partkey, o) AS p_partkey, arg_min(p_name, o) AS p_name FROM (SELECT *, CASE WHEN contains(p_name, 'ring') THEN 0 ELSE 1000000000 END + p_partkey AS o FROM part) GROUP BY p_size"),
     "gen5_batches": (batches, "SELECT p_brand, b AS batch, count(*) AS n FROM (SELECT p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 36 AS BIGINT) AS b FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) GROUP BY 1, 2"),
 }

@@ -68,6 +68,18 @@ n2 AS (SELECT DISTINCT other AS id FROM e2 WHERE other NOT IN (SELECT id FROM n0
 NEAR = ["LOCATED_IN", "BASED_IN", "IN_REGION"]
 
 
+def _walk(rels, seeds, direction):
+    """SQL of a breadth-first walk of two hops: steps w (hop, k: path of the node, ek: path with the edge, source, rel, target)."""
+    ways = {"out": "SELECT source AS n, target AS other, '0' AS way, * FROM e0", "in": "SELECT target AS n, source AS other, '1' AS way, * FROM e0"}
+    steps = " UNION ALL ".join(ways[x] for x in (("out", "in") if direction == "both" else (direction,)))
+    at = ", ".join(f"'{x}'" for x in seeds)
+    return GRAPH_SQL + f""",
+e0 AS (SELECT * FROM edges WHERE rel IN ({", ".join(f"'{x}'" for x in rels)})), st AS ({steps}),
+w1 AS (SELECT CAST(1 AS INTEGER) AS hop, [n] AS k, [n, way || chr(1) || rel || chr(1) || other] AS ek, other, source, rel, target FROM st WHERE n IN ({at})),
+n1 AS (SELECT other AS id, min(ek) AS k FROM w1 WHERE other NOT IN ({at}) GROUP BY other),
+w AS (SELECT * FROM w1 UNION ALL SELECT 2, n1.k, list_append(n1.k, way || chr(1) || rel || chr(1) || other), other, source, rel, target FROM n1 JOIN st ON n = n1.id)"""
+
+
 def upserts(sp, d):
     """Part rows merged by name: labels, aliases and the last brand that is not null."""
     p = table(sp, d, "part")
@@ -101,7 +113,7 @@ def merged_subgraph(sp, d):
 
 
 def templates(sp, d):
-    """The three template questions: causes with countermeasures, and the range side both ways, as sorted lists."""
+    """The first template question over customers: orders with what they contain, as sorted lists."""
     e = X.edges(sp, d, "PLACED", "CONTAINS")
     hop2 = e.where("rel = 'PLACED'").select(F.col("source").alias("root"), F.col("target").alias("c")).join(e.where("rel = 'CONTAINS'").select(F.col("source").alias("c"), F.col("target").alias("m")), "c")
     return hop2.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("c")), ",").alias("causes"), F.array_join(F.array_sort(F.collect_set("m")), ",").alias("countermeasures"))
@@ -215,10 +227,10 @@ SELECT rel, count(*) FILTER (NOT gone) AS written, count(*) FILTER (gone) AS ski
         _two_hop(NEAR, ["N:1", "S:4"]) + "SELECT id, CAST(0 AS BIGINT) AS depth FROM n0 UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2"),
     "gr4_neighbors_edges": (lambda sp, d: G.neighbors(X.edges(sp, d, *NEAR), _seeds(sp, "N:1", "S:4"), direction="both")[1].select("source", "rel", "target", F.col("hop").cast("long").alias("hop")),
         _two_hop(NEAR, ["N:1", "S:4"]) + "SELECT source, rel, target, min(hop) AS hop FROM (SELECT source, rel, target, CAST(1 AS BIGINT) AS hop FROM e1 UNION ALL SELECT source, rel, target, 2 FROM e2) GROUP BY ALL"),
-    "gr4_limited_walk": (limited_walk, None),
+    "gr4_limited_walk": (limited_walk, _walk(NEAR, ["R:0", "R:2"], "in") + " SELECT source, rel, target, hop FROM w ORDER BY hop, ek LIMIT 40"),
     "gr5_outgoing": (lambda sp, d: G.outgoing(X.edges(sp, d), X.nodes(sp, d).where("label = 'orders' and scope = '1-URGENT'").select("id"), ["CONTAINS", "FULFILLED_BY"]),
         GRAPH_SQL + " SELECT n.id, e.rel, e.target FROM edges e JOIN nodes n ON n.id = e.source WHERE e.rel IN ('CONTAINS', 'FULFILLED_BY') AND n.scope = '1-URGENT'"),
-    "gr6_sample_subgraph": (sample, None),
+    "gr6_sample_subgraph": (sample, GRAPH_SQL + ", s AS (SELECT id FROM nodes ORDER BY id LIMIT 10) SELECT source, rel, target, CAST(1 AS INTEGER) AS hop FROM edges JOIN s ON s.id = source ORDER BY source, rel || chr(1) || target LIMIT 30"),
     "gr8_scoped_causal": (scoped, GRAPH_SQL + """,
 c AS (SELECT DISTINCT e.source AS root, e.target AS id FROM edges e JOIN nodes n ON n.id = e.target WHERE e.rel = 'PLACED' AND n.scope IN ('1-URGENT', '2-HIGH')),
 m AS (SELECT DISTINCT c.root, e.target AS id FROM c JOIN edges e ON e.source = c.id AND e.rel = 'CONTAINS'),
@@ -235,7 +247,9 @@ a AS (SELECT DISTINCT target AS root, source AS id FROM edges WHERE rel = 'SUPPL
 b AS (SELECT DISTINCT a.root, e.source AS id FROM a JOIN edges e ON e.target = a.id AND e.rel = 'CONTAINS'),
 c AS (SELECT DISTINCT b.root, e.source AS id FROM b JOIN edges e ON e.target = b.id AND e.rel = 'PLACED')
 SELECT a.root, count(*) AS n_defects, (SELECT count(*) FROM c WHERE c.root = a.root) AS n_far FROM a GROUP BY a.root"""),
-    "gr11_fallback": (fallback, None),
+    "gr11_fallback": (fallback, _walk(["IN_REGION", "BASED_IN", "LOCATED_IN"], ["N:7"], "both") + """, f AS (SELECT * FROM w ORDER BY hop, ek LIMIT 100), m AS (SELECT hop, k FROM f ORDER BY hop DESC, k DESC LIMIT 1),
+r AS (SELECT unnest([source, target]) AS id, w.hop FROM w, m WHERE w.hop < m.hop OR (w.hop = m.hop AND w.k <= m.k))
+SELECT id, CAST(min(CASE WHEN id = 'N:7' THEN 0 ELSE hop END) AS BIGINT) AS depth FROM r GROUP BY id"""),
     "gr13_merge_subgraphs": (merged_subgraph, GRAPH_SQL + " SELECT DISTINCT source, rel, target, CAST(1 AS BIGINT) AS hop FROM edges WHERE rel IN ('LOCATED_IN', 'BASED_IN', 'IN_REGION') AND (source IN ('N:1', 'N:3') OR target IN ('N:1', 'N:3'))"),
     "gr14_intent_lookup": (device_lookup, GRAPH_SQL + " SELECT e.rel, e.target, count(*) AS n FROM edges e JOIN nodes n ON n.id = e.source WHERE e.rel IN ('FULFILLED_BY', 'BASED_IN') AND (n.label = 'supplier' OR n.scope = '1-URGENT') GROUP BY ALL"),
     "gr15_sql_passthrough": (sql_passthrough, GRAPH_SQL + " SELECT e.rel, n.label, count(*) AS n FROM edges e JOIN nodes n ON e.source = n.id GROUP BY ALL"),
@@ -252,6 +266,6 @@ SELECT a.root, count(*) AS n_defects, (SELECT count(*) FROM c WHERE c.root = a.r
     "jn10_ordered_lookup": (ordered_lookup, "SELECT o_orderkey AS pos, 'C:' || c_custkey AS id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey * 2"),
     "jn11_attribute_join": (lambda sp, d: X.edges(sp, d, "PLACED").join(table(sp, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("target"), "o_totalprice"), "target", "left").select("source", "target", "o_totalprice"),
         "SELECT 'C:' || o_custkey AS source, 'O:' || o_orderkey AS target, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice FROM orders"),
-    "jn12_anti_join": (lambda sp, d: table(sp, d, "orders").join(table(sp, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
+    "jn12_anti_join": (lambda sp, d: G.absent(table(sp, d, "orders"), table(sp, d, "lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
     "win4_previous_in_sequence": (lambda sp, d: X.edges(sp, d, "PRECEDES"), f"WITH {EDGES_SQL} SELECT * FROM edges WHERE rel = 'PRECEDES'"),
 }

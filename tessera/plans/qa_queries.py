@@ -267,7 +267,7 @@ def streamed(sp, d):
     rows.write.parquet(source)
     for _ in range(2):
         L.run_to_table(L.tail(sp, source, rows.schema), out, new_folder(sp, "progress"), ["id"]).awaitTermination()
-    return L.log_after(sp.read.schema(rows.schema).parquet(out), 100, None, "click")
+    return L.log_after(sp.read.schema(rows.schema).parquet(out).select(rows.columns), 100, None, "click")
 
 
 def streamed_changes(sp, d):

@@ -238,8 +238,8 @@ sr AS (SELECT hit.*, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY grea
 SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY o, id) AS INTEGER) AS pos FROM (SELECT qid, id, min(rank * 100000 + sr) AS o FROM sr GROUP BY 1, 2)"""),
     "idx12_rank_flattening": (flattened, FLAT_SQL),
     "jn3_substring_join": (lambda sp, d: _gold(sp, d), "WITH " + GOLD_SQL + " SELECT qid, id FROM gold"),
-    "jn2_alias_fan_out": (lambda sp, d: table(sp, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("surface")).join(table(sp, d, "part").where("p_size <= 3").select(F.col("p_name").alias("surface"), F.col("p_partkey").alias("entity_id")), "surface").select("id", "surface", "entity_id"),
-        "SELECT a.p_partkey AS id, a.p_name AS surface, b.p_partkey AS entity_id FROM part a JOIN part b ON a.p_name = b.p_name WHERE a.p_size > 40 AND b.p_size <= 3"),
+    "jn2_alias_fan_out": (lambda sp, d: S.fan_out(table(sp, d, "part").select("p_name").distinct().select(F.col("p_name").alias("id"), F.col("p_name").alias("surface")), table(sp, d, "part").select(F.col("p_name").alias("surface"), F.col("p_partkey").alias("entity_id"))),
+        "SELECT a.p_name AS id, a.p_name AS surface, b.p_partkey AS entity_id FROM (SELECT DISTINCT p_name FROM part) a JOIN part b ON a.p_name = b.p_name"),
     "idx7_alias_links": (in_text, "WITH " + ALIAS_SQL + " SELECT id, entity_id, label, surface FROM (SELECT d.doc_id AS id, al.*, row_number() OVER (PARTITION BY d.doc_id, entity_id ORDER BY length(surface) DESC, surface) AS r FROM documents d JOIN al ON contains(d.text, al.surface)) WHERE r = 1"),
     "jn6_similarity_join": (same_label, VEC_SQL + " SELECT qid, id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s WHERE la = lb) WHERE r = 1"),
     "jn7_margin_join": (margin, VEC_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s WHERE la = lb),

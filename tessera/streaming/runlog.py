@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sources.tables import append_new
+
 LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("node_id", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("level", T.StringType()), T.StructField("message", T.StringType())])
 
 
@@ -28,6 +30,14 @@ def log_after(logs: DataFrame, cursor: int, limit: int | None = 200, node: str |
     return out if limit is None else out.limit(limit)
 
 
+def matching(df: DataFrame, order: list[str], limit: int | None = None, **given) -> DataFrame:
+    """Rows that equal every filter that is given (None: not asked for), filtered before the limit, in a total order."""
+    for c, v in given.items():
+        if v is not None:
+            df = df.where(F.col(c) == v)
+    return df.orderBy(*order) if limit is None else df.orderBy(*order).limit(limit)
+
+
 def changes(states: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Rows whose value differs from the one before of the same key; the first row of a key counts as a change."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -69,31 +79,22 @@ def tail(spark: SparkSession, path: str, schema: T.StructType = LOG, files_per_b
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """Append a stream to a Parquet folder, once for each key: a row whose key is stored is skipped, so a replayed batch adds nothing."""
-    schema = stream.schema
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.schema(schema).parquet(path).select(keys).distinct(), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def changes_stream(stream: DataFrame, key: str, order: str, value: str, checkpoint: str, path: str) -> StreamingQuery:
-    """State changes of a stream: each batch is compared with the last value of every key, kept beside the output."""
+    """State changes of a stream: each batch is compared with the last value of every key, kept beside the output.
+
+    Two folders of state take turns, so a batch that is run again finds what it began with.
+    """
     state = f"{path}/_state"
 
     def write(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(key, order, value).withColumn("_old", F.lit(False))
-        known = spark.read.parquet(f"{state}/{no - 1}").withColumn("_old", F.lit(True)) if no else rows.limit(0)
+        known = spark.read.parquet(f"{state}/{(no - 1) % 2}").withColumn("_old", F.lit(True)) if no else rows.limit(0)
         both = known.select(key, order, value, "_old").unionByName(rows)
         changes(both, key, [order], value).where("not _old").drop("_old").write.mode("overwrite").parquet(f"{path}/batch={no}")
-        latest_runs(both.drop("_old"), key, order).select(key, order, value).write.mode("overwrite").parquet(f"{state}/{no}")
+        latest_runs(both.drop("_old"), key, order).select(key, order, value).write.mode("overwrite").parquet(f"{state}/{no % 2}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
