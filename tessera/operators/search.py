@@ -18,34 +18,29 @@ from tessera.operators import tiled
 # -- BM25 -----------------------------------------------------------------------------------------
 
 
+#: Question tokens that are broadcast, at most.
+FEW_TOKENS = 200_000
 #: Short surfaces that are compared with every text, at most; more of them are joined.
 LOOP_SURFACES = 500
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, although lambdas inside use it for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _tokens(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return chunks.select(F.col(id_col).alias("id"), TX.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
 
 
-def term_counts(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dl, terms array<struct<tok, tf>>): the tokens of every chunk counted where the chunk lies, without a shuffle.
+def postings(chunks: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """(tok, id, tf, dl): one row for each token of each chunk, with the chunk's length in tokens; with ``only`` (tok) those tokens alone, before anything is counted."""
+    rows = _tokens(chunks, id_col, text_col).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
+    if only is not None:
+        rows = rows.join(only, "tok", "left_semi")
+    return rows.groupBy("tok", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
-    Equal tokens of a sorted list are neighbours, so a token's count is the distance between two changes.
-    """
-
-    def counted(s: Column) -> Column:
-        changes = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
-        terms = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("tok"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("long").alias("tf")))
-        none = F.array().cast("array<struct<tok: string, tf: bigint>>")
-        return F.struct(F.size(s).alias("dl"), F.when(F.size(s) > 0, _bound(changes, terms)).otherwise(none).alias("terms"))
-
-    found = chunks.select(F.col(id_col).alias("id"), _bound(F.array_sort(TX.tokens(F.coalesce(F.col(text_col), F.lit("")))), counted).alias("c"))
-    return found.select("id", "c.dl", "c.terms")
 
-
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(tok, id, tf, dl): one row for each token of each chunk, with the chunk's length in tokens."""
-    return term_counts(chunks, id_col, text_col).select("id", "dl", F.explode("terms").alias("t")).select("t.tok", "id", "t.tf", "dl")
+def _frequencies(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(terms (tok, df), totals (n, avgdl)) in one pass: every chunk gives its distinct tokens once, and itself as a null token."""
+    once = _tokens(chunks, id_col, text_col).select(F.size("toks").alias("dl"), F.explode(F.array_append(F.array_distinct("toks"), F.lit(None).cast("string"))).alias("tok"))
+    counts = once.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl"))
+    return counts.where("tok is not null").select("tok", "df"), counts.where("tok is null").select(F.col("df").alias("n"), "avgdl")
 
 
 def term_weights(df: DataFrame, n_chunks: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -58,12 +53,10 @@ def term_weights(df: DataFrame, n_chunks: DataFrame, epsilon: float = 0.25) -> D
     return raw.join(F.broadcast(mean), how="cross").select("tok", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def build_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
-    """The BM25 index as tables: postings (tok, id, tf, dl), terms (tok, df, idf) and totals (n, avgdl; one row)."""
-    counted = term_counts(chunks, id_col, text_col)
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    terms = counted.select(F.explode("terms.tok").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    return {"postings": counted.select("id", "dl", F.explode("terms").alias("t")).select("t.tok", "id", "t.tf", "dl"), "terms": term_weights(terms, totals), "totals": totals}
+def build_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The BM25 index as tables: postings (tok, id, tf, dl; of the tokens ``only``, if given), terms (tok, df, idf) and totals (n, avgdl; one row)."""
+    terms, totals = _frequencies(chunks, id_col, text_col)
+    return {"postings": postings(chunks, id_col, text_col, only), "terms": term_weights(terms, totals), "totals": totals}
 
 
 def save_index(index: dict[str, DataFrame], path: str, parts: int = 64) -> None:
@@ -79,17 +72,28 @@ def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("postin
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
+def _asked(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(question tokens (qid, tok, qtf), distinct tokens (tok)); the latter are broadcast if they are counted to be few."""
+    asked = questions.select("qid", F.explode(TX.tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
+    toks = asked.select("tok").distinct()
+    return asked, F.broadcast(toks) if toks.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS else toks
+
+
 def bm25_search(index: dict[str, DataFrame], questions: DataFrame, k: int | None = 3, k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best chunks of every question (qid, query); scores to 6 places, ties by id.
 
     Postings meet the question tokens before anything is shuffled or summed. Chunks without any question token are not
     listed. Question tokens that more than ``most_frequent`` of the chunks hold are left out, if it is given.
     """
-    asked = questions.select("qid", F.explode(TX.tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
+    asked, toks = _asked(questions)
+    return _scored(index, asked, toks, k, k1, b, most_frequent)
+
+
+def _scored(index: dict[str, DataFrame], asked: DataFrame, toks: DataFrame, k: int | None, k1: float, b: float, most_frequent: float | None) -> DataFrame:
     weights, totals = index["terms"], F.broadcast(index["totals"])
     if most_frequent is not None:
         weights = weights.join(totals.select("n"), how="cross").where(F.col("df") <= F.col("n") * most_frequent)
-    weights = weights.select("tok", "idf").join(asked.select("tok").distinct(), "tok", "left_semi")
+    weights = weights.select("tok", "idf").join(toks, "tok", "left_semi")
     hits = index["postings"].join(weights, "tok").join(totals.select("avgdl"), how="cross")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.select("tok", "id", part.alias("part")).join(asked, "tok").groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
@@ -97,8 +101,9 @@ def bm25_search(index: dict[str, DataFrame], questions: DataFrame, k: int | None
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 3, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None) -> DataFrame:
-    """``bm25_search`` over the index of ``chunks``, built on the way."""
-    return bm25_search(build_index(chunks, id_col, text_col), questions, k, k1, b, most_frequent)
+    """``bm25_search`` over ``chunks`` without a saved index: only postings of question tokens are counted."""
+    asked, toks = _asked(questions)
+    return _scored(build_index(chunks, id_col, text_col, toks), asked, toks, k, k1, b, most_frequent)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
