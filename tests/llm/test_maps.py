@@ -129,6 +129,34 @@ def test_gradients_of_the_network():
         assert abs((up - down) / (2 * e) - grads[name][at]) < 0.02 * max(1, abs(grads[name][at]))
 
 
+def test_fast_positions_equal_the_trained_network():
+    net = langid.ByteBiGru(["a", "b", "c"], hidden=5, window=9, seed=2)
+    x = np.random.default_rng(1).integers(0, 256, (9, 33)).astype(np.uint8)
+    (hf, _), (hb, _) = net._run(x, "f"), net._run(x, "b")
+    assert np.abs(net.positions(x) - net._softmax(hf @ net.p["Wf"] + hb @ net.p["Wb"] + net.p["bias"])).max() < 1e-5
+    texts = [b"abc" * 7, b"", b"z", b"\0a\0"]
+    for text, p in zip(texts, net.pooled(texts), strict=True):
+        cut = [text[i : i + 9].ljust(9, b"\0") for i in range(0, len(text), 9)]
+        each = [q for w in cut for q, byte in zip(net.positions(np.frombuffer(w, np.uint8)[:, None])[:, 0], w, strict=True) if byte]
+        assert np.abs(p - (np.mean(each, 0) if each else 0)).max() < 1e-5
+
+
+def test_language_ties_and_repeated_rows(spark):
+    net = langid.ByteBiGru(["aa", "bb"], hidden=2, window=4)
+    for k in net.p:
+        net.p[k][:] = 0  # both languages are alike everywhere
+    df = docs(spark, ["abc def"] * 3 + ["1"]).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = langid.predict(df, net).collect()
+    assert sorted((r.lang_pred, round(r.score, 6)) for r in rows) == [("aa", 0.5)] * 3 + [("und", 0.0)]
+
+
+def test_repeated_and_null_ids_are_encoded_and_counted(spark, tok):
+    df = docs(spark, ["same text"] * 3 + [None]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("n_tokens", F.lit("clash")).withColumn("s.x", F.lit(1))
+    n = len(tok.encode("same text", add_special_tokens=False).ids)
+    assert sorted(r.n_tokens for r in bpe.round_trip(df, bpe.default_file()).collect()) == [0, n, n, n]
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(df, bpe.default_file()).collect()) == [0, n, n, n]
+
+
 def base_spans(text):
     """The base kinds, straight from their patterns."""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
