@@ -68,10 +68,26 @@ def dictionary(sp, d):
     return X.gazetteer(_gaz_entities(sp, d))
 
 
-GAZETTEER_SQL = r"""WITH g AS (SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 2 = 0 THEN 'Defect' ELSE 'Material' END AS label, list_filter(string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 12) AS s, item_id AS ord FROM benchmark),
+#: The dictionary of the passages as z.
+GAZETTEER_SQL = r"""g AS (SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 2 = 0 THEN 'Defect' ELSE 'Material' END AS label, list_filter(string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 12) AS s, item_id AS ord FROM benchmark),
 a AS (SELECT s[1] AS surface, id, label, ord, 0 AS kind, -ord AS o FROM g WHERE len(s) > 0
-  UNION ALL SELECT surface, id, label, ord, 1, ord FROM (SELECT id, label, ord, unnest(s[2:]) AS surface FROM g WHERE len(s) > 0) WHERE """ + MD5_SQL.format(k="id || '|' || surface") + """ / 1000.0 < CASE label WHEN 'Defect' THEN 0.98 ELSE 0.85 END)
-SELECT surface, id, label, ord FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY kind, o, id) AS r FROM a) WHERE r = 1"""
+  UNION ALL SELECT surface, id, label, ord, 1, ord FROM (SELECT id, label, ord, unnest(s[2:]) AS surface FROM g WHERE len(s) > 0) WHERE """ + MD5_SQL.format(k="id || '|' || surface") + """ / 1000.0 < CASE label WHEN 'Defect' THEN 0.98 ELSE 0.85 END),
+z AS (SELECT surface, id, label, ord FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY kind, o, id) AS r FROM a) WHERE r = 1)"""
+
+
+#: The greedy choice, one candidate of each document at a time; no surface here has a character that is wrongly written.
+MENTIONS_SQL = "WITH RECURSIVE " + GAZETTEER_SQL + """,
+c AS (SELECT doc_id, surface, id, label, ord, i - 1 AS s, i - 1 + length(surface) AS e FROM (SELECT d.doc_id, z.*, unnest(list_filter(range(1, length(d.text) - length(z.surface) + 2), lambda i: substring(d.text, i, length(z.surface)) = z.surface)) AS i FROM documents d JOIN z ON contains(d.text, z.surface))),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -length(surface), ord, surface, s) AS k FROM c),
+w AS (SELECT doc_id, k, [{'s': s, 'e': e}] AS acc, true AS ok FROM o WHERE k = 1
+  UNION ALL SELECT doc_id, k, CASE WHEN free THEN list_append(acc, {'s': s, 'e': e}) ELSE acc END, free FROM (SELECT o.doc_id, o.k, o.s, o.e, w.acc, len(list_filter(w.acc, lambda x: x.s < o.e AND o.s < x.e)) = 0 AS free FROM w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1)),
+m AS (SELECT o.* FROM o JOIN w ON w.doc_id = o.doc_id AND w.k = o.k WHERE ok)"""
+PARAPHRASES_SQL = MENTIONS_SQL + """,
+f AS (SELECT DISTINCT string_split(surface, ' ')[1] AS prefix FROM m WHERE length(string_split(surface, ' ')[1]) > 2)
+SELECT doc_id, substring(surface, max(length(prefix)) + 1) AS surface, id FROM m JOIN f ON starts_with(surface, prefix) AND length(surface) > length(prefix)
+WHERE """ + MD5_SQL.format(k="doc_id || '|' || s || '|' || surface") + """ / 1000.0 < 0.5 GROUP BY doc_id, s, surface, id"""
+INSIDE_SQL = MENTIONS_SQL + """
+SELECT doc_id, CAST(region AS INTEGER) AS region, id, CAST(s AS BIGINT) AS start FROM (SELECT *, s // 1000 AS region, row_number() OVER (PARTITION BY doc_id, s // 1000 ORDER BY s, e, surface) AS r FROM m WHERE e <= (s // 1000) * 1000 + 999) WHERE r = 1"""
 
 
 def found_mentions(sp, d):
@@ -175,16 +191,18 @@ SELECT doc_id, count(*) AS n, max(length(t)) AS longest FROM c WHERE t <> '' GRO
     "chk3_chunk_ids": (line_chunks, r"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), l AS (SELECT doc_id, CASE WHEN len(p) = 1 THEN [trim(p[1])] ELSE list_concat([trim(trim(p[1]) || chr(10) || trim(p[2]), ' ' || chr(10))], list_transform(p[3:], lambda x: trim(x))) END AS l FROM p),
 c AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM l)
 SELECT 'C' || CASE WHEN length(k) < 5 THEN lpad(k, 5, '0') ELSE k END AS chunk_id, doc_id, n FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id, pos) - 1 AS VARCHAR) AS k, doc_id, length(t) AS n FROM c WHERE t <> '')"""),
-    "chk4_packing": (segments, None),
+    "chk4_packing": (segments, """WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, l, 1 AS i, 0 AS seg, l[1] AS size FROM l UNION ALL SELECT doc_id, l, i + 1, CASE WHEN size + l[i + 1] <= 600 THEN seg ELSE seg + 1 END, CASE WHEN size + l[i + 1] <= 600 THEN size + l[i + 1] ELSE l[i + 1] END FROM p WHERE i < len(l))
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, count(*) AS items, CAST(sum(l[i]) AS BIGINT) AS size FROM p GROUP BY doc_id, seg"""),
     "chk5_capture": (captured_rows, r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(instr(html, '<title>') + 6 AS BIGINT) AS lo, CAST(instr(html, '<title>') + 6 + length(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS BIGINT) AS hi FROM pages"),
-    "ext1_gazetteer": (dictionary, GAZETTEER_SQL),
-    "ext2_longest_match": (found_mentions, None),
-    "ext3_paraphrases": (paraphrased, None),
-    "ext4_containment": (contained, None),
+    "ext1_gazetteer": (dictionary, "WITH " + GAZETTEER_SQL + " SELECT * FROM z"),
+    "ext2_longest_match": (found_mentions, MENTIONS_SQL + ' SELECT doc_id, surface, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", id, label FROM m'),
+    "ext3_paraphrases": (paraphrased, PARAPHRASES_SQL),
+    "ext4_containment": (contained, INSIDE_SQL),
     "ext5_exception_rules": (report_relations, REPORTS_SQL),
     "ext8_rule_coverage": (kept, f"WITH {TRIPLES_SQL} SELECT rel, count(*) AS n, min(doc_id) AS first_doc FROM t WHERE head <> tail AND {MD5_SQL.format(k="doc_id || '|' || head || '|' || rel || '|' || tail")} / 1000.0 < CASE rel WHEN 'USES_MATERIAL' THEN 0.92 ELSE 0.85 END GROUP BY rel"),
     "ext9_triple_dedup": (lambda sp, d: X.dedup_triples(_triples(sp, d).withColumn("ord", F.struct("ord", "head"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {TRIPLES_SQL} SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, head, rel, tail FROM t) GROUP BY doc_id"),
-    "ext10_provider": (extracted, None),
+    "ext10_provider": (extracted, r"SELECT 'Defect' AS label, count(DISTINCT s) AS n FROM (SELECT list_max(list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), lambda w: {'n': length(w), 'w': w})).w AS s FROM conversations WHERE text IS NOT NULL) WHERE s IS NOT NULL"),
     "ext11_frozen_sample": (lambda sp, d: X.frozen_sample(table(sp, d, "customer").select("c_custkey", "c_name"), F.col("c_name"), 150, "7|"), "SELECT c_custkey, c_name FROM customer ORDER BY md5('7|' || c_name), c_name LIMIT 150"),
     "prj3_row_filter": (lambda sp, d: X.valid_rows(table(sp, d, "benchmark").select(F.col("item_id").alias("seg_id"), F.substring("text", 5, 12).alias("surface"), F.when(F.col("item_id") % 3 == 0, "Odd").otherwise("Defect").alias("label")), table(sp, d, "benchmark").select(F.col("item_id").alias("seg_id"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.lit("other")).alias("text")), ["Defect"]),
         "SELECT item_id AS seg_id, substring(text, 5, 12) AS surface, 'Defect' AS label FROM benchmark WHERE item_id % 2 = 0 AND item_id % 3 <> 0 AND trim(substring(text, 5, 12)) <> ''"),
