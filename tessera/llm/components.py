@@ -23,9 +23,8 @@ def connect(edges: DataFrame) -> DataFrame:
 
     Each turn hooks every root that has a smaller neighbour to the smallest one, flattens the
     chains of hooks, and keeps the edges between different roots only. A root stays only if it is smaller than all
-    its neighbours, so of every two joined roots one goes in each turn. A star whose centre is its smallest id ends
-    after one turn, one whose centre is the largest after two; in general the roots left are an independent set of
-    the graph, and there are no more turns than roots on the longest path whose least id is at its end.
+    its neighbours, so of every two joined roots the larger one goes in each turn, and the turns end; no better bound is
+    claimed for all graphs. A star whose centre is its smallest id takes one turn, one whose centre is the largest two.
     """
     labels = None
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
