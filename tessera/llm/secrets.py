@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import sha256
 from math import log10
 
 import pyarrow as pa
