@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, conversations, decontaminate, html_text, langid, licenses, neardup, packing, secrets, substrings, token_counts, topk
+from tessera.llm import alignment, bpe, conversations, decontaminate, html_text, langid, licenses, neardup, packing, secrets, substrings, token_counts, topk
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.query,
     "op11_packing": packing.query,
     "op12_conversations": conversations.query,
+    "op13_alignment": alignment.query,
 }
 
 ORACLES: dict[str, str] = {
