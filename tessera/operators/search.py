@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +22,26 @@ from tessera.operators import tiled
 FEW_TOKENS = 200_000
 #: Short surfaces that are compared with every text, at most; more of them are joined.
 LOOP_SURFACES = 500
+#: (texts, id column, text column) to (id, toks): how texts are cut into tokens.
+Cut = Callable[[DataFrame, str, str], DataFrame]
 
 
-def _tokens(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return chunks.select(F.col(id_col).alias("id"), TX.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
+def letter_runs(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, toks): the runs of letters and digits of each text, the way to cut it unless another is given."""
+    return texts.select(F.col(id_col).alias("id"), TX.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+def postings(chunks: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None, cut: Cut = letter_runs) -> DataFrame:
     """(tok, id, tf, dl): one row for each token of each chunk, with the chunk's length in tokens; with ``only`` (tok) those tokens alone, before anything is counted."""
-    rows = _tokens(chunks, id_col, text_col).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
+    rows = cut(chunks, id_col, text_col).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
     if only is not None:
         rows = rows.join(only, "tok", "left_semi")
     return rows.groupBy("tok", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def _frequencies(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _frequencies(chunks: DataFrame, id_col: str, text_col: str, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """(terms (tok, df), totals (n, avgdl)) in one pass: every chunk gives its distinct tokens once, and itself as a null token."""
-    once = _tokens(chunks, id_col, text_col).select(F.size("toks").alias("dl"), F.explode(F.array_append(F.array_distinct("toks"), F.lit(None).cast("string"))).alias("tok"))
+    once = cut(chunks, id_col, text_col).select(F.size("toks").alias("dl"), F.explode(F.array_append(F.array_distinct("toks"), F.lit(None).cast("string"))).alias("tok"))
     counts = once.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("avgdl"))
     return counts.where("tok is not null").select("tok", "df"), counts.where("tok is null").select(F.col("df").alias("n"), "avgdl")
 
@@ -53,10 +56,13 @@ def term_weights(df: DataFrame, n_chunks: DataFrame, epsilon: float = 0.25) -> D
     return raw.join(F.broadcast(mean), how="cross").select("tok", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def build_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The BM25 index as tables: postings (tok, id, tf, dl; of the tokens ``only``, if given), terms (tok, df, idf) and totals (n, avgdl; one row)."""
-    terms, totals = _frequencies(chunks, id_col, text_col)
-    return {"postings": postings(chunks, id_col, text_col, only), "terms": term_weights(terms, totals), "totals": totals}
+def build_index(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None, cut: Cut = letter_runs) -> dict[str, DataFrame]:
+    """The BM25 index as tables: postings (tok, id, tf, dl; of the tokens ``only``, if given), terms (tok, df, idf) and totals (n, avgdl; one row).
+
+    ``cut`` gives the tokens of texts: runs of letters and digits, or the words of ``segment.segment``.
+    """
+    terms, totals = _frequencies(chunks, id_col, text_col, cut)
+    return {"postings": postings(chunks, id_col, text_col, only, cut), "terms": term_weights(terms, totals), "totals": totals}
 
 
 def save_index(index: dict[str, DataFrame], path: str, parts: int = 64) -> None:
@@ -72,20 +78,20 @@ def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("postin
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
-def _asked(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _asked(questions: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame]:
     """(question tokens (qid, tok, qtf), distinct tokens (tok)); the latter are broadcast if they are counted to be few."""
-    asked = questions.select("qid", F.explode(TX.tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = cut(questions, "qid", "query").select(F.col("id").alias("qid"), F.explode("toks").alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
     toks = asked.select("tok").distinct()
     return asked, F.broadcast(toks) if toks.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS else toks
 
 
-def bm25_search(index: dict[str, DataFrame], questions: DataFrame, k: int | None = 3, k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None) -> DataFrame:
+def bm25_search(index: dict[str, DataFrame], questions: DataFrame, k: int | None = 3, k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None, cut: Cut = letter_runs) -> DataFrame:
     """(qid, id, score, rank): the k best chunks of every question (qid, query); scores to 6 places, ties by id.
 
     Postings meet the question tokens before anything is shuffled or summed. Chunks without any question token are not
     listed. Question tokens that more than ``most_frequent`` of the chunks hold are left out, if it is given.
     """
-    asked, toks = _asked(questions)
+    asked, toks = _asked(questions, cut)
     return _scored(index, asked, toks, k, k1, b, most_frequent)
 
 
@@ -100,10 +106,10 @@ def _scored(index: dict[str, DataFrame], asked: DataFrame, toks: DataFrame, k: i
     return top_k(scored, ["qid"], [F.desc("score"), F.col("id")], k)
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 3, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 3, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, most_frequent: float | None = None, cut: Cut = letter_runs) -> DataFrame:
     """``bm25_search`` over ``chunks`` without a saved index: only postings of question tokens are counted."""
-    asked, toks = _asked(questions)
-    return _scored(build_index(chunks, id_col, text_col, toks), asked, toks, k, k1, b, most_frequent)
+    asked, toks = _asked(questions, cut)
+    return _scored(build_index(chunks, id_col, text_col, toks, cut), asked, toks, k, k1, b, most_frequent)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as TX
 from tessera.operators import evaluate as E
 from tessera.operators import search as S
+from tessera.operators import segment as G
 from tessera.sources.tables import table
 
 
@@ -38,6 +39,33 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 GOLD_SQL = "gold AS (SELECT item_id AS qid, doc_id AS id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
 
 
+def _unspaced(sp, d):
+    """The questions without their blanks, as a script without spaces has them, cut into words by the words of all documents."""
+    words = G.run_counts(_docs(sp, d), "text", r"\p{L}")
+    bare = table(sp, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", "").alias("text"))
+    return G.segment(bare, G.word_costs(words), "item_id", "text", script=r"\p{L}").select(F.col("id").alias("qid"), "toks")
+
+
+def unspaced_bm25(sp, d):
+    """The three best documents for questions that had no spaces."""
+    return S.bm25(_docs(sp, d), _unspaced(sp, d).select("qid", F.array_join("toks", " ").alias("query")), k=3)
+
+
+#: Word costs, the lattice of each run (its words at each place), and the least path from the end backwards; of equal paths that of the longest first word.
+SEGMENT_SQL = r"""
+sd AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY word),
+sa AS (SELECT ln(CAST(sum(n) AS DOUBLE)) AS a, max(length(word)) AS m FROM sd),
+sk AS (SELECT word, CAST(round(1000000 * (a - ln(CAST(n AS DOUBLE)))) AS BIGINT) AS cost FROM sd, sa),
+sp AS (SELECT item_id AS qid, unnest(ps) AS run, generate_subscripts(ps, 1) AS pos FROM (SELECT item_id, regexp_extract_all(regexp_replace(lower(text), '\s+', '', 'g'), '\p{L}+|\p{N}+') AS ps FROM benchmark)),
+sr AS (SELECT DISTINCT run FROM sp WHERE regexp_matches(run, '^\p{L}')),
+so AS (SELECT run, i, unnest(range(1, least(m, length(run) - i + 1) + 1)) AS size FROM (SELECT run, m, unnest(range(1, length(run) + 1)) AS i FROM sr, sa)),
+se AS (SELECT run, i, list({'l': size, 'c': coalesce(cost, CAST(round(1000000 * a) AS BIGINT))}) AS es FROM so LEFT JOIN sk ON word = substring(run, i, size), sa WHERE cost IS NOT NULL OR size = 1 GROUP BY run, i),
+sb AS (SELECT run, length(run) + 1 AS i, [0::BIGINT] AS cs, [''] AS ws FROM sr
+  UNION ALL SELECT run, i, list_prepend(best // 10000, cs), list_prepend(substring(run, i, 9999 - best % 10000) || ' ' || ws[9999 - best % 10000], ws)
+  FROM (SELECT sb.run, se.i, cs, ws, list_min(list_transform(es, lambda x: (x.c + cs[x.l]) * 10000 + 9999 - x.l)) AS best FROM sb JOIN se ON se.run = sb.run AND se.i = sb.i - 1)),
+sw AS (SELECT qid, string_agg(coalesce(trim(ws[1]), sp.run), ' ' ORDER BY pos) AS words FROM sp LEFT JOIN sb ON sb.run = sp.run AND sb.i = 1 GROUP BY qid)"""
+
+
 def _channel(sp, d, name):
     """The ten best documents of every question: by BM25, or by BM25 without the words that over a twentieth of all documents have."""
     found = S.bm25(_docs(sp, d), _questions(sp, d), k=10, most_frequent=0.05 if name == "bm25_rare" else None)
@@ -224,6 +252,8 @@ def index_stats(sp, d):
 QUERIES = {
     "idx1_postings": (lambda sp, d: S.postings(_docs(sp, d), "doc_id", "text").groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), r"SELECT tok, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT tok, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY 1, 2) GROUP BY tok"),
     "idx2_bm25": (lambda sp, d: S.bm25(_docs(sp, d), _questions(sp, d), k=3), "WITH " + BM25_SQL + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
+    "txt9_segmented_questions": (lambda sp, d: _unspaced(sp, d).select("qid", F.array_join("toks", " ").alias("words")), "WITH RECURSIVE " + SEGMENT_SQL.strip() + " SELECT qid, words FROM sw"),
+    "idx2_segmented_bm25": (unspaced_bm25, "WITH RECURSIVE " + SEGMENT_SQL.strip() + "," + BM25_SQL.replace("item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS tok FROM benchmark", "qid AS item_id, unnest(string_split(words, ' ')) AS tok FROM sw") + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
     "idx3_hash_embedding": (embedded, EMBED_SQL + " SELECT id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY id)), 6) AS weight FROM c"),
     "idx5_vector_top_k": (top_vectors, VEC_SQL + " SELECT qid, id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r <= 3"),
     "idx6_name_index": (similar_names, EMBED_SQL + """, u AS (SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM c),
