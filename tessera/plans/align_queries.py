@@ -11,6 +11,7 @@ from tessera.operators import evaluate as E
 from tessera.operators import graph as G
 from tessera.operators import qa as Q
 from tessera.operators import search as S
+from tessera.operators.draws import draws_without_repeats
 from tessera.plans.search_queries import VEC_SQL
 from tessera.plans.text_queries import MD5_SQL
 from tessera.sources import fixture_graph as X
@@ -221,6 +222,20 @@ def scenarios(sp, d):
     return pairs.withColumn("r", F.row_number().over(w)).where("r <= 10").select("r_regionkey", "p_partkey")
 
 
+def drawn(sp, d):
+    """Four parts of a size for each order: the orders are dealt to the sizes in turn, and a size gives no part again before all are used, or fewer than three are left."""
+    k = F.col("o_orderkey")
+    asks = table(sp, d, "orders").select((k % 50 + 1).cast("int").alias("key"), F.floor(k / 50).cast("long").alias("no"))
+    items = table(sp, d, "part").select(F.col("p_size").alias("key"), F.col("p_partkey").alias("item"))
+    return draws_without_repeats(asks, items, "42", 4, 3).select("key", "no", "place", "item")
+
+
+DRAWN_SQL = """WITH h AS (SELECT p_size AS key, count(*) AS n, greatest(count(*) // 4 + CASE WHEN count(*) % 4 >= 3 THEN 1 ELSE 0 END, 1) AS rounds FROM part GROUP BY 1),
+a AS (SELECT DISTINCT key, no, n, no // rounds AS turn, no % rounds * 4 AS f FROM (SELECT CAST(o_orderkey % 50 + 1 AS INTEGER) AS key, o_orderkey // 50 AS no FROM orders) JOIN h USING (key)),
+p AS (SELECT key, turn, p_partkey AS item, row_number() OVER (PARTITION BY key, turn ORDER BY md5('42|' || key || '|' || turn || '|' || p_partkey), p_partkey) - 1 AS place FROM (SELECT DISTINCT key, turn FROM a) JOIN part ON p_size = key)
+SELECT key, no, place, item FROM a JOIN p USING (key, turn) WHERE place >= f AND place < least(f + 4, n)"""
+
+
 QUERIES = {
     "aln1_surface_groups": (lambda sp, d: _grouped(sp, d).select("surface", F.size("raws").cast("long").alias("raws"), "n"), "WITH " + SURFACES_SQL + " SELECT replace(surface, ' ', '') AS surface, count(DISTINCT surface) AS raws, count(*) AS n FROM m GROUP BY 1"),
     "jn1_alias_join": (lambda sp, d: _stages(sp, d)[1][0][1].select("surface", "entity_id", "label_mismatch"), ALIGN_SQL + " SELECT surface, entity_id, false AS label_mismatch FROM al"),
@@ -272,6 +287,7 @@ SELECT noise, count(*) AS n FROM (SELECT CASE WHEN named AND {MD5_SQL.format(k="
     "gen1_scenarios": (scenarios, "SELECT r_regionkey, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY md5(r_regionkey || '|' || p_partkey)) AS r FROM region JOIN part ON p_partkey % 5 <> r_regionkey) WHERE r <= 10"),
     "gen2_memo": (lambda sp, d: G.first_rank(table(sp, d, "part"), ["p_brand", "p_type"], ["p_partkey"]).select("p_brand", "p_type", F.col("p_partkey").alias("first_part")), "SELECT p_brand, p_type, min(p_partkey) AS first_part FROM part GROUP BY 1, 2"),
     "gen3_first_match": (first_match, "SELECT p_size, arg_min(p_partkey, o) AS p_partkey, arg_min(p_name, o) AS p_name FROM (SELECT *, CASE WHEN contains(p_name, 'ring') THEN 0 ELSE 1000000000 END + p_partkey AS o FROM part) GROUP BY p_size"),
+    "gen6_draws": (drawn, DRAWN_SQL),
     "gen5_batches": (batches, "SELECT p_brand, b AS batch, count(*) AS n FROM (SELECT p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 36 AS BIGINT) AS b FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) GROUP BY 1, 2"),
 }
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.sources import fixture_graph as X
-from tessera.sources.tables import table
+from tessera.sources.store import GraphStore
+from tessera.sources.tables import new_folder, table
 
 NODES_SQL = """nodes AS (
   SELECT 'R:' || r_regionkey AS id, 'region' AS label, r_name AS name, CAST(NULL AS VARCHAR) AS scope FROM region UNION ALL
@@ -88,6 +89,30 @@ def upserts(sp, d):
     return out.select("id", "label", F.array_join("aliases", ",").alias("aliases"), "brand")
 
 
+def stored_upserts(sp, d):
+    """The rows of ``upserts`` in two loads that share a fifth of them, merged into a stored graph."""
+    p = table(sp, d, "part")
+    rows = p.select(F.col("p_name").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("label"), F.array("p_brand").alias("aliases"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("brand"))
+    most = p.agg(F.max("p_partkey").alias("most"))
+    placed = rows.join(F.broadcast(most), how="cross")
+    none = sp.createDataFrame([], "source string, rel string, target string")
+    store = GraphStore(sp, new_folder(sp, "stored_nodes"))
+    store.load(placed.where("ord <= most * 0.6").drop("most"), none)
+    store.load(placed.where("ord >= most * 0.4").drop("most"), none)
+    return store.read("nodes").select("id", "label", F.array_join("aliases", ",").alias("aliases"), "brand")
+
+
+def stored_edges(sp, d):
+    """Edges of a graph that is loaded in two parts, places with customers first, then suppliers with places again: relations written, and those out of one nation looked up by its bucket."""
+    n, e = X.nodes(sp, d).select("id", "label", F.array("name").alias("aliases"), F.lit(0).alias("ord")), X.edges(sp, d, "BASED_IN", "LOCATED_IN", "IN_REGION")
+    store = GraphStore(sp, new_folder(sp, "stored_edges"))
+    store.load(n.where("label in ('customer', 'nation')"), e)
+    store.load(n.where("label in ('supplier', 'nation', 'region')"), e)
+    kept = store.read("edges").groupBy("rel").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("first"))
+    one = store.lookup("edges", sp.createDataFrame([("N:7",)], "source string"), "source")
+    return kept.unionByName(one.select(F.lit("of N:7").alias("rel"), F.lit(1).cast("long").alias("n"), F.col("target").alias("first")))
+
+
 def loose_edges(sp, d):
     """Edges towards an entity list without small suppliers: what loading keeps and skips, by relation."""
     n, e = X.nodes(sp, d).where("not (label = 'supplier' and substring(id, 3) % 3 = 0)"), X.edges(sp, d, "BASED_IN", "SUPPLIED_BY")
@@ -219,6 +244,12 @@ QUERIES = {
 f AS (SELECT id, p_brand, min(ord) AS o FROM r GROUP BY id, p_brand)
 SELECT r.id, max_by(label, ord) AS label, any_value(a.aliases) AS aliases, max_by(brand, CASE WHEN brand IS NOT NULL THEN ord END) FILTER (brand IS NOT NULL) AS brand
 FROM r JOIN (SELECT id, string_agg(p_brand, ',' ORDER BY o) AS aliases FROM f GROUP BY id) a ON a.id = r.id GROUP BY r.id"""),
+    "gr1_stored_upserts": (stored_upserts, """WITH r AS (SELECT p_name AS id, p_partkey AS ord, p_type AS label, p_brand, CASE WHEN p_size > 10 THEN p_brand END AS brand FROM part),
+f AS (SELECT id, p_brand, min(ord) AS o FROM r GROUP BY id, p_brand)
+SELECT r.id, max_by(label, ord) AS label, any_value(a.aliases) AS aliases, max_by(brand, CASE WHEN brand IS NOT NULL THEN ord END) FILTER (brand IS NOT NULL) AS brand
+FROM r JOIN (SELECT id, string_agg(p_brand, ',' ORDER BY o) AS aliases FROM f GROUP BY id) a ON a.id = r.id GROUP BY r.id"""),
+    "gr2_stored_edges": (stored_edges, f"""WITH {EDGES_SQL}, e AS (SELECT * FROM edges WHERE rel IN ('BASED_IN', 'LOCATED_IN', 'IN_REGION'))
+SELECT rel, count(*) AS n, min(source) AS first FROM e GROUP BY rel UNION ALL SELECT 'of N:7', 1, target FROM e WHERE source = 'N:7'"""),
     "gr2_upsert_relations": (loose_edges, f"""WITH {EDGES_SQL}, e AS (SELECT *, (rel = 'BASED_IN' AND CAST(substr(source, 3) AS INT) % 3 = 0) OR (rel = 'SUPPLIED_BY' AND CAST(substr(target, 3) AS INT) % 3 = 0) AS gone FROM edges WHERE rel IN ('BASED_IN', 'SUPPLIED_BY'))
 SELECT rel, count(*) FILTER (NOT gone) AS written, count(*) FILTER (gone) AS skipped FROM e GROUP BY rel"""),
     "gr3_find_exact": (lambda sp, d: G.find_entities(X.nodes(sp, d), "small ring", "part").select("id", "label", "name"), f"WITH {NODES_SQL} SELECT id, label, name FROM nodes WHERE name = 'small ring' AND label = 'part' ORDER BY id LIMIT 10"),

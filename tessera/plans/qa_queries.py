@@ -276,7 +276,26 @@ def streamed_changes(sp, d):
     rows = table(sp, d, "events").select(F.col("event_id").alias("id"), "user_id", F.when(F.col("value") > 50, "high").otherwise("low").alias("level"))
     rows.write.parquet(source)
     L.changes_stream(L.tail(sp, source, rows.schema), "user_id", "id", "level", new_folder(sp, "progress"), out).awaitTermination()
-    return sp.read.parquet(f"{out}/batch=*").select("id", "user_id", "level")
+    return sp.read.parquet(out).select("id", "user_id", "level")
+
+
+def late_changes(sp, d):
+    """State changes by event time: events come in six files, up to half an hour late, and the stream stops and starts again half-way.
+
+    What the watermark has not passed at the end stays open.
+    """
+    held, source, out, progress = (new_folder(sp, name) for name in ("held", "arrivals", "timed", "progress"))
+    rows = table(sp, d, "events").select(F.col("event_id").alias("id"), "user_id", F.when(F.col("value") > 50, "high").otherwise("low").alias("level"), F.col("ts").cast("timestamp").alias("ts")).withColumn("came", F.unix_micros("ts") + F.pmod(F.xxhash64("id"), F.lit(1_800_000_000)))
+    ends = rows.agg(F.min("came").alias("a"), F.max("came").alias("z"))
+    filed = rows.join(F.broadcast(ends), how="cross").withColumn("file", F.floor((F.col("came") - F.col("a")) * 6 / (F.col("z") - F.col("a") + 1)).cast("int"))
+    filed.select("id", "user_id", "level", "ts", "file").write.partitionBy("file").parquet(held)
+    back = sp.read.parquet(held)
+    for file in range(6):
+        back.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(source)
+        if file in (2, 5):
+            stream = L.tail(sp, source, back.drop("file").schema, files_per_batch=1)
+            L.changes_stream(stream, "user_id", "id", "level", progress, out, "ts", "31 minutes").awaitTermination()
+    return sp.read.parquet(out).select("id", "user_id", "level")
 
 
 QUERIES = {
@@ -301,5 +320,8 @@ QUERIES = {
     "src10_parameters": (parameterised, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000"),
     "src11_listing": (listed, "SELECT count(*) AS n, CAST(sum(length(r_name) + 1) AS BIGINT) AS bytes FROM region WHERE r_regionkey IN (1, 3)"),
     "str1_stream": (streamed, "SELECT event_id AS id, event_type AS node_id, value FROM events WHERE event_id > 100 AND event_type = 'click'"),
+    "str2_late_stream": (late_changes, """WITH e AS (SELECT event_id AS id, user_id, ts, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM events)
+SELECT id, user_id, level FROM (SELECT *, lag(level) OVER (PARTITION BY user_id ORDER BY ts, id) AS b FROM e)
+WHERE (b IS NULL OR b <> level) AND epoch_us(ts) <= ((SELECT epoch_us(max(ts)) FROM events) // 1000 - 31 * 60000) * 1000"""),
     "str2_stream": (streamed_changes, "SELECT id, user_id, level FROM (SELECT event_id AS id, user_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level, lag(CASE WHEN value > 50 THEN 'high' ELSE 'low' END) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> level"),
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.store import Store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,31 +48,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-#: Folders by the hash of the key, in tables that rows are appended to once.
-BUCKETS = 64
-
-
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys are not yet stored, one for each key.
-
-    The table lies in folders by the hash of the keys: only the keys of folders that the new rows fall into are read.
-    """
-    spark = df.sparkSession
-    fresh = df.dropDuplicates(keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
-    try:
-        done = spark.read.schema(fresh.schema).parquet(path).where(F.col("_bucket").isin(touched)).select("_bucket", *keys)
-        fresh = fresh.join(done, ["_bucket", *keys], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").partitionBy("_bucket").parquet(path)
+    """Append the rows whose keys are not yet stored, one for each key, to a stored table; all of them count at once, or none."""
+    Store(df.sparkSession, path).append("rows", df, keys)
 
 
 def append_segments(df: DataFrame, path: str, key: str) -> DataFrame:
     """Append only the rows whose key is not yet stored; returns all that is stored. Running it again adds nothing."""
     append_new(df, path, [key])
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+    stored = Store(df.sparkSession, path).read("rows")
+    return (df.limit(0) if stored is None else stored).select(df.columns)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tessera.sources.tables import append_new
 
@@ -82,19 +83,90 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
     return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changes_stream(stream: DataFrame, key: str, order: str, value: str, checkpoint: str, path: str) -> StreamingQuery:
-    """State changes of a stream: each batch is compared with the last value of every key, kept beside the output.
-
-    Two folders of state take turns, so a batch that is run again finds what it began with.
+class _Changes(StatefulProcessor):
+    """Rows of one key whose value is not that of the row before; with event times, rows wait in the state until the watermark has passed them."""
+
+    def __init__(self, order: str, value: str, names: list[str], types: T.StructType, timed: bool):
+        self.order, self.value, self.names, self.types, self.timed = order, value, names, types, timed
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", T.StructType([self.types[c] for c in (*([_AT] if self.timed else []), self.order, self.value)]))
+        self.waiting = handle.getListState("waiting", self.types)
+
+    def _changed(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The changes among rows in their order; a row that is not after the last one of its key came too late and is left out."""
+        place = self.names.index
+        by = [place(_AT), place(self.order)] if self.timed else [place(self.order)]
+        value, out = place(self.value), []
+        last = tuple(self.last.get()) if self.last.exists() else None
+        for row in sorted(rows, key=lambda r: [r[i] for i in by]):
+            at = tuple(row[i] for i in by)
+            if last is not None and at <= last[:-1]:
+                continue
+            if last is None or last[-1] != row[value]:
+                out.append((*key, *row))
+            last = (*at, row[value])
+        if last is not None:
+            self.last.update(last)
+        if out:
+            yield pd.DataFrame(out, columns=["_key", *self.names], dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [tuple(None if x is pd.NA or x is None or x != x else x for x in row) for part in rows for row in part[self.names].astype(object).itertuples(index=False)]
+        if not self.timed:
+            yield from self._changed(key, fresh)
+            return
+        self.waiting.appendList(fresh)
+        self.handle.registerTimer(-(-min(row[self.names.index(_AT)] for row in fresh) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        at = self.names.index(_AT)
+        rows = [tuple(r) for r in self.waiting.get()]
+        due, later = [r for r in rows if r[at] <= reached], [r for r in rows if r[at] > reached]
+        if not due:
+            return
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(-(-min(r[at] for r in later) // 1000))
+        else:
+            self.waiting.clear()
+        yield from self._changed(key, due)
+
+    def close(self) -> None:
+        pass
+
+
+#: Event times within the state, in microseconds.
+_AT = "_at"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def changes_stream(stream: DataFrame, key: str, order: str, value: str, checkpoint: str, path: str, event_time: str | None = None, delay: str = "0 seconds") -> StreamingQuery:
+    """State changes of a stream as Parquet files, each once: the last value of every key is kept in the state store of the query.
+
+    Without ``event_time`` a batch's rows are taken in ``order``; a row that is not after the last one of its key is too late and left out. With it, rows
+    are in the order of event time and ``order``, whatever the order they come in: a row waits in the state until the watermark (the latest time seen,
+    less ``delay``) has passed it, and one that comes when the watermark has passed its time is too late and left out.
+    Only keys of the batch, or with rows due, are touched. A restart goes on from the checkpoint.
     """
-    state = f"{path}/_state"
-
-    def write(batch: DataFrame, no: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(key, order, value).withColumn("_old", F.lit(False))
-        known = spark.read.parquet(f"{state}/{(no - 1) % 2}").withColumn("_old", F.lit(True)) if no else rows.limit(0)
-        both = known.select(key, order, value, "_old").unionByName(rows)
-        changes(both, key, [order], value).where("not _old").drop("_old").write.mode("overwrite").parquet(f"{path}/batch={no}")
-        latest_runs(both.drop("_old"), key, order).select(key, order, value).write.mode("overwrite").parquet(f"{state}/{no % 2}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, timed = stream.sparkSession, event_time is not None
+    at = F.col(event_time).cast("timestamp") if timed else None
+    extra = [F.unix_micros(at).alias(_AT), at.alias("_time")] if timed else []
+    rows = stream.select(F.col(key).alias("_key"), order, value, *extra)
+    if timed:
+        rows = rows.withWatermark("_time", delay)
+    names = [order, value, *([_AT] if timed else [])]
+    types = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in names])
+    out = T.StructType([T.StructField("_key", rows.schema["_key"].dataType), *types])
+    found = rows.groupBy("_key").transformWithStateInPandas(_Changes(order, value, names, types, timed), out, "append", "EventTime" if timed else "None")
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # a query takes the settings it is started with
+        return found.select(F.col("_key").alias(key), order, value).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
