@@ -110,7 +110,7 @@ class _Changes(StatefulProcessor):
         if last is not None:
             self.last.update(last)
         if out:
-            yield pd.DataFrame(out, columns=["_key", *self.names], dtype=object)
+            yield pd.DataFrame(out, columns=[_KEY, *self.names], dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [tuple(None if x is pd.NA or x is None or x != x else x for x in row) for part in rows for row in part[self.names].astype(object).itertuples(index=False)]
@@ -138,8 +138,8 @@ class _Changes(StatefulProcessor):
         pass
 
 
-#: Event times within the state, in microseconds.
-_AT = "_at"
+#: Columns beside those of the caller: the key, the event time, and the same in microseconds. No underscore comes first, which Python's named tuples refuse.
+_KEY, _TIME, _AT = "state_key_", "state_time_", "state_at_"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -153,18 +153,18 @@ def changes_stream(stream: DataFrame, key: str, order: str, value: str, checkpoi
     """
     spark, timed = stream.sparkSession, event_time is not None
     at = F.col(event_time).cast("timestamp") if timed else None
-    extra = [F.unix_micros(at).alias(_AT), at.alias("_time")] if timed else []
-    rows = stream.select(F.col(key).alias("_key"), order, value, *extra)
+    extra = [F.unix_micros(at).alias(_AT), at.alias(_TIME)] if timed else []
+    rows = stream.select(F.col(key).alias(_KEY), order, value, *extra)
     if timed:
-        rows = rows.withWatermark("_time", delay)
+        rows = rows.withWatermark(_TIME, delay)
     names = [order, value, *([_AT] if timed else [])]
     types = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in names])
-    out = T.StructType([T.StructField("_key", rows.schema["_key"].dataType), *types])
-    found = rows.groupBy("_key").transformWithStateInPandas(_Changes(order, value, names, types, timed), out, "append", "EventTime" if timed else "None")
+    out = T.StructType([T.StructField(_KEY, rows.schema[_KEY].dataType), *types])
+    found = rows.groupBy(_KEY).transformWithStateInPandas(_Changes(order, value, names, types, timed), out, "append", "EventTime" if timed else "None")
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:  # a query takes the settings it is started with
-        return found.select(F.col("_key").alias(key), order, value).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return found.select(F.col(_KEY).alias(key), order, value).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         if before is None:
             spark.conf.unset(_PROVIDER)

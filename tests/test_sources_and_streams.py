@@ -56,3 +56,21 @@ def test_change_stream_equals_batch(spark, tmp_path):
     L.changes_stream(stream, "user", "id", "state", str(tmp_path / "ck"), str(tmp_path / "out")).awaitTermination()
     got = {r.id for r in spark.read.option("recursiveFileLookup", False).parquet(str(tmp_path / "out")).select("id").collect()}
     assert got == {r.id for r in L.changes(states, "user", ["id"], "state").collect()}
+
+
+def test_change_stream_by_event_time(spark, tmp_path):
+    second = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    rows = spark.createDataFrame([(i, f"u{i % 3}", "on" if (i // 4) % 2 else "off", i + 7 * (i % 3)) for i in range(60)], "id long, user string, state string, s long").withColumn("ts", second(F.col("s"))).drop("s")
+    for k, part in enumerate([rows.where("id < 20"), rows.where("id >= 20 and id < 35"), rows.where("id >= 35")]):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k:  # the second start goes on from the first one's checkpoint
+            stream = L.tail(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
+            L.changes_stream(stream, "user", "id", "state", str(tmp_path / "ck"), str(tmp_path / "out"), "ts", "20 seconds").awaitTermination()
+    got = {r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    passed = rows.agg(F.max("ts") - F.expr("interval 20 seconds")).first()[0]
+    want = L.changes(rows.withColumn("at", F.struct("ts", "id")), "user", ["at"], "state").where(F.col("ts") <= F.lit(passed))
+    assert got == {r.id for r in want.collect()} and len(got) > 5
+    # a row before the watermark comes too late and changes nothing
+    rows.limit(1).select(F.lit(99).cast("long").alias("id"), "user", F.lit("odd").alias("state"), second(F.lit(1)).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    L.changes_stream(L.tail(spark, str(tmp_path / "in"), rows.schema), "user", "id", "state", str(tmp_path / "ck"), str(tmp_path / "out"), "ts", "20 seconds").awaitTermination()
+    assert got == {r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
