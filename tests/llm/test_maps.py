@@ -1,5 +1,6 @@
 """Language ID, token counts, secrets, BPE, licences and HTML: brute force, libraries, edge cases."""
 
+import math
 import random
 import re
 
@@ -267,14 +268,78 @@ def test_ordinary_words_are_not_secrets(spark):
     assert all(got[len(prose) + 200 + i] for i in range(200))
 
 
-def test_runs_of_letters_like_words():
-    letters = secrets.letter_costs()
-    assert secrets._like_words("Wonderful-consistency9XKQZ", letters) == {0: 9, 10: 21}
-    assert secrets._like_words("someVariableName", letters) == {0: 4, 4: 12, 12: 16}
-    assert secrets._like_words("ABCdefWHATEVER abc", letters) == {6: 14}
-    for v in ("wonderful", "Wonderful1", "xkqzwvjhpl", "dragonconsistency", "İstanbul", "ß" * 9):
+def brute_with_letters(value, ranks, letters):
+    """Guess cost by trying every segment of every kind, letters by brute force priced by their pairs."""
+    from functools import cache
+
+    low_case, high_case = secrets._LETTERS, "".join(c.upper() for c in secrets._LETTERS if len(c.upper()) == 1 and c.upper() != c and c not in "ßÿ")
+    by_letter, i = [secrets._char_cost(c) for c in value], 0
+    while i < len(value):
+        j = i + (value[i] in high_case)
+        while j < len(value) and value[j] in low_case:
+            j += 1
+        if j - i < 4 + (value[i] in high_case):
+            j = i
+            while j < len(value) and value[j] in high_case:
+                j += 1
+        if j - i >= 4:
+            for k in range(i, j):
+                after = letters.get(value[k - 1].lower() if k > i else " ") or letters[""]
+                by_letter[k] = min(by_letter[k], after.get(value[k].lower(), after[""]) + (math.log10(2) if value[k] in high_case else 0))
+        i = max(j, i + 1) if j - i >= 4 else i + 1
+    low, plain, step = value.lower(), value.lower().translate(secrets._LEET), math.log10(2)
+
+    @cache
+    def best(i):
+        if i == len(value):
+            return 0.0
+        out = [by_letter[i] + best(i + 1)]
+        for j in range(i + 3, len(value) + 1):
+            if len(set(value[i:j])) == 1:
+                out.append(secrets._char_cost(value[i]) + math.log10(j - i) + step + best(j))
+            if all(x in secrets._NEXT for x in zip(low[i:j], low[i + 1 : j])):
+                out.append(math.log10(40) + math.log10(j - i) + step + best(j))
+            if low[i:j] in ranks:
+                out.append(math.log10(ranks[low[i:j]] + 1) + (0 if value[i:j] == low[i:j] else step) + step + best(j))
+            elif plain[i:j] in ranks:
+                out.append(math.log10(ranks[plain[i:j]] + 1) + 3 * step + best(j))
+        m = secrets._DATE.match(value, i, i + 10) if value[i].isdigit() else None
+        if m:
+            out.append(math.log10(365 * 100 if m.end() - i > 4 else 200) + step + best(m.end()))
+        return min(out)
+
+    return best(0)
+
+
+def spoken(rng, n):
+    """Random letters that can be spoken: consonants and vowels in turn, at times two."""
+    out = ""
+    while len(out) < n:
+        out += rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") + (rng.choice("lnrst") if rng.random() < 0.3 else "")
+    return out[:n]
+
+
+def test_guess_cost_with_letter_pairs_is_the_least():
+    rng, letters = random.Random(9), secrets.letter_costs()
+    bits = ["password", "Wonderful", "aaaa", "2019-12-31", "x", "7", "p4ss", "!", "dragon", "321", "consistency", "ation", "qwerty", "ß", "É", "İ"]
+    for k in range(300):
+        v = "".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) if k % 2 else spoken(rng, rng.randint(1, 14))
         cost, pieces = secrets.guess_cost(v, letters=letters)
-        assert "".join(v[s:e] for _, s, e in pieces) == v and cost <= secrets.guess_cost(v)[0]
+        assert abs(cost - brute_with_letters(v, secrets._RANK, letters)) < 1e-9
+        assert "".join(v[s:e] for _, s, e in pieces) == v and cost <= secrets.guess_cost(v)[0] + 1e-9
+
+
+def test_passphrases_and_spoken_values_are_secrets_and_code_is_none(spark):
+    rng = random.Random(5)
+    words = ["correct", "horse", "battery", "staple", "monkey", "dragon", "window", "garden", "silver", "planet", "castle", "bridge", "rocket", "coffee", "summer", "purple"]
+    phrases = ["".join(rng.sample(words, 5)) for _ in range(200)] + ["correcthorsebatterystaplemonkey"]
+    said = [spoken(rng, n) for n in (16, 24, 40) for _ in range(100)]
+    code = ['secret_key = os.environ.get("SECRET_KEY")', 'token = request.headers["X-Auth"]', "api_key=settings.API_KEY_PRODUCTION", "token is https://example.com/path/to/page", "password = getpass.getpass()", "token: config.auth.token"]
+    texts = ["passphrase: " + x for x in phrases + said] + code
+    got = [[s for s in r.spans if s.kind == "guess"] for r in sorted(secrets.scan(docs(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    n = len(phrases)
+    assert all(got[:n]) and sum(map(bool, got[n : n + 300])) >= 285 and not any(got[n + 300 :])
+    assert [r.text for r in secrets.redact(docs(spark, [texts[200], code[0]])).orderBy("doc_id").collect()] == ["passphrase: [SECRET]", code[0]]
 
 
 def test_secrets_of_repeated_rows(spark):
@@ -288,7 +353,7 @@ def test_words_of_the_documents_are_cheap(spark):
     copies = ["password: zyxkwvqjh"] * (2 * secrets.LEAST_DOCS)
     texts = ["the secret is consistency", "Token: Vertraulichkeit", "the secret is xkqzwvjhpl", *prose, *copies, "rare vocable", None]
     frame = docs(spark, texts)
-    assert secrets.common_words(frame) == ["consistency", "vertraulichkeit"]
+    assert sorted(r.word for r in secrets.word_counts(frame).collect()) == ["consistency", "vertraulichkeit"]
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(frame).collect()}
     assert got[0] == [] and got[1] == ["assign"] and got[2] == ["guess"]
     masked = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
@@ -306,13 +371,13 @@ def test_contexts_are_parts_of_names(spark):
     assert not any(got[i] for i in range(len(names) + 2, len(texts)))
 
 
-def test_common_words_are_bounded(spark, monkeypatch):
-    texts = [" ".join(w for w, n in (("alpha", 9), ("beta", 8), ("gamma", 8), ("delta", 6), ("omega", 6), ("rho", 4)) if i < n) for i in range(9)]
-    for most, want in ((10, ["alpha", "beta", "gamma", "delta", "omega"]), (3, ["alpha", "beta", "gamma"]), (1, ["alpha"])):
-        monkeypatch.setattr(secrets, "MOST_WORDS", most)
-        assert secrets.common_words(docs(spark, texts)) == want
-    monkeypatch.setattr(secrets, "MOST_WORDS", 4)
-    assert secrets.common_words(docs(spark, texts))[:3] == ["alpha", "beta", "gamma"] and len(secrets.common_words(docs(spark, texts))) <= 4
+def test_all_words_count_and_rank_by_documents(spark):
+    long = "x" * 40 + "yz"
+    texts = [" ".join(w for w, n in (("alpha", 9), ("beta", 8), ("gamma", 8), (long, 6), ("omega", 5), ("rho", 4)) if i < n) for i in range(9)]
+    assert {r.word: r["rank"] for r in secrets.dictionary(docs(spark, texts)).collect()} == {"alpha": 1, "beta": 3, "gamma": 3, long: 4, "omega": 5}
+    got = secrets.scan(docs(spark, [*texts, f"the secret is {long}", "the secret is " + "xqz" * 7 + "w"])).orderBy("doc_id").collect()
+    assert not got[9].spans and got[10].spans
+    assert secrets.pair_counts(secrets.dictionary(docs(spark, texts)))["a", "l"] == 1
 
 
 def test_guess_spans_and_masks(spark):
