@@ -6,6 +6,9 @@ group. Groups repeat all over a corpus, so they are interned: a dictionary of th
 for each of its rows and weighed by how often the group occurs, and what a group is worth (its links, those with the
 count that is the highest of their B id, the sum of counts) is joined back by the group.
 
+Both tokenizers cut before a single space between other characters, so a text is taken in stretches between such spaces, and a worker
+remembers the groups of the stretches that it met. Where a vocabulary does not allow that, or a stretch does not give its bytes back, the text is encoded whole.
+
 The documents are encoded once; what is written has a document's distinct groups with their numbers. The commonest groups,
 ``FREQUENT`` at most, are broadcast; the others meet theirs by a shuffle on the group, which has no hot key, since a document has a
 group once and hot groups are broadcast. Both sums are combined for each document before they are shuffled.
@@ -18,6 +21,7 @@ are dropped, so names cannot clash; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +39,10 @@ from tessera.llm.wordbpe import _byte_chars
 
 #: Groups that are broadcast with their sums, at most, and characters of the longest that may be (so 20 MB at the very most).
 FREQUENT, FREQUENT_CHARS = 100_000, 64
-#: Bytes of text that are encoded together, and pairs that a worker remembers as text.
-SLICE_BYTES, CACHE_PAIRS = 1 << 20, 500_000
+#: Bytes of text that are encoded together, stretches that a worker remembers, and characters of the longest of them.
+SLICE_BYTES, CACHE, CACHE_CHARS = 1 << 20, 300_000, 48
+#: Where a text is cut: at a space between characters that are no white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Tokenizers:
@@ -60,13 +66,15 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        #: Whether no piece goes on over a space, so that stretches can be encoded one by one.
+        self.cuttable = all("▁" not in p.lstrip("▁") for p in pieces) and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of A and of B for each text; none where the bytes of either are not the space and the text."""
+        of_a = self.a.encode_batch_fast([" " + text for text in texts], add_special_tokens=False)
         of_b = self.b.encode(texts, num_threads=1)
-        for text, b in zip(texts, of_b, strict=True):
-            want = (" " + text).encode()
-            a = self.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        for text, a, b in zip(texts, of_a, of_b, strict=True):
+            want, a = (" " + text).encode(), a.ids
             whole = text and b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
             yield (a, b) if whole else ([], [])
 
@@ -77,30 +85,73 @@ def load(a_file: str, b_file: str) -> Tokenizers:
     return Tokenizers(a_file, b_file)
 
 
+def cut_groups(t: Tokenizers, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
+    """The groups of the tokens of one text, each as ``a1,a2|b1``, and the byte offsets where they end."""
+    a_ends, b_ends = np.cumsum(t.a_sizes[a]), np.cumsum(t.b_sizes[b])
+    ends, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+    out, x, y = [], 0, 0
+    for p, q in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
+        out.append(f"{a[x]}|{b[y]}" if p == x + 1 and q == y + 1 else ",".join(map(str, a[x:p])) + "|" + ",".join(map(str, b[y:q])))
+        x, y = p, q
+    return out, ends
+
+
 class Groups:
-    """Writes the groups of a text as ``a1,a2|b1``, with a bounded memory of those of one token each."""
+    """Groups of whole texts, with a bounded memory of those of stretches between spaces."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.t, self.known = tokenizers, {}
-
-    def of(self, a: list[int], b: list[int]) -> list[str]:
+        self.t = tokenizers
+        self.known: dict[str, tuple[int, int, str] | None] = {}
+
+    def _of(self, texts: list[str]) -> Iterator[tuple[int, int, str] | None]:
+        """(n_a, n_b, groups joined) of each text, None for one without tokens."""
+        for a, b in self.t.encode(texts):
+            yield (len(a), len(b), ";".join(cut_groups(self.t, a, b)[0])) if a else None
+
+    def _together(self, stretches: list[str]) -> Iterator[tuple[int, int, str] | None]:
+        """The same of many stretches that begin and end without white space: encoded as one text, whose tokens and groups end where they do.
+
+        If the text does not give its bytes back, its halves may.
+        """
+        if len(stretches) <= 8:
+            yield from self._of(stretches)
+            return
+        a, b = next(self.t.encode([" ".join(stretches)]))
         if not a:
-            return []
-        a_ends, b_ends = np.cumsum(self.t.a_sizes[a]), np.cumsum(self.t.b_sizes[b])
-        _, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        n_a, n_b = np.diff(i, prepend=-1), np.diff(j, prepend=-1)
-        single = (n_a == 1) & (n_b == 1)
-        codes = (np.asarray(a, np.int64)[i] << 32 | np.asarray(b, np.int64)[j]).tolist()
-        if len(self.known) > CACHE_PAIRS:
+            half = len(stretches) // 2
+            yield from self._together(stretches[:half])
+            yield from self._together(stretches[half:])
+            return
+        stops = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        groups, ends = cut_groups(self.t, a, b)
+        in_a, in_b = (np.searchsorted(np.cumsum(sizes[ids]), stops, side="right") for sizes, ids in ((self.t.a_sizes, a), (self.t.b_sizes, b)))
+        in_groups = np.searchsorted(ends, stops, side="right").tolist()
+        at = 0
+        for n_a, n_b, stop in zip(np.diff(in_a, prepend=0).tolist(), np.diff(in_b, prepend=0).tolist(), in_groups, strict=True):
+            yield n_a, n_b, ";".join(groups[at:stop])
+            at = stop
+
+    def of(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, dict[str, int]]]:
+        """(n_a, n_b, n_groups, groups joined, number of each group) of every text."""
+        split = [_CUT.split(text) if text and self.t.cuttable else [] for text in texts]
+        if len(self.known) > CACHE:
             self.known = {}
         known = self.known
-        for code in set(codes).difference(known):
-            known[code] = f"{code >> 32}|{code & 0xFFFFFFFF}"
-        out = [known[c] for c in codes]
-        for k in np.flatnonzero(~single).tolist():
-            x, y = int(i[k]) + 1, int(j[k]) + 1
-            out[k] = ",".join(map(str, a[x - int(n_a[k]) : x])) + "|" + ",".join(map(str, b[y - int(n_b[k]) : y]))
-        return out
+        met = set().union(*split).difference(known)
+        inner = [s for s in met if not s[0].isspace() and not s[-1].isspace()]
+        outer = list(met.difference(inner))
+        once = dict(zip(inner, self._together(inner), strict=True)) | dict(zip(outer, self._of(outer), strict=True))
+        known.update((s, found) for s, found in once.items() if len(s) <= CACHE_CHARS)
+        for text, stretches in zip(texts, split, strict=True):
+            found = [known[s] if s in known else once[s] for s in stretches]
+            if not found or None in found:
+                found = [next(self._of([text]))] if text else [None]
+            if found == [None]:
+                yield 0, 0, 0, "", {}
+                continue
+            joined = ";".join([f[2] for f in found])
+            groups = joined.split(";")
+            yield sum([f[0] for f in found]), sum([f[1] for f in found]), len(groups), joined, Counter(groups)
 
 
 def links(group: str, a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -124,16 +175,14 @@ def grouped(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", tex
         for batch in batches:
             for part in portions(batch, 1, SLICE_BYTES):
                 n_a, n_b, n_groups, digests, offsets, g, n = [], [], [], [], [0], [], []
-                for a, b in tokenizers.encode([t or "" for t in part.column(1).to_pylist()]):
-                    found = groups.of(a, b)
-                    counted = Counter(found)
+                for a, b, parts, joined, counted in groups.of([t or "" for t in part.column(1).to_pylist()]):
                     g += counted.keys()
                     n += counted.values()
-                    n_a.append(len(a))
-                    n_b.append(len(b))
-                    n_groups.append(len(found))
+                    n_a.append(a)
+                    n_b.append(b)
+                    n_groups.append(parts)
                     offsets.append(len(g))
-                    digests.append(sha256(";".join(found).encode()).hexdigest() if found else "")
+                    digests.append(sha256(joined.encode()).hexdigest() if parts else "")
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(g, pa.string()), pa.array(n, pa.int64())], names=["g", "n"]))
                 rows = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows

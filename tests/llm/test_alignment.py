@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against a plain walk over all tokens of all documents."""
 
+import random
 from collections import Counter, defaultdict
 from hashlib import sha256
 
@@ -96,10 +97,23 @@ def test_table(spark, tokenizers):
 
 def test_links_of_a_group():
     t = alignment.load(A_FILE, B_FILE)
-    group = alignment.Groups(t).of(*next(t.encode(["hello"])))
+    group, _ = alignment.cut_groups(t, *next(t.encode(["hello"])))
     assert len(group) == 1 and len(alignment.links(group[0], t.a_sizes, t.b_sizes)) == 1
 
 
+def test_stretches_give_what_whole_texts_give():
+    t = alignment.load(A_FILE, B_FILE)
+    groups, rng = alignment.Groups(t), random.Random(2)
+    bits = ["the", "Étion", " ", "  ", "\n", "\t", " \n", "a", ",", "don't", "漢字", "🙂", "\u00a0", "\x1f", "123", "...", "▁", "\u3000", "é", "<s>", "  end"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    assert t.cuttable
+    for text, (a, b), found in zip(texts, t.encode(texts), groups.of(texts), strict=True):
+        whole = alignment.cut_groups(t, a, b)[0] if a else []
+        assert found == (len(a), len(b), len(whole), ";".join(whole), Counter(whole)), text
+        a_ids, b_ids = t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)
+        assert not a or (a, b) == (a_ids, b_ids)
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(empty, A_FILE, B_FILE).count() == 0
