@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -203,9 +203,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rate = F.lit(0.0)
     for lang in langs:
         rate = F.when(F.col("l") == lang, F.lit(min(1.0, docs_per_lang / counts[lang]))).otherwise(rate)
-    dice = F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 20))
-    drawn = rows.where((dice < rate * (1 << 20)) & F.col("t").rlike(r"\p{L}")).withColumn("dice", F.xxhash64("i"))
-    drawn = drawn.orderBy("dice", "i").limit(2 * docs_per_lang * len(langs))
+    dice = F.pmod(F.xxhash64("i", F.lit(17)), F.lit(1 << 62))
+    drawn = rows.where((dice.cast("double") < rate * float(1 << 62)) & F.col("t").rlike(r"\p{L}")).withColumn("dice", F.xxhash64("i"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("dice", "i"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= 2 * docs_per_lang)  # each language's own bound
     spare = F.greatest(F.lit(1), F.length("t") - WINDOW + 1)
     cut = F.array(*[F.substring(F.col("t"), (F.pmod(F.xxhash64("i", F.lit(k)), spare) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows_per_doc)])
     windows, labels = [], []
