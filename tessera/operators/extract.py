@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as TX
-from tessera.operators.search import substring_join
+from tessera.operators import automaton
+from tessera.operators.search import substring_join_by_token
 
 # fixed values: share of aliases that the dictionary keeps by label, share of triples that a rule keeps by relation
 ALIAS_RATES = {"Device": 0.98, "Process": 0.98, "Defect": 0.98, "Material": 0.85, "Cause": 0.82, "Countermeasure": 0.82}
@@ -67,13 +68,19 @@ def mentions(docs: DataFrame, gaz: DataFrame, typo_longest: int = 40) -> DataFra
     """(doc_id, surface, start, end, id, label, canonical): longest matches that do not overlap.
 
     Longer dictionary surfaces come first, ties in dictionary order; each is tried as it stands and
-    then with one known wrong character (if it is short enough). Candidates come from a join; the
-    choice walks over the candidates of one document.
+    then with one known wrong character (if it is short enough). Places come from one pass of an automaton over each
+    text, or from a join if the forms are counted to be too many; the choice walks over the candidates of one document.
     """
     forms = gaz.select("surface", "id", "label", "ord", F.posexplode(F.concat(F.array("surface"), F.when(F.length("surface") <= typo_longest, TX.typo_variants(F.col("surface"))).otherwise(F.array().cast("array<string>")))).alias("variant", "form"))
-    pairs = substring_join(docs.select(F.col("doc_id").alias("id"), "text"), forms.select(F.col("form").alias("sid"), F.col("form").alias("surface")).distinct())
-    found = pairs.select(F.col("id").alias("doc_id"), F.col("surface").alias("form")).join(docs.select("doc_id", "text"), "doc_id")
-    placed = found.select("doc_id", "form", F.explode(TX.positions(F.col("text"), F.col("form"))).alias("start")).join(forms, "form")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    found_in = automaton.blocks(forms, "form")
+    if found_in is None:
+        pairs = substring_join_by_token(texts, forms.select(F.col("form").alias("sid"), F.col("form").alias("surface")).distinct())
+        found = pairs.select(F.col("id").alias("doc_id"), F.col("surface").alias("form")).join(docs.select("doc_id", "text"), "doc_id")
+        at = found.select("doc_id", "form", F.explode(TX.positions(F.col("text"), F.col("form"))).alias("start"))
+    else:
+        at = automaton.occurrences(texts, found_in).select(F.col("id").alias("doc_id"), F.col("surface").alias("form"), F.explode("starts").alias("start"))
+    placed = at.join(forms, "form")
     span = F.struct((-F.length("surface")).alias("o1"), F.col("ord").alias("o2"), F.col("surface").alias("canonical"), F.col("variant"), F.col("start"), (F.col("start") + F.length("form")).alias("end"), F.col("form"), F.col("id"), F.col("label"))
     picked = select_spans(placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans")))
     return picked.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.form").alias("surface"), "s.start", "s.end", "s.id", "s.label", "s.canonical")

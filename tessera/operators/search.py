@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as TX
 from tessera.functions import vectors as V
-from tessera.operators import tiled
+from tessera.operators import automaton, tiled
+from tessera.sources.tables import materialise
 
 # -- BM25 -----------------------------------------------------------------------------------------
 
@@ -112,6 +113,55 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int | None = 3, id_col: str
     return _scored(build_index(chunks, id_col, text_col, toks, cut), asked, toks, k, k1, b, most_frequent)
 
 
+# -- BM25 with an early stop ----------------------------------------------------------------------
+
+#: Chunks in a block of the index, on average, and blocks of a question that are scored before its threshold is known.
+BLOCK_CHUNKS, FIRST_BLOCKS = 64, 4
+
+
+def block_index(index: dict[str, DataFrame], block_chunks: int = BLOCK_CHUNKS, k1: float = 1.5, b: float = 0.75) -> dict[str, DataFrame]:
+    """An index for ``bm25_early_stop``: blocks (tok, block, n, top, ids, parts), terms and totals.
+
+    Chunks are dealt to blocks by the hash of their id. A row holds what a token adds to the score of each chunk of a block that has it, and the
+    most of it; a chunk is in one block, so what a block can give a question is bounded by the sum of its tokens' tops.
+    """
+    size = index["totals"].select(F.greatest(F.ceil(F.col("n") / block_chunks), F.lit(1)).alias("blocks"), "avgdl")
+    rows = index["postings"].join(index["terms"].select("tok", "idf"), "tok").join(F.broadcast(size), how="cross")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    dealt = rows.select("tok", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct("id", part.alias("part")).alias("x"))
+    lists = dealt.groupBy("tok", "block").agg(F.count(F.lit(1)).alias("n"), F.max("x.part").alias("top"), F.collect_list("x").alias("xs"))  # a block's chunks at most
+    return {"blocks": lists.select("tok", "block", "n", "top", "xs"), "terms": index["terms"], "totals": index["totals"]}
+
+
+def bm25_early_stop(index: dict[str, DataFrame], questions: DataFrame, k: int = 3, most_frequent: float | None = None, cut: Cut = letter_runs, first: int = FIRST_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """(ranks, postings): the rows of ``bm25_search`` from a ``block_index``, and (qid, held, read): the postings of a question's tokens and those scored.
+
+    The tops bound what each block can give. The ``first`` blocks of a question with the highest bounds are scored, and their k-th best score is
+    a threshold: blocks that cannot reach it are not scored. Bounds are read from the short columns of the index only.
+    """
+    asked, toks = _asked(questions, cut)
+    if most_frequent is not None:
+        kept = index["terms"].join(F.broadcast(index["totals"].select("n")), how="cross").where(F.col("df") <= F.col("n") * most_frequent)
+        asked = asked.join(kept.select("tok"), "tok", "left_semi")
+    blocks = index["blocks"].join(toks, "tok", "left_semi")
+    heads = blocks.select("tok", "block", "top", "n").join(asked, "tok")
+    bounds = materialise(heads.groupBy("qid", "block").agg(F.sum(F.greatest("top", F.lit(0.0)) * F.col("qtf")).alias("bound"), F.sum("n").alias("n")), "bounds")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        wanted = asked.join(chosen.select("qid", "block"), "qid")
+        hits = wanted.join(blocks.select("tok", "block", "xs"), ["tok", "block"]).select("qid", "qtf", F.inline("xs"))
+        return hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+
+    begun = top_k(bounds, ["qid"], [F.desc("bound"), F.col("block")], first)
+    early = materialise(top_k(scored(begun), ["qid"], [F.desc("score"), F.col("id")], k), "early")
+    least = early.where(F.col("rank") == k).select("qid", "score")
+    rest = bounds.join(begun.select("qid", "block"), ["qid", "block"], "left_anti").join(least, "qid", "left")
+    more = rest.where(F.col("score").isNull() | (F.col("bound") >= F.col("score") - 2e-6)).select("qid", "block", "n")  # scores are rounded
+    ranks = top_k(early.select("qid", "id", "score").unionByName(scored(more)), ["qid"], [F.desc("score"), F.col("id")], k)
+    read = begun.select("qid", "n").unionByName(more.select("qid", "n")).groupBy("qid").agg(F.sum("n").alias("read"))
+    return ranks, bounds.groupBy("qid").agg(F.sum("n").alias("held")).join(read, "qid")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None) -> DataFrame:
     """``df`` with its rank in a total order, the first k of each key (all if k is None)."""
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -210,6 +260,19 @@ _RAW_TOKENS = r"([\p{L}\p{N}]+)"
 def substring_join(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
     """(id, sid, surface): texts (id, text) that contain a surface (sid, surface).
 
+    Surfaces that are counted to fit into the automata of ``automaton.blocks`` are found in one pass over each text; of more of
+    them the candidates are joined (``substring_join_by_token``).
+    """
+    found_in = automaton.blocks(surfaces)
+    if found_in is None:
+        return substring_join_by_token(texts, surfaces)
+    hits = automaton.occurrences(texts, found_in, starts=False).select("id", "surface")
+    return hits.join(surfaces.where("surface <> ''").select("sid", "surface").distinct(), "surface").select("id", "sid", "surface")
+
+
+def substring_join_by_token(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """``substring_join`` for any number of surfaces.
+
     A surface is found by its inner tokens (its edge tokens may be cut by the text around): all of them must be
     somewhere in the texts, and the one that the fewest texts have is the key of an equi-join, which is then
     verified. Surfaces of fewer than three tokens have no inner token. A counted few of them are compared with

@@ -8,7 +8,7 @@ from tessera.functions import text as TX
 from tessera.operators import evaluate as E
 from tessera.operators import search as S
 from tessera.operators import segment as G
-from tessera.sources.tables import table
+from tessera.sources.tables import new_folder, table
 
 
 def _docs(sp, d):
@@ -66,9 +66,26 @@ sb AS (SELECT run, length(run) + 1 AS i, [0::BIGINT] AS cs, [''] AS ws FROM sr
 sw AS (SELECT qid, string_agg(coalesce(trim(ws[1]), sp.run), ' ' ORDER BY pos) AS words FROM sp LEFT JOIN sb ON sb.run = sp.run AND sb.i = 1 GROUP BY qid)"""
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _index(sp, d):
+    """The block index of the documents, saved once in a session for all queries that search them."""
+    key = (sp.sparkContext.applicationId, d)
+    if key not in _SAVED:
+        path = new_folder(sp, "block_index")
+        S.save_index(S.block_index(S.build_index(_docs(sp, d))), path)
+        _SAVED[key] = path
+    return S.load_index(sp, _SAVED[key], ("blocks", "terms", "totals"))
+
+
+def _best(sp, d, k, most_frequent=None):
+    return S.bm25_early_stop(_index(sp, d), _questions(sp, d), k, most_frequent)[0]
+
+
 def _channel(sp, d, name):
     """The ten best documents of every question: by BM25, or by BM25 without the words that over a twentieth of all documents have."""
-    found = S.bm25(_docs(sp, d), _questions(sp, d), k=10, most_frequent=0.05 if name == "bm25_rare" else None)
+    found = _best(sp, d, 10, 0.05 if name == "bm25_rare" else None)
     return found.select(F.lit(name).alias("channel"), "qid", "id", F.col("rank").alias("pos"))
 
 
@@ -195,7 +212,7 @@ def _mentions(sp, d):
 def candidates(sp, d):
     """Entities in the first 400 characters of each question's ten best documents."""
     docs = _docs(sp, d)
-    hits = S.bm25(docs, _questions(sp, d), k=10).select("qid", "rank", F.col("id").alias("chunk_id")).join(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    hits = _best(sp, d, 10).select("qid", "rank", F.col("id").alias("chunk_id")).join(docs.withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
     return S.chunk_candidates(hits, _aliases(sp, d), _mentions(sp, d))
 
 
@@ -251,7 +268,7 @@ def index_stats(sp, d):
 
 QUERIES = {
     "idx1_postings": (lambda sp, d: S.postings(_docs(sp, d), "doc_id", "text").groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), r"SELECT tok, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT tok, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY 1, 2) GROUP BY tok"),
-    "idx2_bm25": (lambda sp, d: S.bm25(_docs(sp, d), _questions(sp, d), k=3), "WITH " + BM25_SQL + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
+    "idx2_bm25": (lambda sp, d: _best(sp, d, 3), "WITH " + BM25_SQL + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
     "txt9_segmented_questions": (lambda sp, d: _unspaced(sp, d).select("qid", F.array_join("toks", " ").alias("words")), "WITH RECURSIVE " + SEGMENT_SQL.strip() + " SELECT qid, words FROM sw"),
     "idx2_segmented_bm25": (unspaced_bm25, "WITH RECURSIVE " + SEGMENT_SQL.strip() + "," + BM25_SQL.replace("item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS tok FROM benchmark", "qid AS item_id, unnest(string_split(words, ' ')) AS tok FROM sw") + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
     "idx3_hash_embedding": (embedded, EMBED_SQL + " SELECT id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY id)), 6) AS weight FROM c"),

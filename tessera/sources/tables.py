@@ -33,6 +33,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; this cuts lineage and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_text_dir(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """(doc_id, text): one row for each text file, named by its stem."""
     df = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
