@@ -1,16 +1,16 @@
 """HTML extraction by composite text density.
 
 A page is parsed into a tree, and subtrees that are never article text (menus, headers, footers, sidebars, scripts,
-styles) are left out by element. A form, or a container whose class, id or role is the name of a sidebar, notice,
-advert, comment list and so on (``boilerplate_name``), is left out only if it holds no article or main element (one that
-is not itself in such a container, if there is any) and, on a page that has none of these with text, is not on the path to the densest node of the whole page. Headings,
-paragraphs and the like are never left out by name, nor are sections inside an article.
+styles) are left out by element. A form, or a container whose class, id or role is the name of a sidebar, menu, share bar and so on (``boilerplate_name``), is left out only if it holds
+no article or main element (one that is not itself in such a container, if there is any) and, on a page that has none of these with text, is not on the
+path to the densest node of the whole page. Headings, paragraphs and sections inside an article are not left out by such names. But any element whose
+whole name says comments, adverts or notices is left out, inside articles too, unless an article element that is in no such container is in it; its density never counts.
 
 For every node left, the characters per tag, adjusted for links, give its density (``composite``); the sum over its
 children its density sum. The node of the largest sum is the core; the least density on its path to the body is the
 threshold; every subtree that reaches it adds its own node of largest sum, and the smallest subtree over all of these
-is selected. A short heading is not dense, so the subtree takes in what its author bound it to: the article or main
-element around it, or else a parent that adds nothing but headings.
+is selected. A short heading is not dense, nor is a short paragraph, so the subtree takes in what its author bound it to: the article or main
+element around it, or else a parent that adds nothing but headings and paragraphs that are not mostly links.
 
 Defined results: null or empty html, or a page without text, gives an empty text; a page without a
 body element counts as its own body; broken or unclosed markup is closed as browsers do, in short;
@@ -61,20 +61,32 @@ _OUT_WORDS = frozenset(
     "related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond replies discussion complementary contentinfo "
     "toolbar widget masthead copyright disclaimer paywall skip".split()
 )
+#: Of these the ones that say comments, adverts and notices: left out on any element.
+_STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle promo promotion sponsor sponsored cookie cookies consent gdpr banner notice notices "
+    "comment comments commentlist disqus respond replies paywall taboola outbrain".split()
+)
+#: On paragraphs, headings and sections these may be part of what the article says.
+_VAGUE_WORDS = frozenset("notice notices respond replies".split())
 #: May stand beside such a word in a name, as in main-menu or comment-list.
-_BESIDE = frozenset("site page main post article entry top bottom left right box bar list area block container wrapper wrap inner outer section panel slot unit module group item items links buttons form".split())
+_BESIDE = frozenset(
+    "site page main post article entry top bottom left right box bar list area block container wrapper wrap inner outer section panel slot unit module group item items links buttons form "
+    "reader readers user users visitor visitors customer guest google facebook fb eu cc content body text thread native inline sticky mobile desktop".split()
+)
 _ARTICLES = frozenset("article main".split())
+_PROSE = frozenset("p blockquote figure pre".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "inside", "chars", "tags", "links", "link_tags", "density", "total", "kids", "doubtful", "named")
+    __slots__ = ("tag", "parent", "parts", "out", "inside", "chars", "tags", "links", "link_tags", "density", "total", "kids", "doubtful", "named", "strong")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
         self.inside = parent is not None and (parent.inside or parent.tag in _ARTICLES)  # of an article
         self.doubtful = False  # left out unless it holds the article
         self.named = parent is not None and parent.named  # in a container named as boilerplate
+        self.strong = parent is not None and parent.strong  # in one named as comments, adverts or notices
         self.parts: list = []  # texts and nodes, in page order
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.total = 0.0
@@ -89,10 +101,10 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def boilerplate_name(name: str) -> bool:
-    """Whether a whole class, id or role says boilerplate: one of its words does, and the others are that or words like box and list."""
-    words = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
-    return any(w in _OUT_WORDS for w in words) and all(w in _OUT_WORDS or w in _BESIDE for w in words)
+def boilerplate_name(name: str, words: frozenset[str] = _OUT_WORDS) -> bool:
+    """Whether a whole class, id or role says boilerplate: one of its words is in ``words``, and the others say it too or are words like box and list."""
+    found = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
+    return any(w in words for w in found) and all(w in _OUT_WORDS or w in words or w in _BESIDE for w in found)
 
 
 def _left_out(tag: str, attrs: dict[str, str], parent: Node) -> bool:
@@ -109,7 +121,17 @@ def _named(tag: str, attrs: dict[str, str], node: Node) -> bool:
     """Whether a container is named as boilerplate."""
     if not attrs or tag not in _NAMED or node.inside and tag in ("section", "article"):
         return False
-    return any(boilerplate_name(name) for key in ("class", "id", "role") for name in attrs.get(key, "").split())
+    return any(boilerplate_name(name) for name in _names(attrs))
+
+
+def _names(attrs: dict[str, str]) -> Iterator[str]:
+    return (name for key in ("class", "id", "role") for name in attrs.get(key, "").split())
+
+
+def _strongly_named(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element of any kind but the page and its main part is named as comments, adverts or notices; one that is no container by more than the word notice."""
+    words = _STRONG_WORDS if tag in _NAMED and tag != "section" else _STRONG_WORDS - _VAGUE_WORDS
+    return bool(attrs) and tag not in ("html", "body", "main") and any(boilerplate_name(name, words) for name in _names(attrs))
 
 
 def parse(html: str) -> Node:
@@ -157,8 +179,9 @@ def parse(html: str) -> Node:
         attrs = attributes(m[3]) if m[3] else {}
         node = Node(tag, top, _left_out(tag, attrs, top))
         if not node.out:
-            own = _named(tag, attrs, node)
-            node.doubtful, node.named = own or tag in _FORMS, own or node.named
+            strong = _strongly_named(tag, attrs)
+            own = strong or _named(tag, attrs, node)
+            node.doubtful, node.named, node.strong = own or tag in _FORMS, own or node.named, strong or node.strong
         top.parts.append(node)
         if tag in _RAW:
             stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
@@ -216,10 +239,21 @@ def _weigh(order: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.kids) if node.kids else node.density
 
 
+def _plain_total(node: Node) -> float:
+    """The density sum without children named as comments, adverts or notices."""
+    kids = [x for x in node.kids if not x.strong]
+    return sum(x.density for x in kids) if kids else node.density if not node.kids else 0.0
+
+
 def _leave_out(order: list[Node], body: Node) -> None:
     """Mark as left out what is doubtful and does not hold the article."""
     articles = [x for x in order if x.tag in _ARTICLES and x.chars]
-    held = [x for x in articles if not x.named] or articles or [max(order, key=lambda x: x.total)]
+    held = [x for x in articles if not x.named] or [x for x in articles if not x.strong]
+    if not held:  # the densest, of what is not named as comments, adverts or notices
+        plain = [x for x in order if not x.strong and x.chars > sum(y.chars for y in x.kids if y.strong)]
+        inner = {id(y) for x in plain for y in x.kids if not y.strong}
+        leaves = [x for x in plain if id(x) in inner] or plain
+        held = [max(leaves, key=_plain_total)] if leaves else articles
     stay: set[int] = set()
     for node in held:
         for x in _upto(node, body):
@@ -268,18 +302,18 @@ def select(root: Node) -> Node | None:
 
 
 def _with_headings(node: Node, body: Node) -> Node:
-    """The article or main element around a selected node; without one, the highest parent that adds headings only."""
+    """The article or main element around a selected node; without one, the highest parent that adds headings and paragraphs only."""
     for x in _upto(node, body):
         if x.tag in _ARTICLES:
             return x
-    while node is not body and node.parent is not None and _only_headings_beside(node):
+    while node is not body and node.parent is not None and _only_prose_beside(node):
         node = node.parent
     return node
 
 
-def _only_headings_beside(node: Node) -> bool:
+def _only_prose_beside(node: Node) -> bool:
     beside = [x for x in node.parent.parts if x is not node and (x.strip() if isinstance(x, str) else not x.out and x.chars)]
-    return bool(beside) and all(not isinstance(x, str) and x.tag in _HEADINGS for x in beside)
+    return bool(beside) and all(not isinstance(x, str) and (x.tag in _HEADINGS or x.tag in _PROSE and 3 * x.links < x.chars) for x in beside)
 
 
 def _walk(root: Node) -> Iterator[Node]:

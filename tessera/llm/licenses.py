@@ -5,7 +5,8 @@ gives matching statistics: at each word the length of the longest run ending the
 some template. Long maximal matches are aligned to the templates that hold them and chained in order
 into covered spans; a template covered well enough gives its label. Where covered spans of several templates
 overlap, the one of most words counts, of equals the one that covers more of its template, so a notice is not also
-taken for a relative that shares most of its words. Fixed phrases are read off the
+taken for a relative that shares most of its words. The words that tell licences apart (``TELLING``, and the numbers after
+version) must be the same in the span and in the template, neither missing nor more of them, whatever is covered. "licence" counts as "license" in templates. Fixed phrases are read off the
 same statistics and then confirmed word by word; their labels always stay.
 
 Defined results: a null text counts as empty (0 words, no labels, score 0); repeated rows give
@@ -33,6 +34,7 @@ _AS_IS = "the software is provided as is without warranty of any kind express or
 _REDISTRIBUTION = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 _ENDORSE = "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
 _GNU = "is free software you can redistribute it and or modify it under the terms of the gnu {} license as published by the free software foundation either version {} of the license or at your option any later version this {} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} license for more details"
+_WORK = "this work is licensed under a creative commons attribution{} {} license"
 _GENERAL, _LESSER, _AFFERO = "general public", "lesser general public", "affero general public"
 
 #: Templates: a label and a text; fixed values taken from the public licence notices. A notice and its parts that
@@ -62,6 +64,17 @@ TEMPLATES = (
     ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4.0 international license"),
+    *(("cc-" + label, _WORK.format(words, version)) for label, words in (("by", ""), ("by-nc", " noncommercial"), ("by-sa", " sharealike"), ("by-nd", " noderivatives"), ("by-nc-sa", " noncommercial sharealike"), ("by-nc-nd", " noncommercial noderivatives")) for version in ("3.0 unported", "2.0 generic")),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "this work is dedicated to the public domain under cc0 1.0 universal"),
+    *((f"{label}{tail}", f"{verb} under the gnu {name} license version {version}") for label, name, versions in (("gpl", _GENERAL, (2, 3)), ("lgpl", _LESSER, (2.1, 3)), ("agpl", _AFFERO, (3,))) for version in versions for tail in ("" if label == "lgpl" else f"-{version}",) for verb in ("licensed", "released", "distributed")),
+    *((f"{label}{tail}", f"{head}gnu {name} license version {version}{rest}") for head, rest in (("under the terms of the ", ""), ("", " as published by the free software foundation"), ("under the terms of the ", " as published by the free software foundation")) for label, name, versions in (("gpl", _GENERAL, (2, 3)), ("lgpl", _LESSER, (2.1, 3)), ("agpl", _AFFERO, (3,))) for version in versions for tail in ("" if label == "lgpl" else f"-{version}",)),
+    *((label, f"gnu {name} license version {version} copyright c {years} free software foundation inc everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed") for label, name, version, years in (
+        ("gpl-3", _GENERAL, "3 29 june 2007", "2007"), ("gpl-2", _GENERAL, "2 june 1991", "1989 1991"), ("lgpl", _LESSER, "3 29 june 2007", "2007"), ("lgpl", _LESSER, "2.1 february 1999", "1991 1999"), ("agpl-3", _AFFERO, "3 19 november 2007", "2007"))),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www eclipse org legal epl 2.0"),
+    ("epl-2", "under the terms of the eclipse public license version 2.0"),
+    ("epl-1", "all rights reserved this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution"),
     ("bsd-2", _REDISTRIBUTION),
     ("bsd-3", f"{_REDISTRIBUTION} {_ENDORSE}"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
@@ -70,6 +83,11 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: Words that tell licences apart, and those that a version number follows: fixed values.
+TELLING = ("affero", "lesser", "library", "noncommercial", "nc", "sharealike", "sa", "noderivatives", "nd", "mit", "apache", "mozilla", "eclipse", "cc0")
+VERSION = ("version", "v", "license")
+#: Words around a span that are read for them too.
+_AROUND = 2
 #: Shortest match that a chain takes, and the share of a template's words that gives its label.
 LEAST_MATCH, LEAST_SHARE = 3, 0.75
 
@@ -97,6 +115,10 @@ class TemplateAutomaton:
                 last = self._extend(last, token)
                 if k < len(self.templates):
                     self.ends[last].add((k, i))
+        self.telling = {self.vocab[w.encode()] for w in TELLING if w.encode() in self.vocab}
+        self.versions = {self.vocab[w.encode()] for w in VERSION if w.encode() in self.vocab}
+        self.numbers = {i for w, i in self.vocab.items() if w.isdigit()}
+        self.told = [self._told(tokens) for _, tokens in self.templates]
         # places of a state are its own and those of all states that link to it
         for s in sorted(range(len(self.size)), key=self.size.__getitem__, reverse=True):
             if self.link[s] > 0:
@@ -105,6 +127,17 @@ class TemplateAutomaton:
     def _id(self, word: bytes) -> int:
         return self.vocab.setdefault(word, len(self.vocab))
 
+    def _told(self, tokens: list[int | None]) -> tuple[set, set]:
+        """The telling words among tokens, and the numbers after the word version and the like (None for one that no template has)."""
+        numbers = {b for a, b in zip(tokens, tokens[1:], strict=False) if a in self.versions and (b in self.numbers or b is None)}
+        return self.telling.intersection(tokens), numbers
+
+    def tells(self, k: int, tokens: list[int | None], start: int, end: int) -> bool:
+        """Whether the words that tell licences apart are those of template ``k`` in a span of a text and just around it."""
+        words, numbers = self.told[k]
+        found, versions = self._told(tokens[max(0, start - _AROUND) : end + _AROUND])
+        return words == found and (not numbers or numbers <= versions and versions <= numbers | {None})
+
     def _state(self, size: int, nxt: dict, link: int) -> int:
         self.next.append(nxt)
         self.size.append(size)
@@ -173,11 +206,11 @@ def _chained(found: list[tuple[int, int, int]], length: int) -> list[list[int]]:
     return chains
 
 
-def _chains(auto: TemplateAutomaton, peaks: list[tuple[int, int, int]], share: float = LEAST_SHARE) -> tuple[list[tuple[str, int, int, float]], float]:
+def _chains(auto: TemplateAutomaton, peaks: list[tuple[int, int, int]], share: float = LEAST_SHARE, text: list[int | None] | None = None) -> tuple[list[tuple[str, int, int, float]], float]:
     """(label, start, end, share) of the covered spans that count, and the highest share of any chain; word places, end exclusive.
 
     ``peaks``: (place of the last word, state, length) of maximal matches. Each is placed in every
-    template that holds it, and chained there.
+    template that holds it, and chained there. With the tokens of the ``text`` only spans count whose telling words are the template's.
     """
     by_template: dict[int, list[tuple[int, int, int]]] = {}
     for i, s, n in peaks:
@@ -189,7 +222,7 @@ def _chains(auto: TemplateAutomaton, peaks: list[tuple[int, int, int]], share: f
         for start, end, _, covered in _chained(sorted(found), len(tokens)):
             part = min(1.0, covered / len(tokens))
             best = max(best, part)
-            if covered >= share * len(tokens):
+            if covered >= share * len(tokens) and (text is None or auto.tells(k, text, start, end)):
                 full.append((-covered, -part, start, end, label))
     out, taken = [], []
     for _, part, start, end, label in sorted(full):
@@ -225,7 +258,7 @@ def scan_words(auto: TemplateAutomaton, tokens: list[int | None], least: int = L
             for phrase, label in auto.phrases:
                 if n >= len(phrase) and part[i + 1 - len(phrase) : i + 1] == phrase:
                     base.append((a + i + 1 - len(phrase), label))
-    return base, *_chains(auto, peaks, share)
+    return base, *_chains(auto, peaks, share, tokens)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = LEAST_SHARE, least: int = LEAST_MATCH) -> DataFrame:
@@ -249,7 +282,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: f
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 n_words.append(len(words))
+                spelt = [k for k, w in enumerate(words) if w == b"licence"]
+                for k in spelt:
+                    words[k] = b"license"
                 found, chains, highest = scan_words(auto, list(map(get, words)), least, share)
+                if spelt:  # base phrases stand as they are
+                    length = {label: len(p.split()) for p, label in PHRASES}
+                    found = [(s, x) for s, x in found if bisect(spelt, s + length[x] - 1) == bisect(spelt, s - 1)]
                 base.append([{"start": s, "label": x} for s, x in sorted(found)])
                 matches.append([{"label": x, "start": s, "end": e, "share": r} for x, s, e, r in sorted(chains, key=lambda c: c[1:])])
                 best.append(highest)

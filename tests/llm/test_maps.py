@@ -591,3 +591,49 @@ def html_text_key(html, node):
         top = top.parent
     order = [x for x in html_text._walk(top) if x is not top]
     return re.findall(r'data-k="(\d+)"', html)[order.index(node)]
+
+
+def license_labels(text):
+    auto = licenses.TemplateAutomaton()
+    words = [b"license" if w == b"licence" else w for w in licenses.words_of(text)]
+    return sorted({c[0] for c in licenses.scan_words(auto, list(map(auto.vocab.get, words)))[1]})
+
+
+def test_every_template_has_its_own_label_and_no_other():
+    for label, text in licenses.TEMPLATES:
+        assert license_labels(f"Some text. {text}. More text.") == [label], text
+    assert license_labels("This library is free software under the GNU Lesser General Public License version 3") == ["lgpl"]
+    assert license_labels("under the terms of the GNU General Public License version 3") == ["gpl-3"]
+    assert license_labels("GNU General Public Licence version 2 as published by the Free Software Foundation") == ["gpl-2"]
+    assert license_labels("licensed under the Apache License, Version 1.1") == []
+
+
+def test_a_template_without_its_telling_words_has_no_wrong_label():
+    for label, text in licenses.TEMPLATES:
+        words = text.replace(".", " ").split()
+        for telling in {w for w in words if w in licenses.TELLING}:
+            found = license_labels(" ".join(w for w in words if w != telling))
+            assert label not in found, (label, telling, found)
+            family = {"affero": "gpl", "lesser": "gpl", "library": "gpl", "noncommercial": "cc-by", "sharealike": "cc-by", "noderivatives": "cc-by", "nc": "cc-by"}.get(telling)
+            assert all(family and x.startswith(family) for x in found), (label, telling, found)
+
+
+def test_a_british_spelling_is_no_base_phrase(spark):
+    rows = licenses.scan(docs(spark, ["under the MIT licence", "under the MIT license", "under the MIT licence, and under the MIT license"])).orderBy("doc_id").collect()
+    assert [[(b.start, b.label) for b in r.base] for r in rows] == [[], [(0, "mit")], [(5 - 1 + 1, "mit")]]
+    twice = licenses.scan(docs(spark, ["under the MIT license"] * 2).withColumn("doc_id", F.lit(1))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_comments_adverts_and_notices_go_wherever_they_are():
+    said, post = "<p>" + "A reader says something that is rather long and goes on. " * 8 + "</p>", "<p>" + "Words of the article go on here, with many of them in a row. " * 3 + "</p>"
+    inside = ['<section class="comments">%s</section>', '<div class="user-comments">%s</div>', '<div id="reader-comments">%s</div>', '<div class="google-ads">%s</div>', '<div class="sponsored-content">%s</div>', '<div class="cc-banner">%s</div>', '<article class="comment">%s</article>']
+    inside += ['<p class="cookie-notice">A reader</p>', '<p class="advert">A reader</p>', '<p>x <span class="ad">A reader</span></p>']
+    for part in inside:
+        part = part % said if "%s" in part else part
+        for page in ("<body><article>%s%s</article></body>", "<body><main>%s%s</main></body>", "<body><div class=post>%s</div>%s</body>"):
+            text = html_text.extract(page % (post, part))
+            assert "A reader" not in text and text.startswith("Words of the article"), (page, part)
+    assert html_text.extract(f"<body><div class=post>{post}</div><div class='reader-comments'>{said * 3}</div></body>").startswith("Words")
+    assert html_text.extract(f"<body><div class=c><p class=lead>Short lead.</p><div>{post * 4}</div></div></body>").startswith("Short lead.\n\nWords")
+    assert html_text.extract(f"<body><div class=comments>{said}</div></body>") == ""
