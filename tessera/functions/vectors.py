@@ -16,9 +16,3 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
-
-
-def unit(a: Column) -> Column:
-    """The vector over its length; a vector of zeros stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x).otherwise(x / n))

@@ -60,17 +60,25 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("genre", genre).select("doc_id", "pos", "genre", "text")
 
 
+#: Bytes of rows that a range of ``numbered`` holds, on average at most.
+RANGE_BYTES = 64 << 20
+
+
 def numbered(df: DataFrame, order: list, name: str = "no") -> DataFrame:
     """``df`` with the place of each row, from 0, in one order over all of them.
 
     Rows are dealt to ranges of the whole order and sorted there, and this is written to the shared folder once, so that
-    counts and places agree whatever is lost later. Only the sizes of the ranges are gathered, one for each shuffle
-    partition; a row's place is that in its range and the sizes of the ranges before.
+    counts and places agree whatever is lost later. There are as many ranges as shuffle partitions, more if the plan's size asks for
+    them (``RANGE_BYTES``); only their sizes are gathered; a row's place is that in its range and the sizes of the ranges before.
     """
     spark = df.sparkSession
     path = new_folder(spark, "numbered")
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size < 1 << 60:  # known
+        ranges = max(ranges, size // RANGE_BYTES)
+    ranged = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
     ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     placed = spark.read.parquet(path)
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)

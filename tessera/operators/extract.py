@@ -89,7 +89,9 @@ def mentions(docs: DataFrame, gaz: DataFrame, typo_longest: int = 40) -> DataFra
 def paraphrases(found: DataFrame, prefixes: DataFrame, labels: tuple[str, ...] = ("Cause", "Countermeasure"), rate: float = 0.12) -> DataFrame:
     """More mentions: long entities without their prefix (prefix), for a share of mentions picked by hash."""
     pick = found.where(F.col("label").isin(*labels)).where(TX.stable_keep(F.concat_ws("|", "doc_id", F.col("start").cast("string"), "surface"), rate))
-    cut = pick.join(F.broadcast(prefixes), F.startswith("canonical", "prefix") & (F.length("surface") > F.length("prefix")))
+    sizes = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect() if r[0]]  # lengths only
+    heads = F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.substring("canonical", F.lit(1), n))
+    cut = pick.withColumn("prefix", F.explode(F.array_distinct(heads))).join(prefixes.select("prefix").distinct(), "prefix").where(F.length("surface") > F.length("prefix"))
     longest = Window.partitionBy("doc_id", "start", "surface").orderBy(F.desc(F.length("prefix")))
     cut = cut.withColumn("_r", F.row_number().over(longest)).where("_r = 1")
     return cut.select("doc_id", F.expr("substring(surface, length(prefix) + 1)").alias("surface"), (F.col("start") + F.length("prefix")).alias("start"), "end", "id", "label", "canonical")

@@ -231,14 +231,20 @@ def sparse_neighbors(a: DataFrame, b: DataFrame, k: int, least: float = 0.0) ->
 
 
 def _unit_rows(df: DataFrame, group, id_col: str, vec_col: str) -> DataFrame:
-    """(g, id, v): unit vectors without nulls."""
-    out = df.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), V.unit(V.as_double(F.col(vec_col))).alias("v"))
+    """(g, id, v): vectors without nulls, as doubles."""
+    out = df.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), V.as_double(F.col(vec_col)).alias("v"))
     return out.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; rows of zeros stay."""
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
+
+
 def _nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.groupBy("id").agg(F.min(F.struct("g", "v")).alias("x")).select("x.g", "id", "x.v")
-    found = tiled.top_k(candidates, asked, k, lambda q, c: (q @ c.T).round(6))
+    found = tiled.top_k(candidates, asked, k, lambda q, c: (q @ c.T).round(6), prepare=_units)
     return found.select(F.col("query_id").alias("qid"), F.col("vec_id").alias("id"), F.col("score").alias("sim"), "rank")
 
 
