@@ -14,6 +14,7 @@ from tessera.operators import search as S
 from tessera.plans.graph_queries import EDGES_SQL
 from tessera.plans.search_queries import BM25_SQL
 from tessera.sources import factory
+from tessera.sources import sqlite as SQ
 from tessera.sources import fixture_graph as FG
 from tessera.sources import tables as T
 from tessera.sources.tables import new_folder, table
@@ -252,6 +253,26 @@ def parameterised(sp, d):
     return T.query(sp, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderpriority = :p AND o_totalprice > :least", {"p": "1-URGENT", "least": 1000.0}, orders=table(sp, d, "orders"))
 
 
+def sqlite_rows(sp, d):
+    """Customers from a folder of SQLite files that was written in parallel: ranges of row ids are read, the filter reaches their queries."""
+    path = new_folder(sp, "sqlite")
+    SQ.write_sqlite(table(sp, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").repartition(4, "c_custkey"), path, "customer")
+    back = SQ.read_sqlite(sp, path, "customer", rows=1000)
+    return back.where((F.col("c_acctbal") > 1000) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_name", "c_acctbal")
+
+
+def yaml_ontology(sp, d):
+    """Relations of the vocabulary from a YAML file that was written and read back, beside how many edges each has."""
+    path = new_folder(sp, "ontology")
+    lines = ["entities:", *(f"  - label: {x}" for x in vocab.LABELS), "relations:"]
+    for r in vocab.relations(sp).orderBy("rel").collect():
+        lines += [f"  - type: {r.rel}", f"    domain: {r.domain}", f"    range: {r.range}"]
+    sp.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    entities, relations = T.read_ontology(sp, path)
+    counted = factory.edges(sp, d).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return relations.join(counted, "rel").join(F.broadcast(entities.select(F.col("label").alias("domain"))), "domain").select("rel", "domain", "range", "n")
+
+
 def listed(sp, d):
     """Files of allowed folders only."""
     path = new_folder(sp, "artefacts")
@@ -318,6 +339,8 @@ QUERIES = {
     "src7_snapshot": (snapshot, f"WITH {EDGES_SQL} SELECT rel, count(*) AS n, min(source) AS first FROM edges GROUP BY rel"),
     "src8_saved_index": (saved_index, "WITH " + BM25_SQL + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
     "src10_parameters": (parameterised, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000"),
+    "src10_sqlite": (sqlite_rows, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 1000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+    "src5_yaml": (yaml_ontology, ONTOLOGY_SQL),
     "src11_listing": (listed, "SELECT count(*) AS n, CAST(sum(length(r_name) + 1) AS BIGINT) AS bytes FROM region WHERE r_regionkey IN (1, 3)"),
     "str1_stream": (streamed, "SELECT event_id AS id, event_type AS node_id, value FROM events WHERE event_id > 100 AND event_type = 'click'"),
     "str2_late_stream": (late_changes, """WITH e AS (SELECT event_id AS id, user_id, ts, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM events)

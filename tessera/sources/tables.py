@@ -107,6 +107,19 @@ def ontology(spark: SparkSession, spec: dict) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(ents, "label string, display string"), spark.createDataFrame(rels, "rel string, domain string, range string, display string")
 
 
+def read_ontology(spark: SparkSession, path: str, copy_to: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labels and relations of an ontology file in YAML (one small file, or a folder with one), wherever Spark can read it; ``copy_to`` keeps a copy as text."""
+    import yaml  # only this reader needs it
+
+    lines = spark.read.text(path, wholetext=True)
+    if copy_to is not None:
+        lines.coalesce(1).write.mode("overwrite").text(copy_to)
+    spec = yaml.safe_load(lines.first()[0])
+    if not isinstance(spec, dict):
+        raise ValueError(f"{path} is no ontology")
+    return ontology(spark, spec)
+
+
 def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
     """Rows of a query in a relational store; pass partitioning options to read in parallel."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
