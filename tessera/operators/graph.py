@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import materialise
+
 
 # -- validation and loading -----------------------------------------------------------------------
 
@@ -114,31 +116,52 @@ def neighbors(edges: DataFrame, seeds: DataFrame, hops: int = 2, rels: list[str]
     Every node is expanded once, at its least depth. A fixed number of joins with an anti-join
     against what was visited; no intermediate result goes to the driver. With a ``limit``, edges come in the
     order of a breadth-first walk that takes nodes and edges by id, and the first ``limit`` stay; nodes are
-    those of the sources expanded until then.
+    those of the sources expanded until then, and no others are expanded (``_budgeted_walk``).
     """
     e = edges.where(F.col("rel").isin(rels)) if rels else edges
     steps = _steps(e, direction)
     known = e.select(F.col("source").alias("id")).union(e.select(F.col("target").alias("id"))).distinct()
     start = seeds.select("id").distinct().join(known, "id", "left_semi")
-    ordered = limit is not None  # only then are paths carried along
-    frontier = start.select("id", *([F.array("id").alias("key")] if ordered else []))
-    visited, found = frontier.select("id", F.lit(0).alias("depth")), []
+    if limit is not None:
+        return _budgeted_walk(steps, start, hops, limit)
+    visited, found = start.select("id", F.lit(0).alias("depth")), []
+    frontier = start
     for hop in range(1, hops + 1):
-        path = ["id", "key", F.concat("key", F.array(F.concat_ws("\u0001", "way", "rel", "other"))).alias("edge_key")] if ordered else []
-        walked = frontier.join(steps, F.col("id") == F.col("at")).select("other", "source", "rel", "target", *path)
+        walked = frontier.join(steps, F.col("id") == F.col("at")).select("other", "source", "rel", "target")
         found.append(walked.withColumn("hop", F.lit(hop)))
-        if hop < hops or not ordered:
-            reached = walked.groupBy(F.col("other").alias("id")).agg(F.min("edge_key").alias("key")) if ordered else walked.select(F.col("other").alias("id")).distinct()
-            frontier = reached.join(visited, "id", "left_anti")
-            visited = visited.unionByName(frontier.select("id", F.lit(hop).alias("depth")))
+        frontier = walked.select(F.col("other").alias("id")).distinct().join(visited, "id", "left_anti")
+        visited = visited.unionByName(frontier.select("id", F.lit(hop).alias("depth")))
+    return visited, reduce(DataFrame.unionByName, found).groupBy("source", "rel", "target").agg(F.min("hop").alias("hop"))
+
+
+def _budgeted_walk(steps: DataFrame, start: DataFrame, hops: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The walk of ``neighbors`` with a limit: each hop expands, in order, only as many nodes as the edges that are left allow.
+
+    The steps of the frontier's first nodes, no more than edges are left, are counted; a running sum in the walk's order says which of them are expanded. So
+    the edges that a hop joins are bounded by what is left and the last node's own edges, and what a hop gives is written and small.
+    """
+    left, found = limit, []
+    frontier = start.select("id", F.array("id").alias("key"))
+    visited = start.select("id")
+    order = Window.orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)  # over the nodes that the limit allows
+    for hop in range(1, hops + 1):
+        first = frontier.join(steps.select(F.col("at").alias("id")), "id", "left_semi").orderBy("key", "id").limit(max(left, 1))
+        counted = first.join(steps.select(F.col("at").alias("id")), "id").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+        taken = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < left).select("id", "key")
+        edge_key = F.concat("key", F.array(F.concat_ws("\u0001", "way", "rel", "other"))).alias("edge_key")
+        walked = materialise(taken.join(steps, F.col("id") == F.col("at")).select("other", "source", "rel", "target", "key", edge_key, F.lit(hop).alias("hop")), "walked")
+        found.append(walked)
+        left -= walked.count()
+        if left <= 0 or hop == hops:
+            break
+        reached = walked.groupBy(F.col("other").alias("id")).agg(F.min("edge_key").alias("key"))
+        frontier = reached.join(visited, "id", "left_anti")
+        visited = visited.unionByName(frontier.select("id"))
     walked = reduce(DataFrame.unionByName, found)
-    if not ordered:
-        return visited, walked.groupBy("source", "rel", "target").agg(F.min("hop").alias("hop"))
-    first = walked.orderBy("hop", "edge_key").limit(limit)
-    last = first.agg(F.max(F.struct("hop", "key")).alias("m"))
-    reached = walked.join(F.broadcast(last), F.struct("hop", "key") <= F.col("m")).select(F.explode(F.array("source", "target")).alias("id"), "hop")
+    reached = walked.select(F.explode(F.array("source", "target")).alias("id"), "hop") if limit > 0 else walked.select(F.col("other").alias("id"), "hop").limit(0)
     inside = reached.groupBy("id").agg(F.min("hop").alias("depth")).join(start.withColumn("seed", F.lit(1)), "id", "full")
-    return inside.select("id", F.when(F.col("seed") == 1, F.lit(0)).otherwise(F.col("depth")).alias("depth")), first.select("source", "rel", "target", "hop")
+    edges = walked.orderBy("hop", "edge_key").limit(limit).select("source", "rel", "target", "hop")
+    return inside.select("id", F.when(F.col("seed") == 1, F.lit(0)).otherwise(F.col("depth")).alias("depth")), edges
 
 
 def hop(edges: DataFrame, frontier: DataFrame, rel: str, reverse: bool = False, keep: tuple[str, ...] = ("root",)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.sources import fixture_graph as X
-from tessera.sources.store import GraphStore
+from tessera.sources.graph_store import GraphStore
 from tessera.sources.tables import new_folder, table
 
 NODES_SQL = """nodes AS (

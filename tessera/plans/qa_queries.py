@@ -11,10 +11,12 @@ from tessera.operators import graph as G
 from tessera.operators import qa as Q
 from tessera.operators import relations as R
 from tessera.operators import search as S
+from tessera.operators.providers import call_through
 from tessera.plans.graph_queries import EDGES_SQL
 from tessera.plans.search_queries import BM25_SQL
 from tessera.sources import factory
 from tessera.sources import sqlite as SQ
+from tessera.sources.store import Store
 from tessera.sources import fixture_graph as FG
 from tessera.sources import tables as T
 from tessera.sources.tables import new_folder, table
@@ -253,6 +255,25 @@ def parameterised(sp, d):
     return T.query(sp, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderpriority = :p AND o_totalprice > :least", {"p": "1-URGENT", "least": 1000.0}, orders=table(sp, d, "orders"))
 
 
+def outlasted(sp, d):
+    """Answers of a provider that is out for a fifth of the texts on the first run: the second run asks for the open rows alone."""
+    store = Store(sp, new_folder(sp, "answers"))
+    turns = table(sp, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    call_through(turns, _out_at_first, store, batch=4, attempts=2, first_wait=0.01, wave=2_000)
+    return call_through(turns, _lengths, store, batch=4, attempts=2, first_wait=0.01).select("key", "response")
+
+
+def _lengths(texts):
+    """A stand-in for a model."""
+    return [f"{len(t)} characters" for t in texts]
+
+
+def _out_at_first(texts):
+    if any(len(t) % 5 == 0 for t in texts):
+        raise ConnectionError("no answer")
+    return _lengths(texts)
+
+
 def sqlite_rows(sp, d):
     """Customers from a folder of SQLite files that was written in parallel: ranges of row ids are read, the filter reaches their queries."""
     path = new_folder(sp, "sqlite")
@@ -339,6 +360,7 @@ QUERIES = {
     "src7_snapshot": (snapshot, f"WITH {EDGES_SQL} SELECT rel, count(*) AS n, min(source) AS first FROM edges GROUP BY rel"),
     "src8_saved_index": (saved_index, "WITH " + BM25_SQL + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
     "src10_parameters": (parameterised, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000"),
+    "ext10_outlasting_provider": (outlasted, "SELECT conv_id || ':' || turn AS key, max(length(text) || ' characters') AS response FROM conversations GROUP BY 1"),
     "src10_sqlite": (sqlite_rows, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 1000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "src5_yaml": (yaml_ontology, ONTOLOGY_SQL),
     "src11_listing": (listed, "SELECT count(*) AS n, CAST(sum(length(r_name) + 1) AS BIGINT) AS bytes FROM region WHERE r_regionkey IN (1, 3)"),

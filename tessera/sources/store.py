@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import graph as G
-
 #: Buckets of a new table unless it asks for others, and rows of a bucket from which the next merge deals the table out anew.
 BUCKETS, MOST_ROWS = 64, 4_000_000
 _ENTRY = "name string, bucket int, buckets int, folder string, n long, low string, high string, columns string"
@@ -147,40 +145,3 @@ class Store:
 def _sortable(value):
     """Text whose order is that of whole numbers, for values that are such; others stay as they are."""
     return F.when(value.rlike(r"^[0-9]{1,19}$"), F.lpad(value, 20, "0")).otherwise(value)
-
-
-# -- a stored graph ------------------------------------------------------------------------------------
-
-
-class GraphStore(Store):
-    """Nodes (id, label, aliases, properties) by id and edges (source, rel, target, properties) by source."""
-
-    def load(self, nodes: DataFrame, edges: DataFrame, order: str = "ord") -> int:
-        """Merge a load into the stored graph and publish both tables at once; the new version.
-
-        Nodes as ``graph.upsert_entities``, in ``order`` after what is stored. Edges whose ends are both stored, or in this load, are created once;
-        one that exists keeps its properties. The rest are skipped (``graph.without_endpoints`` counts them).
-        """
-        base, entries = self.entries()
-
-        def merged(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
-            place = F.struct(F.lit(1).alias("load"), F.col(order).cast("long").alias("at"))
-            fresh = rows.withColumn("_place", place).drop(order)
-            if stored is not None:
-                old = stored.withColumn("_place", F.struct(F.lit(0).alias("load"), F.lit(0).cast("long").alias("at")))
-                fresh = old.unionByName(fresh, allowMissingColumns=True)
-            return G.upsert_entities(fresh, "_place")
-
-        entries = self.staged_merge(entries, "nodes", nodes, ["id"], merged)
-        ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        listed = [e for e in entries if e.name == "nodes"]
-        touched = self._touched(ends, ["id"], listed[0].buckets) if listed else ()
-        known = self._rows([e for e in listed if e.bucket in touched])
-        kept = edges.limit(0) if known is None else G.upsert_relations(edges, known)
-
-        def created(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
-            if stored is None:
-                return rows
-            return stored.unionByName(rows.join(stored.select("source", "rel", "target"), ["source", "rel", "target"], "left_anti"), allowMissingColumns=True)
-
-        return self.publish(base, self.staged_merge(entries, "edges", kept, ["source"], created))

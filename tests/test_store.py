@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators.draws import draws_without_repeats
-from tessera.sources.store import Conflict, GraphStore, Store
+from tessera.sources.graph_store import GraphStore
+from tessera.sources.store import Conflict, Store
 
 NODES = "id string, label string, aliases array<string>, brand string, ord long"
 EDGES = "source string, rel string, target string, weight int"
