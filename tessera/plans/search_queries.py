@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
+from tessera.operators import cells as K
 from tessera.operators import evaluate as E
 from tessera.operators import search as S
 from tessera.operators import segment as G
@@ -159,6 +160,12 @@ VEC_SQL = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e F
 s AS (SELECT a.vec_id AS qid, b.vec_id AS id, a.label AS la, b.label AS lb, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
 
 
+def pruned_vectors(sp, d):
+    """The same by cells, of which those that cannot reach the third best are skipped."""
+    v = table(sp, d, "embeddings")
+    return K.pruned_top_k(K.build_cells(v), v.where("vec_id % 20 = 0"), 3)[0].select("qid", "id", "sim", "rank")
+
+
 def same_label(sp, d, k=1):
     v = table(sp, d, "embeddings")
     return S.cosine_within(v.where("vec_id % 20 = 0"), v, "label", k)
@@ -273,6 +280,7 @@ QUERIES = {
     "idx2_segmented_bm25": (unspaced_bm25, "WITH RECURSIVE " + SEGMENT_SQL.strip() + "," + BM25_SQL.replace("item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS tok FROM benchmark", "qid AS item_id, unnest(string_split(words, ' ')) AS tok FROM sw") + " SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 3"),
     "idx3_hash_embedding": (embedded, EMBED_SQL + " SELECT id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY id)), 6) AS weight FROM c"),
     "idx5_vector_top_k": (top_vectors, VEC_SQL + " SELECT qid, id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r <= 3"),
+    "idx5_pruned_top_k": (pruned_vectors, VEC_SQL + " SELECT qid, id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r <= 3"),
     "idx6_name_index": (similar_names, EMBED_SQL + """, u AS (SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM c),
 s AS (SELECT a.id AS a_id, b.id AS b_id, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b USING (bucket) GROUP BY 1, 2)
 SELECT a_id, b_id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS r FROM s) WHERE r <= 4"""),
