@@ -88,6 +88,16 @@ def numbered(df: DataFrame, order: list, name: str = "no") -> DataFrame:
     return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + at).alias(name))
 
 
+def placed(df: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row, from 0, among those of its keys; rows with a null key drop out.
+
+    One numbering over all rows, less where each key begins: no key is sorted in one task, however many rows it has.
+    """
+    out = numbered(df, [*keys, *order], "_no")
+    begins = out.groupBy(*keys).agg(F.min("_no").alias("_begin"))
+    return out.join(begins, keys).withColumn(name, F.col("_no") - F.col("_begin")).select(*(F.col(f"`{c}`") for c in df.columns), name)
+
+
 def with_chunk_ids(chunks: DataFrame, order: list[str], digits: int = 5) -> DataFrame:
     """``chunks`` with running ids C00000, C00001, ... in one order over all of them."""
     number = F.col("_no").cast("string")

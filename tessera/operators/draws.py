@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.chunk import numbered
+from tessera.operators.chunk import placed
 
 
 def draws_without_repeats(asks: DataFrame, items: DataFrame, seed: str, size: int = 1, least: int = 1) -> DataFrame:
@@ -24,7 +24,6 @@ def draws_without_repeats(asks: DataFrame, items: DataFrame, seed: str, size: in
     turns = asked.select("key", "turn").distinct().join(items, "key")
     text = lambda c: F.col(c).cast("string")
     mixed = turns.withColumn("mix", F.md5(F.concat_ws("|", F.lit(seed), text("key"), text("turn"), text("item"))))
-    dealt = numbered(mixed, ["key", "turn", "mix", "item"], "at").select("key", "turn", "item", "at")
-    begins = dealt.groupBy("key", "turn").agg(F.min("at").alias("begin"))
-    wanted = asked.join(begins, ["key", "turn"]).select("key", "no", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + size, F.col("n")) - 1)).alias("place"), "begin")
-    return wanted.withColumn("at", F.col("begin") + F.col("place")).join(dealt.select("at", "item"), "at").select("key", "no", "place", "item")
+    dealt = placed(mixed, ["key", "turn"], ["mix", "item"]).select("key", "turn", "place", "item")
+    wanted = asked.select("key", "turn", "no", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + size, F.col("n")) - 1)).alias("place"))
+    return wanted.join(dealt, ["key", "turn", "place"]).select("key", "no", "place", "item")

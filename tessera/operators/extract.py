@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as TX
 from tessera.operators import automaton
+from tessera.operators.chunk import placed
 from tessera.operators.search import substring_join_by_token
 
 # fixed values: share of aliases that the dictionary keeps by label, share of triples that a rule keeps by relation
@@ -109,9 +110,7 @@ def inside(found: DataFrame, regions: DataFrame, label: str | None = None, first
 
 def pair_by_place(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
     """The i-th row of ``a`` with the i-th of ``b`` within each key; what is left over has no partner and drops out."""
-    ra = a.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_a)))
-    rb = b.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_b)))
-    return ra.join(rb, [*keys, "_i"]).drop("_i")
+    return placed(a, keys, order_a, "_i").join(placed(b, keys, order_b, "_i"), [*keys, "_i"]).drop("_i")
 
 
 def keep_triples(triples: DataFrame, rates: dict[str, float] | None = None) -> DataFrame:

@@ -201,7 +201,7 @@ def branch(links: DataFrame) -> DataFrame:
     return links.groupBy("question").agg(pick.alias("branch"))
 
 
-#: Products are materials with this prefix; what is made for one has its code in its id.
+#: Products are materials with this prefix; what is made for one has its code in its id. A fixed value.
 PRODUCT_PREFIX = "MAT_PD"
 
 
@@ -258,6 +258,7 @@ def answer_graph(links: DataFrame, edges: DataFrame, nodes: DataFrame | None = N
 
 
 #: The part of the graph's answer that an intent asks for, and the intents whose linked label takes one hop instead.
+# fixed values
 INTENT_PARTS = {
     "defect_to_process": "process", "process_to_defects": "defect", "process_defect_count": "defect", "defect_to_causes": "cause",
     "defect_to_countermeasures": "countermeasure", "process_aggregate_cm": "countermeasure", "material_to_defects": "defect",

@@ -209,9 +209,8 @@ def first_match(sp, d):
 
 def batches(sp, d):
     """Parts not ordered at all first seen per brand, in fixed batches of 36."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
     unsold = table(sp, d, "part").join(table(sp, d, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
-    return unsold.withColumn("batch", F.floor((F.row_number().over(w) - 1) / 36).cast("long")).groupBy("p_brand", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return C.placed(unsold, ["p_brand"], ["p_partkey"]).withColumn("batch", F.floor(F.col("place") / 36).cast("long")).groupBy("p_brand", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scenarios(sp, d):

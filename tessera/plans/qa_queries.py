@@ -131,6 +131,9 @@ NAMES_SQL = """s AS (SELECT 'X-' || s_suppkey AS doc_id, n.n_name, s_name, coale
   FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey LEFT JOIN nation p ON p.n_nationkey = n.n_nationkey - 1)"""
 
 
+# The wording of the sample notices and procedures below is fixed: the patterns of ``relations`` read it.
+
+
 def notices(sp, d):
     docs, gaz = _factory_docs(sp, d, (("n_name", "Process"), ("s_name", "Device"), ("cause", "Cause"), ("fix", "Countermeasure"), ("std", "Countermeasure"), ("mat", "Material")), (
         "变更通知\n1. 适用产品 甲\n针对", "$cause", "：\n对策：", "$fix", "。\n标准化：", "$std", "（责任工序：", "$n_name", "）。\n设备侧要求：", "$s_name", "的保养规程更新。\n作用对象：责任工序 ", "$n_name", "，全部。\n作用对象：物料 ", "$mat", "，本批。\n同步执行：对 ", "$s_name", " 进行参数标定。\n",

@@ -107,6 +107,7 @@ def contained(sp, d):
     return X.inside(found, regions).select("doc_id", "region", "id", F.col("start").cast("long").alias("start"))
 
 
+# The wording of the sample reports is fixed: the patterns of ``relations`` read it.
 def _reports(sp, d):
     """Exception reports about suppliers: one block each, with two causes and two measures, and the dictionary for them."""
     s = table(sp, d, "supplier").join(table(sp, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
