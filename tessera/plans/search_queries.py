@@ -9,7 +9,7 @@ from tessera.operators import cells as K
 from tessera.operators import evaluate as E
 from tessera.operators import search as S
 from tessera.operators import segment as G
-from tessera.sources.tables import new_folder, table
+from tessera.sources.tables import materialise, new_folder, table
 
 
 def _docs(sp, d):
@@ -151,6 +151,13 @@ def similar_names(sp, d):
     return S.sparse_neighbors(e, e, 4).select("a_id", "b_id", "sim", "rank")
 
 
+def name_pairs(sp, d):
+    """Pairs of part descriptions whose grams are alike by 0.8."""
+    names = table(sp, d, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name")).distinct()
+    e = materialise(S.hash_embedding(names, "name", "name"), "grams")
+    return S.sparse_threshold_join(e, e, 0.8).where("a_id < b_id")
+
+
 def top_vectors(sp, d):
     v = table(sp, d, "embeddings")
     return S.vector_top_k(v, v.where("vec_id % 20 = 0"), 3)
@@ -284,6 +291,9 @@ QUERIES = {
     "idx6_name_index": (similar_names, EMBED_SQL + """, u AS (SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM c),
 s AS (SELECT a.id AS a_id, b.id AS b_id, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b USING (bucket) GROUP BY 1, 2)
 SELECT a_id, b_id, sim, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS r FROM s) WHERE r <= 4"""),
+    "idx6_name_pairs": (name_pairs, EMBED_SQL.replace("p_name AS id", "concat_ws(' ', p_name, p_brand, p_type) AS id").replace("string_split(p_name, ' ')", "string_split(lower(nm), ' ')").replace("SELECT DISTINCT p_name FROM part", "SELECT DISTINCT p_name, p_brand, p_type, concat_ws(' ', p_name, p_brand, p_type) AS nm FROM part") + """, u AS (SELECT id, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM c),
+s AS (SELECT a.id AS a_id, b.id AS b_id, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b USING (bucket) WHERE a.id < b.id GROUP BY 1, 2)
+SELECT a_id, b_id, sim FROM s WHERE sim >= 0.8"""),
     "idx7_link_entities": (linked, LINK_SQL),
     "idx8_static_rank": (static_ranks, "SELECT p_size AS size, p_partkey AS id, CAST(row_number() OVER (PARTITION BY p_size ORDER BY coalesce(n, 1) DESC, p_partkey) AS INTEGER) AS static_rank FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"),
     "idx9_chunk_candidates": (candidates, "WITH " + BM25_SQL + ", " + ALIAS_SQL + """,

@@ -42,3 +42,28 @@ def test_one_row_and_none(spark):
     assert K.pruned_top_k(K.build_cells(v), v, 3)[0].count() == 0
     assert [tuple(r)[:3] for r in K.pruned_top_k(K.build_cells(v), frame(spark, [(2, [1.0, 1.0])]), 3)[0].select("qid", "id", "sim").collect()] == [(2, 1, 0.707107)]
     assert K.pruned_top_k(K.build_cells(v.limit(0)), v, 3)[0].count() == 0
+
+
+@pytest.mark.parametrize("least", [0.2, 0.45, 0.9])
+def test_sparse_pairs_above_a_threshold_are_all_pairs(spark, least):
+    rng = np.random.default_rng(4)
+    rows = lambda n, seed: [(k, int(b), float(rng.integers(1, 6))) for k in range(n) for b in rng.choice(60, size=rng.integers(1, 25), replace=False)]
+    a, b = rows(60, 1), rows(50, 2)
+    b += [(100 + k, bucket, w) for k, bucket, w in a if k < 10]  # some are alike
+
+    def unit(rows):
+        length = {}
+        for k, _, w in rows:
+            length[k] = length.get(k, 0.0) + w * w
+        return [(k, bucket, w / length[k] ** 0.5) for k, bucket, w in rows]
+
+    a, b = unit(a), unit(b)
+    want = {}
+    for i, x, v in a:
+        for j, y, w in b:
+            if x == y:
+                want[i, j] = want.get((i, j), 0.0) + v * w
+    schema = "id long, bucket int, weight double"
+    got = {(r.a_id, r.b_id): r.sim for r in S.sparse_threshold_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), least).collect()}
+    assert got.keys() == {p for p, s in want.items() if round(s, 6) >= least} and all(abs(want[p] - s) < 1e-6 for p, s in got.items()) and len(got) >= 10
+    assert S.sparse_threshold_join(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), least).count() == 0
