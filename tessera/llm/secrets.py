@@ -11,7 +11,7 @@ without credentials are no values.
 
 The dictionary is the fixed list of password words and word parts, and all words of the documents that ``LEAST_DOCS`` of them have outside
 credential contexts, whatever their number and length; a word's rank is the number of words that at least as many documents have. It is a written table
-that nothing broadcasts: the distinct values' substrings are joined to it. Whether a value is a secret depends on the value and the
+that nothing broadcasts (the joins ask for shuffles, since their sides grow with the input): the distinct values' substrings are joined to it. Whether a value is a secret depends on the value and the
 dictionary alone, so each is priced once.
 
 Defined results: a null text counts as empty (no spans); repeated rows give repeated results; a
@@ -279,7 +279,7 @@ def judged(values: DataFrame, words: DataFrame, threshold: float = THRESHOLD) ->
         return F.flatten(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.coalesce(of(n), F.array().cast("array<string>"))))
 
     subs = each.select("value", F.explode(F.array_distinct(F.concat(parts(low), parts(plain)))).alias("word"))
-    known = subs.join(words, "word").groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+    known = subs.join(words.hint("merge"), "word").groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,21 +292,21 @@ def judged(values: DataFrame, words: DataFrame, threshold: float = THRESHOLD) ->
                     kept.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["value"])
 
-    return each.join(known, "value", "left").select("value", "words").mapInArrow(run, "value string")
+    return each.join(known.hint("merge"), "value", "left").select("value", "words").mapInArrow(run, "value string")
 
 
 def _guessed(marked: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """(_row, _guess): the spans of secret values of each row that has any."""
     values = marked.select("_row", F.explode("_values").alias("v")).select("_row", "v.*")
     spans = F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))
-    return values.join(judged(values, words, threshold), "value").groupBy("_row").agg(spans.alias("_guess"))
+    return values.join(judged(values, words, threshold).hint("merge"), "value").groupBy("_row").agg(spans.alias("_guess"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: DataFrame | None = None) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>): code points, end exclusive, by start and then kind. Without ``words`` (word, rank) those of ``df`` are counted."""
     words = dictionary(df, text_col) if words is None else words
     marked = _marked(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_text", keep_text=False)
-    both = marked.join(_guessed(marked, words, threshold), "_row", "left")
+    both = marked.join(_guessed(marked, words, threshold).hint("merge"), "_row", "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_guess", F.array().cast(f"array<{_SPAN}>"))))
     kinds = F.array(*map(F.lit, KINDS))
     return both.select(F.col(id_col), F.transform(spans, lambda x: F.struct(F.get(kinds, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
@@ -323,7 +323,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", thresh
     marked = _marked(own, f"c{k}", keep_text=True)
     none = F.array().cast(f"array<{_SPAN}>")
     held = marked.where(F.size("_values") > 0)
-    held = held.join(_guessed(held, words, threshold), "_row", "left").select(*marked.columns, "_guess")
+    held = held.join(_guessed(held, words, threshold).hint("merge"), "_row", "left").select(*marked.columns, "_guess")
     rest = marked.where(F.size("_values") == 0).withColumn("_guess", none)
     both = held.unionByName(rest).select(*own.columns, F.array_sort(F.concat("_base", F.coalesce("_guess", none))).alias("_spans"))
 
