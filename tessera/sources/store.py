@@ -41,6 +41,15 @@ class Store:
         files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
+    def names(self, folder: str = "") -> list[str]:
+        """What lies directly in a folder below the store's, if it is there."""
+        return self._names(f"{self.path}/{folder}".rstrip("/"))
+
+    def mark(self, file: str) -> None:
+        """Leave an empty file below the store's folder."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{file}")
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(place, True).close()
+
     def versions(self) -> tuple[list[int], int]:
         """The published versions in order, and the highest number that any writer took."""
         found = sorted(int(n) for n in self._names(f"{self.path}/_manifest") if n.isdigit())

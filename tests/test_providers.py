@@ -89,3 +89,27 @@ def test_a_limited_walk_touches_no_more_than_its_budget(spark, monkeypatch, limi
     walked = sum(t.count() for t in touched)
     assert found.count() == min(limit, walked) and walked <= limit + max(degree.values()) + 60
     assert {r.id for r in nodes.collect()} >= {"n1", "n2"}
+
+
+def test_waves_do_not_each_append_to_the_store(spark, tmp_path, monkeypatch):
+    store, appended, real = Store(spark, str(tmp_path / "s")), [], Store.append
+    monkeypatch.setattr(Store, "append", lambda self, name, *a, **k: appended.append(name) or real(self, name, *a, **k))
+    got = P.call_through(table(spark), lambda texts: [t.upper() for t in texts], store, batch=1, wave=4)
+    assert {r.key: r.response for r in got.collect()} == {**{k: f"T{k}" for k in range(40)}, 99: None}
+    assert len(appended) <= 2
+
+
+def test_a_lost_run_asks_at_most_about_a_wave_again(spark, tmp_path):
+    calls, store = str(tmp_path / "calls"), Store(spark, str(tmp_path / "s"))
+    os.mkdir(calls)
+
+    def lost(_, texts):
+        if "t37" in texts:
+            os._exit(1)
+
+    with pytest.raises(Exception):
+        P.call_through(table(spark), recording(calls, lost), store, batch=1, wave=4)
+    second = {r.key: r.response for r in P.call_through(table(spark), recording(calls, lambda *_: None), store, batch=1, wave=4).collect()}
+    assert all(second[k] == f"T{k}" for k in range(40))
+    again = asked(calls)
+    assert set(again) == {f"t{k}" for k in range(40)} and sum(n - 1 for n in again.values()) <= 8
