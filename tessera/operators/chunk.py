@@ -64,38 +64,46 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 RANGE_BYTES = 64 << 20
 
 
-def numbered(df: DataFrame, order: list, name: str = "no") -> DataFrame:
-    """``df`` with the place of each row, from 0, in one order over all of them.
+def _measured(df: DataFrame) -> int:
+    """Bytes of rows, about: texts as they are, the rest by type. The plan's own size multiplies the sides of joins."""
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    fixed = df.drop(*texts)._jdf.schema().defaultSize() + 8 * len(texts)
+    long = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c in texts), F.lit(0).cast("long"))
+    return df.agg(F.coalesce(F.sum(long + fixed), F.lit(0))).first()[0]
+
+
+def numbered(df: DataFrame, order: list, name: str = "no", spare: tuple[str, ...] = ()) -> DataFrame:
+    """``df``, less the columns ``spare``, with the place of each row, from 0, in one order over all of them.
 
     Rows are dealt to ranges of the whole order and sorted there, and this is written to the shared folder once, so that
-    counts and places agree whatever is lost later. There are as many ranges as shuffle partitions, more if the plan's size asks for
-    them (``RANGE_BYTES``); only their sizes are gathered; a row's place is that in its range and the sizes of the ranges before.
+    counts and places agree whatever is lost later. There are as many ranges as shuffle partitions, more if the plan's size, and then the
+    rows themselves, ask for them (``RANGE_BYTES``); only their sizes are gathered; a row's place is that in its range and the sizes of the ranges before.
     """
     spark = df.sparkSession
     path = new_folder(spark, "numbered")
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if size < 1 << 60:  # known
-        ranges = max(ranges, size // RANGE_BYTES)
+    if size // RANGE_BYTES > ranges:
+        ranges = max(ranges, min(size, _measured(df)) // RANGE_BYTES)
     ranged = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
-    ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    ranged.drop(*spare).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     placed = spark.read.parquet(path)
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     out = placed.withColumn("_p", part).join(F.broadcast(before), "_p")
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_before") + at).alias(name))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in spare), (F.col("_before") + at).alias(name))
 
 
-def placed(df: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
-    """``df`` with the place of each row, from 0, among those of its keys; rows with a null key drop out.
+def placed(df: DataFrame, keys: list[str], order: list, name: str = "place", spare: tuple[str, ...] = ()) -> DataFrame:
+    """``df``, less the columns ``spare``, with the place of each row, from 0, among those of its keys; rows with a null key drop out.
 
     One numbering over all rows, less where each key begins: no key is sorted in one task, however many rows it has.
     """
-    out = numbered(df, [*keys, *order], "_no")
+    out = numbered(df, [*keys, *order], "_no", spare)
     begins = out.groupBy(*keys).agg(F.min("_no").alias("_begin"))
-    return out.join(begins, keys).withColumn(name, F.col("_no") - F.col("_begin")).select(*(F.col(f"`{c}`") for c in df.columns), name)
+    return out.join(begins, keys).withColumn(name, F.col("_no") - F.col("_begin")).select(*(F.col(f"`{c}`") for c in df.columns if c not in spare), name)
 
 
 def with_chunk_ids(chunks: DataFrame, order: list[str], digits: int = 5) -> DataFrame:

@@ -19,11 +19,12 @@ def draws_without_repeats(asks: DataFrame, items: DataFrame, seed: str, size: in
     """
     held = items.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rounds = F.greatest(F.floor(F.col("n") / size) + F.when(F.col("n") % size >= least, 1).otherwise(0), F.lit(1)).cast("long")
-    asked = asks.select("key", "no").distinct().join(held.withColumn("rounds", rounds), "key")
-    asked = asked.withColumn("turn", F.floor(F.col("no") / F.col("rounds")).cast("long")).withColumn("from", F.col("no") % F.col("rounds") * size)
-    turns = asked.select("key", "turn").distinct().join(items, "key")
+    asked = asks.select("key", "no").distinct()
+    sized = held.select("key", rounds.alias("rounds"))
+    turns = asked.join(sized, "key").select("key", F.floor(F.col("no") / F.col("rounds")).cast("long").alias("turn"), "rounds").distinct()
     text = lambda c: F.col(c).cast("string")
-    mixed = turns.withColumn("mix", F.md5(F.concat_ws("|", F.lit(seed), text("key"), text("turn"), text("item"))))
-    dealt = placed(mixed, ["key", "turn"], ["mix", "item"]).select("key", "turn", "place", "item")
-    wanted = asked.select("key", "turn", "no", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + size, F.col("n")) - 1)).alias("place"))
-    return wanted.join(dealt, ["key", "turn", "place"]).select("key", "no", "place", "item")
+    mixed = turns.join(items, "key").withColumn("mix", F.unhex(F.md5(F.concat_ws("|", F.lit(seed), text("key"), text("turn"), text("item")))))
+    dealt = placed(mixed, ["key", "turn"], ["mix", "item"], spare=("mix",))
+    draw = F.floor(F.col("place") / size).cast("long")  # in its turn; what is left over at the end of one is not dealt
+    drawn = dealt.where(draw < F.col("rounds")).select("key", (F.col("turn") * F.col("rounds") + draw).alias("no"), "place", "item")
+    return drawn.join(asked, ["key", "no"], "left_semi").select("key", F.col("no").cast(asks.schema["no"].dataType).alias("no"), "place", "item")

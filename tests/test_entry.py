@@ -54,6 +54,11 @@ def test_each_query_has_its_own_provider(spark, duck, name):
     test_query_equals_sql(spark, duck, name)
 
 
+@pytest.mark.parametrize("name", ["gen6_draws"])
+def test_reworked_query_equals_sql(spark, duck, name):
+    test_query_equals_sql(spark, duck, name)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

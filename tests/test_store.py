@@ -117,3 +117,13 @@ def test_draws_do_not_repeat_within_a_turn(spark):
         assert max(Counter(got["a", no] + got["a", no + 1]).values()) == 1
     single = draws_without_repeats(asks.where("key = 'a'"), items, "s").collect()
     assert len({r.item for r in single}) == 9 and draws_without_repeats(asks.limit(0), items, "s").count() == 0
+
+
+def test_ranges_follow_the_rows_not_the_plan_of_a_join(spark, tmp_path, monkeypatch):
+    from tessera.operators import chunk as C
+
+    monkeypatch.setattr(C, "new_folder", lambda *_: str(tmp_path / "n"))
+    a, b = spark.range(30_000).withColumnRenamed("id", "k"), spark.range(30_000).withColumnRenamed("id", "k")
+    got = C.numbered(a.join(b, "k"), ["k"])
+    assert got.where("no <> k").count() == 0 and got.count() == 30_000
+    assert sum(x.name.startswith("part-") for x in (tmp_path / "n").iterdir()) <= 4
