@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sources.tables import materialise
 
@@ -171,6 +175,70 @@ def hop(edges: DataFrame, frontier: DataFrame, rel: str, reverse: bool = False,
     return frontier.join(e, "id").select(*keep, F.col("_to").alias("id")).distinct()
 
 
+#: Entries of roots, and of ends, that a cell of ``count_reached`` holds, on average at most.
+CELL_ENTRIES = 8_000_000
+
+
+def count_reached(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(root, n_via, n): how many distinct nodes each root has one step on (root, via), and how many distinct ends two steps on (via, id).
+
+    Pairs of a root and an end are counted where they arise and never written, as there may be many for each edge. Each node between becomes the list of its roots and
+    that of its ends; both are cut by hash, and a cell meets one share of all roots with one share of all ends. A cell marks the ends of
+    one root after the other. There are more cells, not larger ones, when there are more edges; what is shuffled grows with their square root more than the edges do.
+    """
+    spark, kind = first.sparkSession, first.schema["root"].dataType
+    own = lambda df, c: df.where(F.col("via").isNotNull() & F.col(c).isNotNull()).groupBy("via").agg(F.collect_set(c).alias(f"{c}s"))
+    stars = materialise(own(first, "root").join(own(second, "id"), "via", "left").select("roots", "ids"), "stars")
+    a, b = stars.agg(F.sum(F.size("roots")), F.sum(F.when(F.col("ids").isNotNull(), F.size("ids")))).first()
+    rows, columns = (max(1, -(-(n or 0) // CELL_ENTRIES)) for n in (a, b))
+    share = lambda c, n, k: F.filter(c, lambda x: F.pmod(F.xxhash64(x), F.lit(n)) == k)
+    cut = lambda c, n: F.array(*(F.struct(F.lit(k).alias("at"), share(c, n, k).alias("x")) for k in range(n))) if n > 1 else F.array(F.struct(F.lit(0).alias("at"), F.col(c).alias("x")))
+    left = stars.where("ids is not null").select(F.explode(cut("roots", rows)).alias("r"), "ids").where(F.size("r.x") > 0)
+    met = left.select("r", F.explode(cut("ids", columns)).alias("c")).where(F.size("c.x") > 0)
+    cells = met.select((F.col("r.at") * columns + F.col("c.at")).alias("cell"), F.col("r.x").alias("roots"), F.col("c.x").alias("ids"))
+    schema = T.StructType([T.StructField("root", kind), T.StructField("n", T.LongType())])
+
+    def reached(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        roots, ids = (pa.concat_arrays([b.column(c) for b in held]) for c in ("roots", "ids"))
+        held.clear()
+        named, ends = roots.flatten().dictionary_encode(), ids.flatten().dictionary_encode()
+        of, end = named.indices.to_numpy(), ends.indices.to_numpy()
+        star = np.repeat(np.arange(len(roots), dtype=np.int32), np.diff(roots.offsets.to_numpy()))[np.argsort(of, kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(named.dictionary)))])
+        begin = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        size, seen, n = np.diff(begin), np.zeros(len(ends.dictionary), bool), np.empty(len(named.dictionary), np.int64)
+        for r in range(len(n)):
+            mine = star[cuts[r] : cuts[r + 1]]
+            long = size[mine]
+            at = np.repeat(begin[:-1][mine] - np.cumsum(long) + long, long)
+            at += np.arange(len(at), dtype=at.dtype)
+            found = end[at]
+            seen[found] = True
+            n[r] = np.count_nonzero(seen)
+            seen[found] = False
+        return pa.RecordBatch.from_arrays([named.dictionary, pa.array(n)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    if numbers[x] != cell and held:
+                        yield reached(held)
+                    cell = numbers[x]
+                    held.append(batch.slice(x, y - x).select([1, 2]))
+        if held:
+            yield reached(held)
+
+    parts = rows * columns
+    found = cells.repartitionByRange(parts, "cell") if parts > 1 else cells.coalesce(1)
+    far = found.sortWithinPartitions("cell").mapInArrow(run, schema).groupBy("root").agg(F.sum("n").alias("n"))
+    near = stars.select(F.explode("roots").alias("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n_via"))
+    return near.join(far, "root", "left").select("root", "n_via", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def causal_paths(edges: DataFrame, roots: DataFrame, cause: str, remedy: str, where: str | None = None, material: str | None = None, scope: Column | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(root, part, id): causes (one hop), countermeasures (two), processes and materials of many roots at once.
 

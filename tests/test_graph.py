@@ -107,3 +107,25 @@ def test_empty_graph(spark):
     e, n = edges_of(spark, []), spark.createDataFrame([], "id string, label string")
     assert G.neighbors(e, ids(spark, "a"))[0].count() == 0
     assert G.stats(n, e).where("n > 0").count() == 0
+
+
+def test_count_reached_equals_sets_in_one_cell_or_many(spark, monkeypatch):
+    rng = random.Random(5)
+    first = [(f"r{rng.randrange(30)}", f"v{rng.randrange(40)}") for _ in range(300)] + [(None, "v1"), ("r1", None), ("alone", "nowhere")]
+    second = [(f"v{rng.randrange(40)}", rng.randrange(50)) for _ in range(300)] + [("v1", None), (None, 3)]
+    want = {}
+    for r, v in first:
+        if r and v:
+            want.setdefault(r, (set(), set()))[0].add(v)
+            want[r][1].update(i for w, i in second if w == v and i is not None)
+    for most in (8_000_000, 40):
+        monkeypatch.setattr(G, "CELL_ENTRIES", most)
+        got = G.count_reached(spark.createDataFrame(first, "root string, via string"), spark.createDataFrame(second, "via string, id long"))
+        assert {r.root: (r.n_via, r.n) for r in got.collect()} == {r: (len(a), len(b)) for r, (a, b) in want.items()}
+
+
+def test_the_material_branch_shuffles_no_pairs_of_roots_and_ends(spark):
+    from tessera.plans import graph_queries as Q
+
+    plan = Q.material_branch(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Distinct" not in plan and "lineitem" not in plan  # pairs are counted within cells
