@@ -179,7 +179,7 @@ QUERIES = {
     "txt12_list_union": (lambda sp, d: table(sp, d, "lineitem").groupBy("l_orderkey").agg(TX.union_in_order(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]), F.array(F.lit("A"), F.lit("Z"))).alias("u")).select("l_orderkey", F.array_join("u", ",").alias("u")),
         """WITH f AS (SELECT l_orderkey, l_returnflag AS f, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2), l AS (SELECT l_orderkey, list(f ORDER BY o, f) AS l FROM f GROUP BY 1)
 SELECT l_orderkey, array_to_string(l || CASE WHEN list_contains(l, 'A') THEN ['Z'] ELSE ['A', 'Z'] END, ',') AS u FROM l"""),
-    "txt13_formats": (lambda sp, d: table(sp, d, "orders").select("o_orderkey", TX.spelled_date(F.col("o_orderdate")).alias("day"), TX.numbered_code(F.col("o_orderkey")).alias("code")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') || '号' AS code FROM orders"),
+    "txt13_formats": (lambda sp, d: table(sp, d, "orders").select("o_orderkey", TX.spelled_date(F.col("o_orderdate")).alias("day"), TX.code_of_width(F.col("o_orderkey")).alias("code")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') || '号' AS code FROM orders"),
     "txt14_window_arithmetic": (lambda sp, d: table(sp, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", TX.into_window(F.col("l_quantity"), F.lit(30.0), 0.25).alias("corrected"), TX.beyond_window(F.col("l_quantity"), F.lit(30.0)).alias("delta")),
         "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_quantity > 30 THEN l_quantity * 0.25 + 7.5 ELSE l_quantity END, 2) AS corrected, round(l_quantity - 30, 2) AS delta FROM lineitem"),
     "txt15_templates": (lambda sp, d: table(sp, d, "part").select("p_partkey", TX.parameter_text("参数超出窗口", F.col("p_name"), F.col("p_size"), "mm", F.col("p_size") > 25).alias("t")), "SELECT p_partkey, '参数超出窗口：' || p_name || CASE WHEN p_size > 25 THEN '（' || p_size || 'mm）' ELSE '' END AS t FROM part"),

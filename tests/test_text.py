@@ -92,3 +92,22 @@ def test_chunk_ids_run_on(spark):
     chunks = spark.range(500).select((F.col("id") % 50).alias("doc_id"), (F.col("id") / 50).cast("int").alias("pos"))
     rows = C.with_chunk_ids(chunks, ["doc_id", "pos"]).orderBy("doc_id", "pos").collect()
     assert [r.chunk_id for r in rows] == [f"C{i:05d}" for i in range(500)]
+
+
+def test_codes_of_a_width_as_sql_pads_them(spark):
+    import duckdb
+
+    numbers = [0, 7, 12345, 99999, 100000, 132010, 9000001, None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(TX.code_of_width(F.col("n"))).collect()]
+    assert got == [duckdb.execute("SELECT lpad(CAST(CAST(? AS BIGINT) AS VARCHAR), 5, '0') || '号'", [n]).fetchone()[0] for n in numbers]
+
+
+def test_the_formats_query_agrees_with_its_sql_on_long_keys(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans.text_queries import QUERIES
+
+    duckdb.execute(f"COPY (SELECT k AS o_orderkey, TIMESTAMP '1995-05-07' AS o_orderdate FROM (VALUES (5), (99999), (132010), (132011)) t(k)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    query, sql = QUERIES["txt13_formats"]
+    want = duckdb.execute(f"WITH orders AS (FROM '{tmp_path}/orders.parquet') {sql}").fetchall()
+    assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == sorted(want)
