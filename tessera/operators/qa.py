@@ -17,16 +17,23 @@ def fuse(graph: DataFrame, vector: DataFrame, extra: int = 3, cap: int | None =
     return out if cap is None else out.where(F.col("pos") <= cap)
 
 
-def online_answer(answers: DataFrame, vector: DataFrame, nodes: DataFrame, extra: int = 3, shown: int = 10, without: tuple[str, ...] = ("CMT_", "CMS_")) -> DataFrame:
+def online_answer(answers: DataFrame, vector: DataFrame, nodes: DataFrame, extra: int = 3, shown: int = 10, without: tuple[str, ...] = ("CMT_", "CMS_"), cases: DataFrame | None = None) -> DataFrame:
     """(question, pos, id, name): the names that a question's answer shows.
 
     All groups of the graph's answer (question, part, id) come in a fixed order, stopgap and standard measures left out, then
-    up to ``extra`` vector answers (question, id, pos) that are not among them; the first ``shown`` of all.
+    up to ``extra`` vector answers (question, id, pos) that are not among them; the first ``shown`` of all. With ``cases`` (question, case), ``answers`` are
+    those of the cases: they are ranked once for each, and a question gets the first ``shown`` of its own.
     """
     place = F.coalesce(F.array_position(F.array(*map(F.lit, ("cause", "countermeasure", "process", "defect", "material", "near"))), F.col("part")), F.lit(0))
     kept = without_prefixes(answers, without).groupBy("question", "id").agg(F.min(place).alias("group"))
     graph = kept.select(F.col("question").alias("qid"), "id", F.row_number().over(Window.partitionBy("question").orderBy("group", "id")).alias("pos"))
-    fused = fuse(graph, vector.select(F.col("question").alias("qid"), "id", "pos"), extra, shown)
+    near = vector.select(F.col("question").alias("qid"), "id", "pos")
+    if cases is not None:
+        of = cases.select(F.col("question").alias("qid"), "case")
+        known = of.join(near, "qid").join(kept.select(F.col("question").alias("case"), "id"), ["case", "id"], "left_semi").select("qid", "id")
+        near = near.join(known, ["qid", "id"], "left_anti")
+        graph = of.join(graph.where(F.col("pos") <= shown).withColumnRenamed("qid", "case"), "case").select("qid", "id", "pos")
+    fused = fuse(graph, near, extra, shown)
     return fused.join(nodes.select("id", "name"), "id", "left").select(F.col("qid").alias("question"), "pos", "id", "name")
 
 
