@@ -285,6 +285,17 @@ def resolve_by_name(links: DataFrame, nodes: DataFrame, label: str = "Defect") -
     return links.join(first, links["surface"] == first["sid"]).select("question", first["id"]).distinct()
 
 
+def cases(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(question, case) and links by case: questions that name the same entities (question, id, label, pos) are one case, called by the first of them.
+
+    What the graph answers depends on the case alone, so it is worked out once for all of its questions.
+    """
+    named = links.groupBy("question").agg(F.array_sort(F.collect_set(F.struct("id", "label", "pos"))).alias("named"))  # a question's own links
+    first = named.groupBy("named").agg(F.min("question").alias("case"))
+    mine = materialise(named.join(first, "named").select("question", "case", F.when(F.col("question") == F.col("case"), F.col("named")).alias("named")), "cases")
+    return mine.select("question", "case"), mine.where("named is not null").select(F.col("case").alias("question"), F.inline("named"))
+
+
 def answer_graph(links: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(question, branch, part, id): what the graph answers to questions with linked entities (question, id, label, pos).
 
@@ -312,15 +323,25 @@ def answer_graph(links: DataFrame, edges: DataFrame, nodes: DataFrame | None = N
     causes = scoped(step(defects, "CAUSED_BY"))
     at_process = step(of("process", "Process"), "OCCURS_AT", True)
     from_material = step(of("material", "Material"), "INDUCED_BY_MATERIAL", True)
-    remedies = lambda start: scoped(step(step(start, "CAUSED_BY"), "ADDRESSED_BY"))
+
+    def remedies(label: str, name: str, rel: str) -> DataFrame:
+        """Countermeasures of the defects of processes or materials, worked out once for each of these and then met with the questions."""
+        start = of(name, label)
+        roots = start.select(F.col("id").alias("root"), "id").distinct()
+        way = hop(edges, hop(edges, hop(edges, roots, rel, True), "CAUSED_BY"), "ADDRESSED_BY")
+        return scoped(start.withColumnRenamed("id", "root").join(way, "root").select("question", "id").distinct())
+
+    induced = of("material", "Material")
+    sites = hop(edges, hop(edges, induced.select(F.col("id").alias("root"), "id").distinct(), "INDUCED_BY_MATERIAL", True), "OCCURS_AT")
+    places = induced.withColumnRenamed("id", "root").join(sites, "root").select("question", "id").distinct()
     first = links.join(kind.where("branch = 'neighborhood'"), "question").groupBy("question").agg(F.min(F.struct("pos", "id")).alias("f")).select("question", F.col("f.id").alias("id"))
     out = edges.select(F.col("source").alias("id"), F.col("target").alias("_to"))
     once = first.join(out, "id").select("question", F.col("_to").alias("id")).distinct()
     near = once.unionByName(once.join(out, "id").select("question", F.col("_to").alias("id"))).unionByName(first).distinct()
     parts = (
         ("defect", "cause", causes), ("defect", "countermeasure", scoped(step(causes, "ADDRESSED_BY"))), ("defect", "process", step(defects, "OCCURS_AT")), ("defect", "material", step(defects, "INDUCED_BY_MATERIAL")),
-        ("process", "defect", at_process), ("process", "countermeasure", remedies(at_process)), ("process", "material", step(of("process", "Process"), "USES_MATERIAL")),
-        ("material", "defect", from_material), ("material", "process", step(from_material, "OCCURS_AT")), ("material", "countermeasure", remedies(from_material)), ("neighborhood", "near", near),
+        ("process", "defect", at_process), ("process", "countermeasure", remedies("Process", "process", "OCCURS_AT")), ("process", "material", step(of("process", "Process"), "USES_MATERIAL")),
+        ("material", "defect", from_material), ("material", "process", places), ("material", "countermeasure", remedies("Material", "material", "INDUCED_BY_MATERIAL")), ("neighborhood", "near", near),
     )
     return reduce(DataFrame.unionByName, [df.distinct().select("question", F.lit(b).alias("branch"), F.lit(p).alias("part"), "id") for b, p, df in parts])
 

@@ -54,7 +54,7 @@ def test_each_query_has_its_own_provider(spark, duck, name):
     test_query_equals_sql(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", ["gen6_draws", "gr10_material_branch", "src5_ontology"])
+@pytest.mark.parametrize("name", ["gen6_draws", "gr10_material_branch", "src5_ontology", "gr12_answer_graph", "idx11_graph_candidates", "qa2_online_answer"])
 def test_reworked_query_equals_sql(spark, duck, name):
     test_query_equals_sql(spark, duck, name)
 
